@@ -35,3 +35,184 @@ def repo_scores(spark, sf_dir):
     """Flagship: generated files → parse once → all detectors → per-repo score and grades."""
     findings = D.review_findings(_gen_files(spark, sf_dir))
     return S.repo_scores(findings, repos=_gen_repos(spark, sf_dir))
+
+
+# ---- C: facts ---------------------------------------------------------------------------------
+from revline.functions.text import line_count, normalize_newlines  # noqa: E402
+from revline.operators import facts as C  # noqa: E402
+from revline.operators import rules as R  # noqa: E402
+from revline.operators import scope as B  # noqa: E402
+from revline.sources import config as CFG  # noqa: E402
+from revline.sources import reports as REP  # noqa: E402
+
+
+def _facts(spark, sf_dir):
+    return D.file_facts(_gen_files(spark, sf_dir))
+
+
+@query("line_counts")
+def line_counts(spark, sf_dir):
+    """C4 over whole documents."""
+    docs = load(spark, sf_dir, "documents")
+    return docs.select("doc_id", line_count(normalize_newlines("text")).alias("total_lines"))
+
+
+@query("function_facts")
+def function_facts(spark, sf_dir):
+    fns = C.explode_functions(_facts(spark, sf_dir))
+    return fns.select("repo_id", "path", "name", "line", "end_line", F.size("args").alias("n_args"),
+                      F.array_join("args", ",").alias("args_list"), "complexity")
+
+
+@query("class_facts")
+def class_facts(spark, sf_dir):
+    cls = C.explode_classes(_facts(spark, sf_dir))
+    return cls.select("repo_id", "path", "name", "line", "end_line", F.size("methods").alias("n_methods"))
+
+
+@query("import_facts")
+def import_facts(spark, sf_dir):
+    return C.explode_imports(_facts(spark, sf_dir))
+
+
+@query("call_facts")
+def call_facts(spark, sf_dir):
+    return C.explode_calls(_facts(spark, sf_dir))
+
+
+@query("parse_errors")
+def parse_errors(spark, sf_dir):
+    return C.parse_errors(_facts(spark, sf_dir))
+
+
+@query("syntax_check")
+def syntax_check(spark, sf_dir):
+    """C6 as an Arrow pandas_udf over every generated file."""
+    files = _gen_files(spark, sf_dir)
+    ok = C.syntax_ok_udf()
+    return files.select("repo_id", "path", ok(normalize_newlines("content")).alias("valid"))
+
+
+# ---- D: detectors -----------------------------------------------------------------------------
+FINDING_OUT = ["id", "repo_id", "file", "line", "severity", "category", "title", "description", "auto_fixable"]
+
+
+@query("smell_findings")
+def smell_findings(spark, sf_dir):
+    return D.review_findings(_gen_files(spark, sf_dir), D.SMELL_DETECTORS).select(*FINDING_OUT)
+
+
+@query("complexity_findings")
+def complexity_findings(spark, sf_dir):
+    return D.review_findings(_gen_files(spark, sf_dir), ["complexity"]).select(*FINDING_OUT)
+
+
+@query("script_findings")
+def script_findings(spark, sf_dir):
+    """Native substring rules, no parse."""
+    return D.review_findings(_gen_files(spark, sf_dir), ["unsafe_call", "missing_docstring"]).select(*FINDING_OUT)
+
+
+@query("all_findings")
+def all_findings(spark, sf_dir):
+    """E1 + E12: every detector in one parse, deduplicated on the content-hash id."""
+    f = S.dedup_findings(D.review_findings(_gen_files(spark, sf_dir)))
+    return f.select(*FINDING_OUT, "stage", "stage_order")
+
+
+# ---- A/D12: tool reports ------------------------------------------------------------------------
+@query("lint_findings")
+def lint_findings(spark, sf_dir):
+    issues = REP.ingest_lint(gen.gen_lint_reports(load(spark, sf_dir, "part")))
+    return REP.lint_findings(issues).select("id", "repo_id", "file", "line", "severity", "title", "description")
+
+
+@query("lint_errors")
+def lint_errors(spark, sf_dir):
+    return REP.lint_errors(REP.ingest_lint(gen.gen_lint_reports(load(spark, sf_dir, "part"))))
+
+
+@query("complexity_report")
+def complexity_report(spark, sf_dir):
+    return REP.ingest_complexity(gen.gen_complexity_reports(load(spark, sf_dir, "part")))
+
+
+@query("complexity_report_findings")
+def complexity_report_findings(spark, sf_dir):
+    blocks = REP.ingest_complexity(gen.gen_complexity_reports(load(spark, sf_dir, "part")))
+    return REP.complexity_report_findings(blocks).select("id", "repo_id", "file", "line", "title", "description")
+
+
+# ---- D8/D9/D11/D16: rules -------------------------------------------------------------------------
+def _secret_docs(spark, sf_dir):
+    return gen.gen_secret_text(load(spark, sf_dir, "documents"))
+
+
+@query("secret_mask")
+def secret_mask(spark, sf_dir):
+    return R.masked(_secret_docs(spark, sf_dir))
+
+
+@query("secret_findings")
+def secret_findings(spark, sf_dir):
+    return R.secret_counts(_secret_docs(spark, sf_dir))
+
+
+@query("rule_findings")
+def rule_findings(spark, sf_dir):
+    return R.scan_rules(_secret_docs(spark, sf_dir))
+
+
+@query("advisory_hits")
+def advisory_hits(spark, sf_dir):
+    part = load(spark, sf_dir, "part")
+    return R.advisory_hits(gen.gen_requirements(part), gen.gen_advisories(part))
+
+
+@query("policy_violations")
+def policy_violations(spark, sf_dir):
+    return R.policy_violations(load(spark, sf_dir, "documents"))
+
+
+# ---- B / A6: scope and config -------------------------------------------------------------------
+def _scoped_paths(spark, sf_dir):
+    paths = gen.gen_scope_paths(load(spark, sf_dir, "part"))
+    return B.exclude_globs(B.exclude_dirs(B.python_files(paths), B.FULL_PHASE_EXCLUDES))
+
+
+@query("scope_files")
+def scope_files(spark, sf_dir):
+    return _scoped_paths(spark, sf_dir)
+
+
+@query("file_cap")
+def file_cap(spark, sf_dir):
+    """B7 + E19: the first 10 files per repo by path, with total_files counted before the cap."""
+    scoped = _scoped_paths(spark, sf_dir)
+    capped = B.cap_files(scoped, 10)
+    counts = S.progress_counts(scoped, capped)
+    return capped.join(counts, "repo_id").select("repo_id", "path", "total_files", "files_analyzed")
+
+
+def _configs(spark, sf_dir, variant="root"):
+    return CFG.effective_config(gen.gen_repo_configs(load(spark, sf_dir, "customer")), variant)
+
+
+@query("config_effective")
+def config_effective(spark, sf_dir):
+    c = _configs(spark, sf_dir)
+    return c.select("repo_id", "severity_threshold", F.array_join("enabled_checks", ",").alias("enabled_checks"),
+                    F.col("auto_fix.enabled").alias("auto_fix_enabled"),
+                    F.col("auto_fix.safe_only").alias("auto_fix_safe_only"), "max_analysis_time",
+                    F.array_join("skip_categories", ",").alias("skip_categories"))
+
+
+def _order_findings(spark, sf_dir):
+    return gen.gen_findings_orders(load(spark, sf_dir, "orders"))
+
+
+@query("threshold_filter")
+def threshold_filter(spark, sf_dir):
+    """B8 + B9 with each repo's effective config."""
+    kept = B.apply_config(_order_findings(spark, sf_dir), _configs(spark, sf_dir))
+    return kept.select("id", "repo_id", "severity", "stage")

@@ -5,6 +5,8 @@ Each string runs on the driver tables registered as views. Shared pieces are CTE
 
 from __future__ import annotations
 
+import re
+
 from revline.functions.ids import finding_id_sql
 
 # Generated source files (see revline.sources.gen.gen_source_files): k, size, variant, repo, path.
@@ -49,13 +51,40 @@ def _gen_rows(kinds: list[str]) -> str:
          'File or function is missing a docstring.', FALSE
   FROM gp WHERE v NOT IN (4, 6)""",
     }
-    first = parts[kinds[0]]
-    rest = [parts[k] for k in kinds[1:]]
-    # the first branch names the columns; keep 'long_function' aliases by putting it first when present
-    if kinds[0] != "long_function":
-        first = first.replace("SELECT repo_id, file, 1, 'medium', 'pattern', 'pattern',",
-                              "SELECT repo_id, file, 1 AS line, 'medium' AS severity, 'pattern' AS category, 'pattern' AS stage,")
-    return "\nUNION ALL".join([first] + rest)
+    names = ["line", "severity", "category", "stage", "title", "description", "auto_fixable"]
+    rows = []
+    for kind in kinds:
+        body = parts[kind]
+        sel, rest = body.split("FROM gp", 1)
+        # re-alias positional columns so any branch can come first
+        items = _split_top(sel.strip()[len("SELECT"):])
+        items = items[:2] + [f"{_strip_alias(x)} AS {n}" for x, n in zip(items[2:], names)]
+        rows.append("\n  SELECT " + ", ".join(items) + " FROM gp" + rest)
+    return "\nUNION ALL".join(rows)
+
+
+def _split_top(sel: str) -> list[str]:
+    out, depth, cur, quote = [], 0, "", False
+    for ch in sel:
+        if ch == "'":
+            quote = not quote
+        if not quote:
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 0:
+                out.append(cur.strip())
+                cur = ""
+                continue
+        cur += ch
+    out.append(cur.strip())
+    return out
+
+
+def _strip_alias(x: str) -> str:
+    m = re.match(r"^(.*?)\s+AS\s+\w+$", x, re.S)
+    return m.group(1) if m and x.count("'") % 2 == 0 and not x.rstrip().endswith("'") else x
 
 
 def gen_findings_cte(kinds: list[str], name: str = "gf") -> str:
@@ -107,3 +136,233 @@ ORACLES: dict[str, str] = {}
 ORACLES["repo_scores"] = scores_sql(
     gen_findings_cte(ALL_KINDS), "gf",
     repos_sql="SELECT DISTINCT CAST(p_partkey % 50 AS VARCHAR) AS repo_id FROM part")
+
+
+ORACLES["line_counts"] = """
+SELECT doc_id, CAST(len(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))) AS INTEGER) AS total_lines
+FROM documents"""
+
+ORACLES["function_facts"] = f"""WITH {GEN_PARAMS}
+SELECT repo_id, file AS path, 'f' AS name, 1 AS line, CAST(2 * s + 1 AS INTEGER) AS end_line, 1 AS n_args,
+       'a' AS args_list, 1 AS complexity FROM gp WHERE v = 0
+UNION ALL
+SELECT repo_id, file, 'f', 1, 2, CAST(s % 10 AS INTEGER),
+       array_to_string(list_transform(range(1, s % 10 + 1), lambda i: 'p' || CAST(i AS VARCHAR)), ','), 1
+FROM gp WHERE v = 1
+UNION ALL
+SELECT repo_id, file, 'g', 2, CAST(2 * s + 2 AS INTEGER), 1, 'a', 1 FROM gp WHERE v = 6
+UNION ALL
+SELECT repo_id, file, 'f', 1, CAST(s % 15 + 2 AS INTEGER), 1, 'a', CAST(s % 15 + 1 AS INTEGER) FROM gp WHERE v = 7"""
+
+ORACLES["class_facts"] = f"""WITH {GEN_PARAMS}
+SELECT repo_id, file AS path, 'C' AS name, 1 AS line, CAST(20 * s + 1 AS INTEGER) AS end_line, 0 AS n_methods
+FROM gp WHERE v = 3"""
+
+ORACLES["import_facts"] = f"""WITH {GEN_PARAMS}
+SELECT repo_id, file AS path, 'os' AS module FROM gp WHERE v = 5"""
+
+ORACLES["call_facts"] = f"""WITH {GEN_PARAMS}
+SELECT repo_id, file AS path, 'os.system' AS name, 2 AS line, 0 AS loop_depth FROM gp WHERE v = 5"""
+
+ORACLES["parse_errors"] = f"""WITH {GEN_PARAMS}
+SELECT repo_id, file AS path, 'Syntax error at line 1: invalid syntax' AS error, 1 AS error_line
+FROM gp WHERE v = 4"""
+
+ORACLES["syntax_check"] = f"""WITH {GEN_PARAMS}
+SELECT repo_id, file AS path, v <> 4 AS valid FROM gp"""
+
+_FOUT = "id, repo_id, file, line, severity, category, title, description, auto_fixable"
+
+ORACLES["smell_findings"] = f"WITH {gen_findings_cte(SMELL_KINDS)}\nSELECT {_FOUT} FROM gf"
+ORACLES["complexity_findings"] = f"WITH {gen_findings_cte(['complexity'])}\nSELECT {_FOUT} FROM gf"
+ORACLES["script_findings"] = f"WITH {gen_findings_cte(['unsafe_call', 'missing_docstring'])}\nSELECT {_FOUT} FROM gf"
+ORACLES["all_findings"] = f"""WITH {gen_findings_cte(ALL_KINDS)}
+SELECT DISTINCT {_FOUT}, stage,
+  CAST(list_position(['static','pattern','security','performance','testing','logic','policy'], stage) - 1 AS INTEGER)
+    AS stage_order
+FROM gf"""
+
+# Lint reports: issue j = 1..k%4 of file k (k % 10 <> 0); message type ((k + j) % 4).
+_LINT = """
+li AS (
+  SELECT CAST(p_partkey % 50 AS VARCHAR) AS repo_id, 'src/m' || CAST(p_partkey AS VARCHAR) || '.py' AS file,
+         p_partkey AS k, unnest(range(1, CAST(p_partkey % 4 AS INTEGER) + 1)) AS j
+  FROM part WHERE p_partkey % 10 <> 0)"""
+
+ORACLES["lint_findings"] = f"""WITH {_LINT},
+lf AS (
+  SELECT repo_id, file, CAST(j AS INTEGER) AS line, CAST(NULL AS INTEGER) AS "column",
+         ['convention', 'refactor', 'warning', 'error'][CAST((k + j) % 4 AS INTEGER) + 1] AS severity,
+         'style' AS category, 'Lint Issue: symbol-' || CAST(j AS VARCHAR) AS title,
+         'message ' || CAST(j AS VARCHAR) AS description
+  FROM li)
+SELECT {finding_id_sql()} AS id, repo_id, file, line, severity, title, description FROM lf"""
+
+ORACLES["lint_errors"] = """
+SELECT CAST(p_partkey % 50 AS VARCHAR) AS repo_id, 'src/m' || CAST(p_partkey AS VARCHAR) || '.py' AS path,
+       'Pylint timeout' AS error
+FROM part WHERE p_partkey % 10 = 0"""
+
+_CX = """
+cx AS (
+  SELECT CAST(p_partkey % 50 AS VARCHAR) AS repo_id, 'src/m' || CAST(p_partkey AS VARCHAR) || '.py' AS path,
+         p_size AS s, unnest(range(0, CAST(p_partkey % 3 AS INTEGER) + 1)) AS j
+  FROM part WHERE p_partkey % 10 <> 0)"""
+
+ORACLES["complexity_report"] = f"""WITH {_CX}
+SELECT repo_id, path, 'fn' || CAST(j AS VARCHAR) AS name, CAST(j * 10 + 1 AS INTEGER) AS lineno,
+       CAST((s + j * 7) % 20 + 1 AS INTEGER) AS complexity, CAST(NULL AS VARCHAR) AS error FROM cx
+UNION ALL
+SELECT CAST(p_partkey % 50 AS VARCHAR), 'src/m' || CAST(p_partkey AS VARCHAR) || '.py', NULL, NULL, NULL,
+       'could not parse'
+FROM part WHERE p_partkey % 10 = 0"""
+
+ORACLES["complexity_report_findings"] = f"""WITH {_CX},
+cf AS (
+  SELECT repo_id, path AS file, CAST(j * 10 + 1 AS INTEGER) AS line, CAST(NULL AS INTEGER) AS "column",
+         'performance' AS category, 'High Cyclomatic Complexity' AS title,
+         'Function fn' || CAST(j AS VARCHAR) || ' has complexity ' || CAST((s + j * 7) % 20 + 1 AS VARCHAR) AS description
+  FROM cx WHERE (s + j * 7) % 20 + 1 > 10)
+SELECT {finding_id_sql()} AS id, repo_id, file, line, title, description FROM cf"""
+
+_SECRET = """
+st AS (
+  SELECT doc_id, text || ' sk-' || md5(CAST(doc_id AS VARCHAR)) || ' key='
+         || substr(md5(CAST(doc_id + 1 AS VARCHAR)), 1, CAST(18 + doc_id % 4 AS INTEGER)) AS text
+  FROM documents)"""
+
+ORACLES["secret_mask"] = f"""WITH {_SECRET}
+SELECT doc_id, regexp_replace(regexp_replace(text, '(sk-)[a-zA-Z0-9]{{32,}}', '\\1********', 'g'),
+                              '(key=)[a-zA-Z0-9-_]{{20,}}', '\\1********', 'g') AS masked_text
+FROM st"""
+
+ORACLES["secret_findings"] = f"""WITH {_SECRET},
+c AS (
+  SELECT doc_id, 'sk_token' AS kind, CAST(len(regexp_extract_all(text, '(sk-)[a-zA-Z0-9]{{32,}}')) AS INTEGER) AS n FROM st
+  UNION ALL
+  SELECT doc_id, 'key_param', CAST(len(regexp_extract_all(text, '(key=)[a-zA-Z0-9-_]{{20,}}')) AS INTEGER) FROM st)
+SELECT doc_id, kind, n FROM c WHERE n > 0"""
+
+ORACLES["rule_findings"] = f"""WITH {_SECRET},
+ln AS (
+  SELECT doc_id, CAST(generate_subscripts(l, 1) AS INTEGER) AS line_no, unnest(l) AS line
+  FROM (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS l FROM st)),
+rules(rule_id, rx, severity, cwe_id, title) AS (VALUES
+  ('hardcoded-token', 'token = "[0-9a-f]{{40}}"', 'high', 'CWE-798', 'Hard-coded token'),
+  ('sk-secret', '(sk-)[a-zA-Z0-9]{{32,}}', 'critical', 'CWE-798', 'API key in source'),
+  ('key-param', '(key=)[a-zA-Z0-9-_]{{20,}}', 'high', 'CWE-598', 'Key passed in URL parameter'),
+  ('os-system', 'os\\.system\\(', 'high', 'CWE-78', 'Shell command execution'),
+  ('eval-call', '\\beval\\(', 'high', 'CWE-95', 'Use of eval'))
+SELECT doc_id, line_no, rule_id, severity, cwe_id, title
+FROM ln JOIN rules ON regexp_matches(line, rx)"""
+
+ORACLES["advisory_hits"] = """
+WITH req AS (
+  SELECT 'pkg' || regexp_extract(p_brand, '(\\d+)', 1) AS name,
+         CAST(p_size % 5 AS VARCHAR) || '.' || CAST(p_partkey % 10 AS VARCHAR) || '.' || CAST(p_size % 7 AS VARCHAR) AS version,
+         'src/m' || CAST(p_partkey AS VARCHAR) || '.py' AS path
+  FROM part),
+b AS (SELECT DISTINCT CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INTEGER) AS b FROM part),
+adv AS (
+  SELECT 'pkg' || CAST(b AS VARCHAR) AS name, 'ADV-' || CAST(b AS VARCHAR) || '-1' AS advisory_id,
+         [b % 5, 0, 0] AS lo, [b % 5, 5, 0] AS hi, 'high' AS severity FROM b
+  UNION ALL
+  SELECT 'pkg' || CAST(b AS VARCHAR), 'ADV-' || CAST(b AS VARCHAR) || '-2', [3, b % 10, 0], [4, 0, 0], 'critical' FROM b)
+SELECT path, req.name, version, advisory_id, severity
+FROM req JOIN adv ON req.name = adv.name
+WHERE list_transform(string_split(version, '.'), lambda x: CAST(x AS INTEGER)) >= adv.lo
+  AND list_transform(string_split(version, '.'), lambda x: CAST(x AS INTEGER)) < adv.hi"""
+
+ORACLES["policy_violations"] = """
+SELECT doc_id, 'no-hardcoded-token' AS rule_id FROM documents WHERE regexp_matches(text, 'token = "[0-9a-f]{40}"')
+UNION ALL
+SELECT doc_id, 'license-header' FROM documents WHERE NOT regexp_matches(text, '(?m)^.*License.*$')"""
+
+_SCOPE = """
+sp AS (
+  SELECT CAST(p_partkey % 50 AS VARCHAR) AS repo_id,
+         ['src', 'src/node_modules/lib', '.github/workflows', 'pkg/.git/hooks', 'vendor/x', 'tests', 'logs/old',
+          '.cache/a', 'src/.gemini', 'lib/util'][CAST(p_partkey % 10 AS INTEGER) + 1] AS dir,
+         '/m' || CAST(p_partkey AS VARCHAR)
+         || ['.py', '.py', '.spec.py', '.test.js', '.java', '.ts', '.tsx', '.py', '.md', '.py'][CAST(p_size % 10 AS INTEGER) + 1] AS fname
+  FROM part),
+scoped AS (
+  SELECT repo_id, dir || fname AS path FROM sp
+  WHERE fname LIKE '%.py'
+    AND NOT (contains(dir, 'node_modules') OR contains(dir, '.git') OR contains(dir, '.gemini')
+             OR contains(dir, '.cache') OR contains(dir, 'logs'))
+    AND NOT (('/' || dir || '/') LIKE '%/node_modules/%' OR ('/' || dir || '/') LIKE '%/vendor/%'
+             OR fname LIKE '%.test.js' OR fname LIKE '%.spec.py'))"""
+
+ORACLES["scope_files"] = f"WITH {_SCOPE}\nSELECT repo_id, path FROM scoped"
+
+ORACLES["file_cap"] = f"""WITH {_SCOPE},
+n AS (SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS rn,
+             count(*) OVER (PARTITION BY repo_id) AS total_files FROM scoped)
+SELECT repo_id, path, CAST(total_files AS BIGINT) AS total_files,
+       CAST(least(total_files, 10) AS BIGINT) AS files_analyzed
+FROM n WHERE rn <= 10"""
+
+_CFG = """
+cfg AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS repo_id,
+    CASE WHEN c_custkey % 3 = 1 THEN CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'high' WHEN 'BUILDING' THEN 'low'
+                                      WHEN 'FURNITURE' THEN 'critical' WHEN 'MACHINERY' THEN 'info' ELSE 'medium' END
+         WHEN c_custkey % 3 = 2 AND c_mktsegment = 'HOUSEHOLD' THEN NULL
+         ELSE 'medium' END AS severity_threshold,
+    CASE WHEN c_custkey % 3 = 2 THEN ['security_audit', 'performance_analysis']
+         ELSE ['static_analysis', 'security_audit', 'performance_analysis', 'pattern_analysis',
+               'testing_assessment', 'logic_verification'] END AS enabled_checks,
+    CASE WHEN c_custkey % 3 = 1 THEN c_acctbal > 0 ELSE TRUE END AS auto_fix_enabled,
+    CASE WHEN c_custkey % 3 = 1 THEN NULL ELSE TRUE END AS auto_fix_safe_only,
+    600 AS max_analysis_time,
+    CASE WHEN c_custkey % 3 = 2 THEN ['style'] END AS skip_categories
+  FROM customer)"""
+
+ORACLES["config_effective"] = f"""WITH {_CFG}
+SELECT repo_id, severity_threshold, array_to_string(enabled_checks, ',') AS enabled_checks, auto_fix_enabled,
+       auto_fix_safe_only, max_analysis_time, array_to_string(skip_categories, ',') AS skip_categories
+FROM cfg"""
+
+
+def orders_findings_cte(name: str = "of") -> str:
+    """Findings generated from orders (revline.sources.gen.gen_findings_orders)."""
+    return f"""
+{name}_raw AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS repo_id, 'orders/' || o_orderstatus || '.py' AS file,
+         CAST(dayofmonth(o_orderdate) AS INTEGER) AS line, CAST(NULL AS INTEGER) AS "column",
+         CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium'
+              WHEN '5-LOW' THEN 'low' WHEN '4-NOT SPECIFIED' THEN 'info' END AS severity,
+         ['static', 'pattern', 'security', 'performance', 'testing', 'logic', 'policy'][CAST(o_orderkey % 7 AS INTEGER) + 1] AS stage,
+         ['style', 'pattern', 'security', 'performance', 'testing', 'logic', 'policy'][CAST(o_orderkey % 7 AS INTEGER) + 1] AS category,
+         'Priority ' || o_orderpriority || CASE WHEN o_orderkey % 9 = 0 THEN chr(10) || ')' ELSE '' END AS title,
+         'order ' || CAST(o_orderkey AS VARCHAR) AS description,
+         o_orderstatus <> 'P' AS auto_fixable,
+         CAST(o_orderkey % 7 AS INTEGER) AS stage_order,
+         CAST(epoch(o_orderdate) AS BIGINT) * 1000000 + o_orderkey % 1000000 AS seq,
+         o_orderkey
+  FROM orders),
+{name} AS (SELECT *, {finding_id_sql()} AS id FROM {name}_raw)"""
+
+
+SEV_RANK = """CASE {c} WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3
+  WHEN 'info' THEN 4 WHEN NULL THEN 4 ELSE CASE WHEN {c} IS NULL THEN 4 ELSE 5 END END"""
+
+
+def sev_rank(c: str) -> str:
+    return SEV_RANK.format(c=c)
+
+
+ORACLES["threshold_filter"] = f"""WITH {orders_findings_cte()}, {_CFG},
+stages AS (
+  SELECT repo_id, severity_threshold, coalesce(skip_categories, []) AS skip,
+         list_transform(enabled_checks, lambda c: CASE c WHEN 'static_analysis' THEN 'static'
+            WHEN 'pattern_analysis' THEN 'pattern' WHEN 'security_audit' THEN 'security'
+            WHEN 'performance_analysis' THEN 'performance' WHEN 'testing_assessment' THEN 'testing'
+            WHEN 'logic_verification' THEN 'logic' WHEN 'policy_verification' THEN 'policy' END) AS st
+  FROM cfg)
+SELECT id, f.repo_id, severity, stage
+FROM of f JOIN stages s ON f.repo_id = s.repo_id
+WHERE ({sev_rank('severity')} <= {sev_rank('severity_threshold')}
+       OR ({sev_rank('severity')} = 5 AND {sev_rank('severity_threshold')} = 4))
+  AND list_contains(st, stage) AND NOT list_contains(skip, category)"""

@@ -192,7 +192,7 @@ def gen_lint_reports(part: DataFrame) -> DataFrame:
             F.concat(F.lit("symbol-"), j.cast("string")).alias("symbol"),
         ))
     report = F.when(k % 10 == 0, F.lit('{"error": "Pylint timeout"}')).otherwise(F.to_json(issues))
-    return part.select(path.alias("path"), report.alias("report"))
+    return part.select((k % 50).cast("string").alias("repo_id"), path.alias("path"), report.alias("report"))
 
 
 def gen_complexity_reports(part: DataFrame) -> DataFrame:
@@ -210,10 +210,10 @@ def gen_complexity_reports(part: DataFrame) -> DataFrame:
     this_entry = F.when(k % 10 == 0, F.lit('{"error": "could not parse"}')).otherwise(F.to_json(blocks))
     other = F.lit('[{"name": "other", "lineno": 1, "complexity": 30, "type": "F"}]')
     report = F.concat(
-        F.lit("{"), F.to_json(path), F.lit(": "), this_entry,
+        F.lit('{"'), path, F.lit('": '), this_entry,
         F.when(k % 4 == 1, F.concat(F.lit(', "vendor/other.py": '), other)).otherwise(F.lit("")),
         F.lit("}"))
-    return part.select(path.alias("path"), report.alias("report"))
+    return part.select((k % 50).cast("string").alias("repo_id"), path.alias("path"), report.alias("report"))
 
 
 def gen_requirements(part: DataFrame) -> DataFrame:
@@ -252,3 +252,27 @@ def gen_review_events(events: DataFrame) -> DataFrame:
         F.concat(F.col("event_type"), F.lit("_complete")).alias("current_step"),
         (F.col("event_id") % 3).cast("int").alias("files_delta"),
     )
+
+
+# fixed value: severity threshold chosen per market segment in generated configs
+SEGMENT_THRESHOLD = {"AUTOMOBILE": "high", "BUILDING": "low", "FURNITURE": "critical",
+                     "MACHINERY": "info", "HOUSEHOLD": "medium"}
+
+
+def gen_repo_configs(customer: DataFrame) -> DataFrame:
+    """One user config document (JSON) per customer-repo.
+
+    key % 3 = 0: none (defaults); 1: a threshold by segment and an ``auto_fix`` without
+    ``safe_only``; 2: two enabled checks, skip ``style``, and for HOUSEHOLD an explicitly empty
+    threshold.
+    """
+    k = F.col("c_custkey")
+    thr = _map_col(SEGMENT_THRESHOLD, F.col("c_mktsegment"))
+    one = F.format_string('{"severity_threshold": "%s", "auto_fix": {"enabled": %s}}', thr,
+                          F.when(F.col("c_acctbal") > 0, F.lit("true")).otherwise(F.lit("false")))
+    two = F.concat(
+        F.lit('{"enabled_checks": ["security_audit", "performance_analysis"], "skip_categories": ["style"]'),
+        F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.lit(', "severity_threshold": null')).otherwise(F.lit("")),
+        F.lit("}"))
+    doc = F.when(k % 3 == 1, one).when(k % 3 == 2, two)
+    return customer.select(k.cast("string").alias("repo_id"), doc.alias("config_json"))

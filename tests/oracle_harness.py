@@ -80,7 +80,12 @@ if __name__ == "__main__":
     bad = 0
     for name in names or sorted(qs):
         t0 = time.time()
-        df = qs[name](spark, sf)
+        try:
+            df = qs[name](spark, sf)
+        except Exception as e:  # noqa: BLE001
+            bad += 1
+            print(f"{name:28s} BAD build error: {type(e).__name__}: {str(e)[:300]}", flush=True)
+            continue
         if name not in os_:
             n = df.count()
             print(f"{name:28s} ROWS-ONLY {n} rows  {time.time()-t0:.1f}s", flush=True)
