@@ -6,10 +6,10 @@ many tasks. Each task numbers its rows; a small table of per-(group, partition)
 those local numbers into group positions with a running sum. That table has at most
 #groups + #partitions rows, whatever the skew.
 
-The sorted frame is read twice (counts, numbering) from one shuffle: ``repartitionByRange``
-with an explicit partition count is not coalesced by AQE and the exchange is reused, so both
-reads see the same partitions. Rows of one group are contiguous inside a sorted partition, so the
-counts do not depend on how ties are broken.
+The numbered frame is read twice (counts, numbering), so it is written once with a reliable
+``checkpoint()`` into the shared checkpoint folder: two independent evaluations would sample
+different range bounds (the sampler is seeded by RDD id) and disagree. The checkpoint also cuts
+the lineage, so a lost executor re-reads it instead of re-sorting.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revline.session import ensure_checkpoint_dir
+
 _IDX_BITS = 33  # monotonically_increasing_id = partition index << 33 | row index
 
 
@@ -35,19 +37,21 @@ def positions(df: DataFrame, group: str, order: list, pos_col: str = "pos",
         partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                          spark.sparkContext.defaultParallelism)
     order_cols: list[Column] = [F.col(c) if isinstance(c, str) else c for c in order]
-    keyed = df.withColumn("_grp", F.col(group))
-    ranged = keyed.repartitionByRange(partitions, F.col("_grp"), *order_cols) \
-        .sortWithinPartitions(F.col("_grp"), *order_cols)
+    ensure_checkpoint_dir(spark)
+    keyed = df.withColumn("__grp", F.col(group))
+    ranged = keyed.repartitionByRange(partitions, F.col("__grp"), *order_cols) \
+        .sortWithinPartitions(F.col("__grp"), *order_cols)
     mid = F.monotonically_increasing_id()
-    numbered = ranged.withColumn("_mid", mid) \
-        .withColumn("_part", F.shiftright("_mid", _IDX_BITS)) \
-        .withColumn("_idx", F.col("_mid").bitwiseAND(F.lit((1 << _IDX_BITS) - 1)))
-    counts = numbered.groupBy("_grp", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_idx").alias("_first"))
-    before = Window.partitionBy("_grp").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    out = numbered.join(offsets, ["_grp", "_part"])
-    out = out.withColumn(pos_col, (F.col("_off") + F.col("_idx") - F.col("_first") + 1).cast("long"))
-    return out.drop("_grp", "_mid", "_part", "_idx", "_n", "_first", "_off")
+    numbered = ranged.withColumn("__mid", mid) \
+        .withColumn("__part", F.shiftright("__mid", _IDX_BITS)) \
+        .withColumn("__idx", F.col("__mid").bitwiseAND(F.lit((1 << _IDX_BITS) - 1))) \
+        .drop("__mid").checkpoint(eager=True)
+    counts = numbered.groupBy("__grp", "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__idx").alias("__first"))
+    before = Window.partitionBy("__grp").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    out = numbered.join(offsets, ["__grp", "__part"])
+    out = out.withColumn(pos_col, (F.col("__off") + F.col("__idx") - F.col("__first") + 1).cast("long"))
+    return out.drop("__grp", "__part", "__idx", "__n", "__first", "__off")
 
 
 def group_sizes(df: DataFrame, group: str, name: str = "group_size") -> DataFrame:

@@ -216,3 +216,282 @@ def threshold_filter(spark, sf_dir):
     """B8 + B9 with each repo's effective config."""
     kept = B.apply_config(_order_findings(spark, sf_dir), _configs(spark, sf_dir))
     return kept.select("id", "repo_id", "severity", "stage")
+
+
+# ---- E: synthesis ------------------------------------------------------------------------------
+import datetime as _dt  # noqa: E402
+
+from revline.operators import fixes as X  # noqa: E402
+from revline.operators import languages as L  # noqa: E402
+from revline.operators import metrics as M  # noqa: E402
+from revline.operators import policy as P  # noqa: E402
+from revline.operators import prompts as PR  # noqa: E402
+from revline.operators import versions as V  # noqa: E402
+from revline.plans import reports as RP  # noqa: E402
+from revline.streaming import fold as G  # noqa: E402
+from revline.streaming import incremental as GI  # noqa: E402
+
+
+def _event_findings(spark, sf_dir):
+    return gen.gen_findings_events(load(spark, sf_dir, "events"))
+
+
+def _customer_repos(spark, sf_dir):
+    return load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("repo_id"))
+
+
+@query("prioritized")
+def prioritized(spark, sf_dir):
+    """E5: position in each repo's list by severity rank (stable: stage, insertion order, id)."""
+    return S.prioritize(_order_findings(spark, sf_dir)).select("id", "repo_id", "severity", "priority")
+
+
+@query("prioritized_alpha")
+def prioritized_alpha(spark, sf_dir):
+    """The same list sorted by the severity string."""
+    return S.prioritize(_order_findings(spark, sf_dir), "alpha").select("id", "repo_id", "severity", "priority")
+
+
+@query("event_scores")
+def event_scores(spark, sf_dir):
+    """E2–E4, E11 over findings from events (repo = user and hour)."""
+    return S.repo_scores(_event_findings(spark, sf_dir))
+
+
+@query("order_scores")
+def order_scores(spark, sf_dir):
+    """E2 with every customer-repo listed (left join), findings from orders."""
+    return S.repo_scores(_order_findings(spark, sf_dir), repos=_customer_repos(spark, sf_dir))
+
+
+@query("severity_counts")
+def severity_counts(spark, sf_dir):
+    return S.severity_counts(_event_findings(spark, sf_dir))
+
+
+@query("total_issues")
+def total_issues(spark, sf_dir):
+    return S.total_issues(_event_findings(spark, sf_dir))
+
+
+@query("category_heat")
+def category_heat(spark, sf_dir):
+    return S.category_heat(_event_findings(spark, sf_dir))
+
+
+@query("stage_counts")
+def stage_counts(spark, sf_dir):
+    return S.stage_counts(_event_findings(spark, sf_dir))
+
+
+@query("top5_per_repo")
+def top5_per_repo(spark, sf_dir):
+    return S.top_k(_order_findings(spark, sf_dir), 5)
+
+
+@query("quick_wins")
+def quick_wins(spark, sf_dir):
+    return S.quick_wins(_order_findings(spark, sf_dir), 3)
+
+
+# ---- fixes ---------------------------------------------------------------------------------------
+def _candidates(spark, sf_dir):
+    return X.fix_candidates(_order_findings(spark, sf_dir))
+
+
+@query("fix_gate")
+def fix_gate(spark, sf_dir):
+    return X.fix_gate(_order_findings(spark, sf_dir), _configs(spark, sf_dir))
+
+
+@query("fixes")
+def fixes(spark, sf_dir):
+    return X.valid_fixes(_candidates(spark, sf_dir))
+
+
+@query("fix_errors")
+def fix_errors(spark, sf_dir):
+    return X.fix_errors(_candidates(spark, sf_dir))
+
+
+@query("approved_fixes")
+def approved_fixes(spark, sf_dir):
+    """Approvals are the findings of orders above 250,000."""
+    orders = load(spark, sf_dir, "orders")
+    approvals = gen.gen_findings_orders(orders.filter(F.col("o_totalprice") > 250000)).select(F.col("id").alias("issue_id"))
+    return X.approved(X.valid_fixes(_candidates(spark, sf_dir)), approvals).select("repo_id", "issue_id", "status")
+
+
+@query("safe_fixes")
+def safe_fixes(spark, sf_dir):
+    return X.safe_only(_candidates(spark, sf_dir), _configs(spark, sf_dir)) \
+        .select("issue_id", "repo_id", "severity", "valid")
+
+
+@query("test_stubs")
+def test_stubs(spark, sf_dir):
+    return X.test_stubs(D.review_findings(_gen_files(spark, sf_dir), D.SMELL_DETECTORS))
+
+
+@query("issue_payloads")
+def issue_payloads(spark, sf_dir):
+    p = X.issue_payloads(D.review_findings(_gen_files(spark, sf_dir), D.SMELL_DETECTORS))
+    return p.select("id", "repo_id", "title", "body", F.array_join("labels", ",").alias("labels"))
+
+
+# ---- B5/B6: versions -------------------------------------------------------------------------------
+DIFF_FROM = (_dt.date(1997, 1, 1) - _dt.date(1970, 1, 1)).days
+DIFF_TO = (_dt.date(1999, 1, 1) - _dt.date(1970, 1, 1)).days
+
+
+def _versions(spark, sf_dir):
+    return gen.gen_file_versions(load(spark, sf_dir, "orders"))
+
+
+@query("file_as_of")
+def file_as_of(spark, sf_dir):
+    return V.snapshot(_versions(spark, sf_dir), DIFF_TO)
+
+
+@query("changed_files")
+def changed_files(spark, sf_dir):
+    return V.changed_files(_versions(spark, sf_dir), DIFF_FROM, DIFF_TO)
+
+
+# ---- D14/D15/A5: policy ------------------------------------------------------------------------------
+def _policy_top(spark, sf_dir):
+    return P.topk_policies(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), k=3)
+
+
+@query("policy_topk")
+def policy_topk(spark, sf_dir):
+    return _policy_top(spark, sf_dir)
+
+
+def _policy_findings(spark, sf_dir):
+    files = gen.doc_files(load(spark, sf_dir, "documents")).withColumnRenamed("path", "file")
+    return P.policy_findings(files, _policy_top(spark, sf_dir))
+
+
+@query("policy_findings")
+def policy_findings(spark, sf_dir):
+    return _policy_findings(spark, sf_dir)
+
+
+@query("policy_index")
+def policy_index(spark, sf_dir):
+    return P.index_message(load(spark, sf_dir, "benchmark"))
+
+
+@query("policy_run_check")
+def policy_run_check(spark, sf_dir):
+    """Policy findings counted, the first one shown."""
+    return G.run_check(_policy_findings(spark, sf_dir))
+
+
+@query("embedding_topk")
+def embedding_topk(spark, sf_dir):
+    """D15 (b): the 3 nearest label centroids of every embedding by cosine similarity."""
+    emb = load(spark, sf_dir, "embeddings")
+    top = P.cosine_topk(emb, P.centroids(emb), k=3)
+    return top.select("vec_id", "rank", "label", F.round("similarity", 4).alias("similarity"))
+
+
+# ---- D17/D18: prompts ------------------------------------------------------------------------------------
+@query("persona_prompts")
+def persona_prompts(spark, sf_dir):
+    files = gen.doc_files(load(spark, sf_dir, "documents"))
+    return PR.review_prompts(files, "persona_id").select("doc_id", "persona_id", "system_prompt", "human_prompt")
+
+
+@query("logic_findings")
+def logic_findings(spark, sf_dir):
+    """Prompts are user turns; the model's response is the next assistant turn of the conversation."""
+    conv = load(spark, sf_dir, "conversations")
+    prompts = conv.filter(F.col("role") == "user").select(
+        "conv_id", "turn", F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit("/"),
+                                    F.col("turn").cast("string")).alias("path"), F.col("text").alias("content"))
+    responses = conv.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
+    return PR.responses_to_findings(PR.review_prompts(prompts), responses, ["conv_id", "turn"])
+
+
+# ---- D19–D21: metrics ------------------------------------------------------------------------------------
+@query("test_summary")
+def test_summary(spark, sf_dir):
+    return M.test_summary(gen.gen_test_results(load(spark, sf_dir, "events")))
+
+
+@query("coverage")
+def coverage(spark, sf_dir):
+    return M.coverage(gen.gen_line_hits(load(spark, sf_dir, "lineitem")))
+
+
+@query("latency_profile")
+def latency_profile(spark, sf_dir):
+    return M.latency_profile(gen.gen_runs(load(spark, sf_dir, "events")))
+
+
+@query("latency_quantiles")
+def latency_quantiles(spark, sf_dir):
+    return M.latency_quantiles(gen.gen_runs(load(spark, sf_dir, "events")))
+
+
+# ---- F: reports ------------------------------------------------------------------------------------------
+RUN_DATE = "2024-01-31T00:00:00"
+
+
+@query("markdown_report")
+def markdown_report(spark, sf_dir):
+    return RP.markdown_lines(_order_findings(spark, sf_dir), _customer_repos(spark, sf_dir))
+
+
+@query("json_report")
+def json_report(spark, sf_dir):
+    return RP.json_lines(_order_findings(spark, sf_dir), _customer_repos(spark, sf_dir))
+
+
+@query("bootstrap_report")
+def bootstrap_report(spark, sf_dir):
+    f = D.review_findings(_gen_files(spark, sf_dir), ["unsafe_call", "missing_docstring"])
+    return RP.bootstrap_lines(f)
+
+
+@query("full_phase_report")
+def full_phase_report(spark, sf_dir):
+    return RP.full_phase_lines(_order_findings(spark, sf_dir), RUN_DATE)
+
+
+# ---- G: streaming ------------------------------------------------------------------------------------------
+@query("run_progress")
+def run_progress(spark, sf_dir):
+    """G1–G3 in batch: last step per run, accumulated counters, step label."""
+    return G.step_labels(G.fold_runs(gen.gen_review_events(load(spark, sf_dir, "events"))))
+
+
+@query("stream_progress")
+def stream_progress(spark, sf_dir):
+    """G1–G3 with Structured Streaming over the events file (complete mode)."""
+    schema = load(spark, sf_dir, "events").schema
+    stream = GI.stream_file_table(spark, sf_dir, schema, "events.parquet")
+    folded = G.fold_runs(gen.gen_review_events(stream))
+    return G.step_labels(GI.run_to_table(spark, folded, "progress"))
+
+
+@query("stream_scores")
+def stream_scores(spark, sf_dir):
+    """Files arrive as a stream; parse and detectors per micro-batch, running scores."""
+    schema = load(spark, sf_dir, "part").schema
+    files = gen.gen_source_files(GI.stream_file_table(spark, sf_dir, schema, "part.parquet"))
+    return GI.run_to_table(spark, GI.running_scores(D.review_findings(files)), "scores")
+
+
+# ---- B10/B11: languages ------------------------------------------------------------------------------------
+@query("language_counts")
+def language_counts(spark, sf_dir):
+    return L.language_counts(gen.gen_scope_paths(load(spark, sf_dir, "part")))
+
+
+@query("primary_language")
+def primary_language(spark, sf_dir):
+    return L.primary_language(gen.gen_scope_paths(load(spark, sf_dir, "part")))

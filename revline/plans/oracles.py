@@ -366,3 +366,304 @@ FROM of f JOIN stages s ON f.repo_id = s.repo_id
 WHERE ({sev_rank('severity')} <= {sev_rank('severity_threshold')}
        OR ({sev_rank('severity')} = 5 AND {sev_rank('severity_threshold')} = 4))
   AND list_contains(st, stage) AND NOT list_contains(skip, category)"""
+
+
+# ---- synthesis over generated findings -------------------------------------------------------------
+def events_findings_cte(name: str = "ef") -> str:
+    return f"""
+{name}_raw AS (
+  SELECT concat_ws('/', CAST(user_id AS VARCHAR), strftime(ts, '%Y%m%d%H')) AS repo_id,
+         'events/' || event_type || '.py' AS file, CAST(event_id % 1000 AS INTEGER) AS line,
+         CAST(NULL AS INTEGER) AS "column",
+         CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high' WHEN 'click' THEN 'medium'
+              WHEN 'view' THEN 'low' WHEN 'signup' THEN 'info' END AS severity,
+         ['static', 'pattern', 'security', 'performance', 'testing', 'logic', 'policy'][CAST(event_id % 7 AS INTEGER) + 1] AS stage,
+         ['style', 'pattern', 'security', 'performance', 'testing', 'logic', 'policy'][CAST(event_id % 7 AS INTEGER) + 1] AS category,
+         'Event ' || event_type AS title, 'event ' || CAST(event_id AS VARCHAR) AS description,
+         value > 50 AS auto_fixable, CAST(event_id % 7 AS INTEGER) AS stage_order, event_id AS seq
+  FROM events),
+{name} AS (SELECT *, {finding_id_sql()} AS id FROM {name}_raw)"""
+
+
+_PRI = f"{sev_rank('severity')}, stage_order, seq, id"
+
+ORACLES["prioritized"] = f"""WITH {orders_findings_cte()}
+SELECT id, repo_id, severity, row_number() OVER (PARTITION BY repo_id ORDER BY {_PRI}) AS priority FROM of"""
+
+ORACLES["prioritized_alpha"] = f"""WITH {orders_findings_cte()}
+SELECT id, repo_id, severity, row_number() OVER (PARTITION BY repo_id ORDER BY severity, stage_order, seq, id) AS priority
+FROM of"""
+
+ORACLES["event_scores"] = scores_sql(events_findings_cte(), "ef")
+ORACLES["order_scores"] = scores_sql(orders_findings_cte(), "of",
+                                     repos_sql="SELECT CAST(c_custkey AS VARCHAR) AS repo_id FROM customer")
+
+ORACLES["severity_counts"] = f"""WITH {events_findings_cte()},
+r AS (SELECT DISTINCT repo_id FROM ef),
+s(severity) AS (VALUES ('critical'), ('high'), ('medium'), ('low'), ('info'))
+SELECT r.repo_id, s.severity, CAST(count(ef.id) AS BIGINT) AS n
+FROM r CROSS JOIN s LEFT JOIN ef ON ef.repo_id = r.repo_id AND coalesce(ef.severity, 'info') = s.severity
+GROUP BY r.repo_id, s.severity
+UNION ALL
+SELECT repo_id, severity, CAST(count(*) AS BIGINT) FROM ef
+WHERE coalesce(severity, 'info') NOT IN ('critical', 'high', 'medium', 'low', 'info') GROUP BY repo_id, severity"""
+
+ORACLES["total_issues"] = f"""WITH {events_findings_cte()}
+SELECT repo_id, CAST(count(*) AS BIGINT) AS total_issues FROM ef GROUP BY repo_id"""
+
+ORACLES["category_heat"] = f"""WITH {events_findings_cte()},
+r AS (SELECT DISTINCT repo_id FROM ef),
+s(stage) AS (VALUES ('static'), ('pattern'), ('security'), ('performance'), ('logic')),
+c AS (SELECT r.repo_id, s.stage, CAST(count(ef.id) AS BIGINT) AS n
+      FROM r CROSS JOIN s LEFT JOIN ef ON ef.repo_id = r.repo_id AND ef.stage = s.stage GROUP BY r.repo_id, s.stage)
+SELECT repo_id, upper(substr(stage, 1, 1)) || substr(stage, 2) AS category, n,
+       CASE WHEN n < 5 THEN 'LOW' WHEN n < 15 THEN 'MED' ELSE 'HIGH' END AS heat
+FROM c"""
+
+ORACLES["stage_counts"] = f"""WITH {events_findings_cte()},
+r AS (SELECT DISTINCT repo_id FROM ef),
+s(stage) AS (VALUES ('static'), ('pattern'), ('security'), ('performance'), ('testing'), ('logic'), ('policy'))
+SELECT r.repo_id, s.stage, CAST(count(ef.id) AS BIGINT) AS n
+FROM r CROSS JOIN s LEFT JOIN ef ON ef.repo_id = r.repo_id AND ef.stage = s.stage GROUP BY r.repo_id, s.stage"""
+
+ORACLES["top5_per_repo"] = f"""WITH {orders_findings_cte()},
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY {_PRI}) AS INTEGER) AS pos FROM of)
+SELECT repo_id, pos, id, severity,
+       CAST(pos AS VARCHAR) || '. [' || upper(severity) || '] ' || coalesce(title, 'Untitled') AS headline,
+       coalesce(file, 'Unknown file') || ':' || coalesce(CAST(line AS VARCHAR), '?') AS location
+FROM t WHERE pos <= 5"""
+
+ORACLES["quick_wins"] = f"""WITH {orders_findings_cte()},
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY {_PRI}) AS INTEGER) AS pos FROM of WHERE auto_fixable)
+SELECT repo_id, pos, id, severity, title FROM t WHERE pos <= 3"""
+
+ORACLES["fix_gate"] = f"""WITH {orders_findings_cte()}, {_CFG},
+u AS (SELECT repo_id, bool_or(severity IN ('critical', 'high') AND auto_fixable) AS h FROM of GROUP BY repo_id)
+SELECT c.repo_id,
+       CASE WHEN coalesce(c.auto_fix_enabled, FALSE) AND coalesce(u.h, FALSE) THEN 'generate_fixes' ELSE 'skip_fixes' END AS decision_root,
+       CASE WHEN coalesce(c.auto_fix_enabled, FALSE) THEN 'generate_fixes' ELSE 'skip_fixes' END AS decision_src
+FROM cfg c LEFT JOIN u ON c.repo_id = u.repo_id"""
+
+_FIXCODE = "'# Fixed ' || title || chr(10) || 'def fixed_function():' || chr(10) || '    pass'"
+
+ORACLES["fixes"] = f"""WITH {orders_findings_cte()}
+SELECT repo_id, id AS issue_id, {_FIXCODE} AS fix_code, 'valid_syntax' AS status
+FROM of WHERE auto_fixable AND o_orderkey % 9 <> 0"""
+
+ORACLES["fix_errors"] = f"""WITH {orders_findings_cte()}
+SELECT repo_id, id AS issue_id, 'LLM generated invalid syntax for issue ' || id AS error
+FROM of WHERE auto_fixable AND o_orderkey % 9 = 0"""
+
+ORACLES["approved_fixes"] = f"""WITH {orders_findings_cte()}
+SELECT f.repo_id, f.id AS issue_id, 'valid_syntax' AS status
+FROM of f JOIN orders o ON f.o_orderkey = o.o_orderkey
+WHERE f.auto_fixable AND f.o_orderkey % 9 <> 0 AND o.o_totalprice > 250000"""
+
+ORACLES["safe_fixes"] = f"""WITH {orders_findings_cte()}, {_CFG}
+SELECT f.id AS issue_id, f.repo_id, f.severity, f.o_orderkey % 9 <> 0 AS valid
+FROM of f LEFT JOIN cfg c ON f.repo_id = c.repo_id
+WHERE f.auto_fixable AND (NOT coalesce(c.auto_fix_safe_only, FALSE) OR f.severity IN ('low', 'info'))"""
+
+ORACLES["test_stubs"] = f"""WITH {gen_findings_cte(SMELL_KINDS)}
+SELECT id, file, chr(10) || 'import pytest' || chr(10) || 'from ' || replace(replace(file, '.py', ''), '/', '.')
+       || ' import ...' || chr(10) || chr(10) || 'def test_adversarial_logic():' || chr(10)
+       || '    # Automatically generated to test: ' || description || chr(10) || '    assert True' || chr(10) AS test_code
+FROM gf"""
+
+ORACLES["issue_payloads"] = f"""WITH {gen_findings_cte(SMELL_KINDS)}
+SELECT id, repo_id, title, description AS body, severity || ',' || category AS labels FROM gf"""
+
+# ---- versions -------------------------------------------------------------------------------------------
+_FV = """
+fv AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS repo_id, 'f' || CAST(o_orderkey % 7 AS VARCHAR) || '.py' AS path,
+         CAST(datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS commit_seq,
+         o_orderkey AS version_id, 'v = ' || CAST(o_orderkey AS VARCHAR) AS content, o_orderstatus = 'P' AS is_deleted
+  FROM orders)"""
+
+
+def _snap(c: int) -> str:
+    return f"""(SELECT repo_id, path, commit_seq, version_id, content FROM (
+      SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY commit_seq DESC, version_id DESC) AS rn
+      FROM fv WHERE commit_seq <= {c}) WHERE rn = 1 AND NOT is_deleted)"""
+
+
+_D_FROM, _D_TO = 9862, 10592  # 1997-01-01 and 1999-01-01 as days since the epoch
+ORACLES["file_as_of"] = f"WITH {_FV}\nSELECT * FROM {_snap(_D_TO)}"
+ORACLES["changed_files"] = f"""WITH {_FV}
+SELECT coalesce(a.repo_id, b.repo_id) AS repo_id, coalesce(a.path, b.path) AS path,
+       CASE WHEN a.content IS NULL THEN 'added' WHEN b.content IS NULL THEN 'deleted' ELSE 'modified' END AS change_type
+FROM {_snap(_D_FROM)} a FULL OUTER JOIN {_snap(_D_TO)} b ON a.repo_id = b.repo_id AND a.path = b.path
+WHERE a.content IS DISTINCT FROM b.content"""
+
+# ---- policy ----------------------------------------------------------------------------------------------
+_PTOP = """
+dt AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
+pt0 AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark),
+keep AS (SELECT term FROM pt0 GROUP BY term HAVING count(*) <= 0.1 * (SELECT count(*) FROM benchmark)),
+pt AS (SELECT * FROM pt0 WHERE term IN (SELECT term FROM keep)),
+sc AS (SELECT doc_id, item_id, CAST(count(*) AS BIGINT) AS score FROM dt JOIN pt ON dt.term = pt.term GROUP BY doc_id, item_id),
+top AS (SELECT * FROM (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS INTEGER) AS rank,
+                              item_id, score FROM sc) WHERE rank <= 3)"""
+
+ORACLES["policy_topk"] = f"WITH {_PTOP}\nSELECT * FROM top"
+
+_PFIND = f"""{_PTOP},
+pf AS (
+  SELECT d.doc_id, 'docs/' || CAST(d.doc_id AS VARCHAR) || '.txt' AS file, 1 AS line, 'info' AS severity,
+         'policy' AS category, 'Applied Local Policy' AS title,
+         'Verified against standard: ' || coalesce('policy ' || CAST(t.item_id AS VARCHAR), 'no matching policy') AS description
+  FROM documents d LEFT JOIN (SELECT * FROM top WHERE rank = 1) t ON d.doc_id = t.doc_id)"""
+
+ORACLES["policy_findings"] = f"WITH {_PFIND}\nSELECT * FROM pf"
+ORACLES["policy_run_check"] = f"""WITH {_PFIND}
+SELECT CAST(count(*) AS BIGINT) AS n_policy_findings, min_by(file, doc_id) AS first_file,
+       min_by(description, doc_id) AS first_description FROM pf"""
+ORACLES["policy_index"] = "SELECT 'Indexed ' || CAST(count(*) AS VARCHAR) || ' policy documents.' AS message FROM benchmark"
+
+ORACLES["embedding_topk"] = """
+WITH u AS (SELECT label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings),
+c AS (SELECT label, list(m ORDER BY i) AS centroid FROM (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM u GROUP BY label, i)
+      GROUP BY label),
+s AS (SELECT e.vec_id, c.label, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.centroid) AS sim
+      FROM embeddings e CROSS JOIN c)
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, label, round(sim, 4) AS similarity
+FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, label) AS rank FROM s) WHERE rank <= 3"""
+
+# ---- prompts ---------------------------------------------------------------------------------------------
+
+
+def _persona_case() -> str:
+    from revline.operators.prompts import DEFAULT_PERSONA, PERSONA_PROMPTS
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    whens = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in PERSONA_PROMPTS.items())
+    return f"CASE persona_id {whens} ELSE {q(PERSONA_PROMPTS[DEFAULT_PERSONA])} END"
+
+
+def _instruction() -> str:
+    from revline.operators.prompts import INSTRUCTION_SRC
+    return INSTRUCTION_SRC.replace("'", "''")
+
+
+ORACLES["persona_prompts"] = f"""
+WITH d AS (SELECT doc_id, text, CASE lang WHEN 'en' THEN 'architect' WHEN 'de' THEN 'mentor' WHEN 'fr' THEN 'security'
+                                    ELSE 'reviewer' END AS persona_id FROM documents)
+SELECT doc_id, persona_id, {_persona_case()} || chr(10) || '{_instruction()}' AS system_prompt,
+       'File: docs/' || CAST(doc_id AS VARCHAR) || '.txt' || chr(10) || chr(10) || 'Code:' || chr(10) || text AS human_prompt
+FROM d"""
+
+ORACLES["logic_findings"] = """
+WITH u AS (SELECT conv_id, turn, 'conv/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS path
+           FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn - 1 AS turn, text AS response FROM conversations WHERE role = 'assistant')
+SELECT u.conv_id, u.turn, path AS file, 1 AS line, 'medium' AS severity, 'logic' AS category,
+       'Logic Intelligence Scan' AS title, substr(response, 1, 200) || '...' AS description,
+       response AS recommendation, TRUE AS auto_fixable
+FROM u JOIN a ON u.conv_id = a.conv_id AND u.turn = a.turn"""
+
+# ---- metrics ---------------------------------------------------------------------------------------------
+ORACLES["test_summary"] = """
+SELECT CAST(user_id AS VARCHAR) AS repo_id, CAST(count(*) AS BIGINT) AS total,
+       CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS failed,
+       CASE WHEN count(*) FILTER (WHERE event_type = 'error') = 0 THEN 'passed' ELSE 'failed' END AS status
+FROM events GROUP BY user_id"""
+
+ORACLES["coverage"] = """
+SELECT l_orderkey AS file, CAST(count(*) AS BIGINT) AS lines,
+       CAST(count(*) FILTER (WHERE CAST(floor(l_quantity) AS BIGINT) % 3 > 0) AS BIGINT) AS covered,
+       CAST((count(*) FILTER (WHERE CAST(floor(l_quantity) AS BIGINT) % 3 > 0)) * 10000 // count(*) AS BIGINT) AS coverage_bp
+FROM lineitem GROUP BY l_orderkey"""
+
+ORACLES["latency_profile"] = """
+SELECT event_type AS operation, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total_cents,
+       min(value) AS min_value, max(value) AS max_value,
+       CAST(sum(CAST(round(value * 100) AS BIGINT)) // count(*) AS BIGINT) AS mean_cents
+FROM events GROUP BY event_type"""
+
+# ---- reports ---------------------------------------------------------------------------------------------
+ORACLES["markdown_report"] = f"""WITH {orders_findings_cte()},
+r AS (SELECT CAST(c_custkey AS VARCHAR) AS repo_id FROM customer)
+SELECT repo_id, CAST(0 AS BIGINT) AS pos, '# Code Review Report' || chr(10) || chr(10) AS text FROM r
+UNION ALL
+SELECT repo_id, CAST(1 AS BIGINT), 'No issues found.' FROM r WHERE repo_id NOT IN (SELECT repo_id FROM of)
+UNION ALL
+SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY {_PRI}),
+       '## ' || coalesce(title, 'Issue') || chr(10) || '- **Severity**: ' || coalesce(severity, 'Info') || chr(10)
+       || '- **File**: ' || coalesce(file, 'N/A') || chr(10) || '- **Description**: ' || coalesce(description, '')
+       || chr(10) || chr(10)
+FROM of"""
+
+ORACLES["json_report"] = f"""WITH {orders_findings_cte()},
+r AS (SELECT CAST(c_custkey AS VARCHAR) AS repo_id FROM customer),
+n AS (SELECT repo_id, count(*) AS n FROM of GROUP BY repo_id),
+i AS (SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY {_PRI}) AS pos,
+             CAST(json_object('id', id, 'file', file, 'line', line, 'severity', severity, 'category', category,
+                              'title', title, 'description', description, 'auto_fixable', auto_fixable) AS VARCHAR) AS obj
+      FROM of)
+SELECT repo_id, CAST(0 AS BIGINT) AS pos, '{{"findings": [' AS text FROM r
+UNION ALL
+SELECT i.repo_id, i.pos, i.obj || CASE WHEN i.pos < n.n THEN ',' ELSE '' END FROM i JOIN n ON i.repo_id = n.repo_id
+UNION ALL
+SELECT r.repo_id, CAST(coalesce(n.n, 0) + 1 AS BIGINT), '], "summary": "Analysis complete"}}' FROM r LEFT JOIN n ON r.repo_id = n.repo_id"""
+
+ORACLES["bootstrap_report"] = f"""WITH {gen_findings_cte(['unsafe_call', 'missing_docstring'])},
+o AS (SELECT *, CAST(list_position(['static','pattern','security','performance','testing','logic','policy'], stage) - 1 AS INTEGER)
+             AS stage_order FROM gf)
+SELECT DISTINCT repo_id, CAST(0 AS BIGINT) AS pos, '# CodeGuardian Report' || chr(10) || chr(10) || '## Findings' || chr(10) AS text
+FROM o
+UNION ALL
+SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY stage_order, coalesce(line, 0), id),
+       '### ' || title || ' (' || upper(severity) || ')' || chr(10) || '- **File**: ' || file || chr(10)
+       || '- **Description**: ' || description || chr(10) || chr(10)
+FROM o"""
+
+ORACLES["full_phase_report"] = f"""WITH {orders_findings_cte()}
+SELECT repo_id, CAST(0 AS BIGINT) AS pos,
+       '# CodeGuardian Full Review Report' || chr(10) || 'Date: 2024-01-31T00:00:00' || chr(10) || chr(10) || '## Summary'
+       || chr(10) || '- Total Findings: ' || CAST(count(*) AS VARCHAR) || chr(10)
+       || '- Critical: ' || CAST(count(*) FILTER (WHERE severity = 'critical') AS VARCHAR) || chr(10)
+       || '- High: ' || CAST(count(*) FILTER (WHERE severity = 'high') AS VARCHAR) || chr(10)
+       || '- Medium: ' || CAST(count(*) FILTER (WHERE severity = 'medium') AS VARCHAR) || chr(10)
+       || '- Low: ' || CAST(count(*) FILTER (WHERE severity = 'low') AS VARCHAR) || chr(10) || chr(10)
+       || '## Detailed Findings' || chr(10) AS text
+FROM of GROUP BY repo_id
+UNION ALL
+SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY severity, stage_order, seq, id),
+       '### ' || title || ' [' || upper(severity) || ']' || chr(10) || '- File: ' || file || chr(10)
+       || '- Description: ' || description || chr(10) || chr(10)
+FROM of"""
+
+# ---- streaming --------------------------------------------------------------------------------------------
+ORACLES["run_progress"] = """
+WITH re AS (SELECT CAST(user_id AS VARCHAR) AS run_id, ts, event_id, event_type, CAST(event_id % 3 AS INTEGER) AS d FROM events),
+last AS (SELECT run_id, event_type FROM (
+           SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) AS rn FROM re) WHERE rn = 1),
+agg AS (SELECT run_id, CAST(sum(d) AS BIGINT) AS files_analyzed, CAST(count(*) AS BIGINT) AS n_events FROM re GROUP BY run_id)
+SELECT a.run_id, l.event_type || '_complete' AS current_step, files_analyzed, n_events,
+       upper(substr(l.event_type, 1, 1)) || substr(l.event_type, 2) || ' Complete' AS step_label
+FROM agg a JOIN last l ON a.run_id = l.run_id"""
+ORACLES["stream_progress"] = ORACLES["run_progress"]
+
+ORACLES["stream_scores"] = f"""WITH {gen_findings_cte(ALL_KINDS)}
+SELECT repo_id, CAST(count(*) AS BIGINT) AS n_findings,
+       CAST(100 - sum(CASE severity WHEN 'critical' THEN 20 WHEN 'high' THEN 10 WHEN 'medium' THEN 5
+                                    WHEN 'low' THEN 2 ELSE 0 END) AS INTEGER) AS score
+FROM gf GROUP BY repo_id"""
+
+# ---- languages --------------------------------------------------------------------------------------------
+_LANG = """
+lp AS (
+  SELECT CAST(p_partkey % 50 AS VARCHAR) AS repo_id,
+         ['.py', '.py', '.spec.py', '.test.js', '.java', '.ts', '.tsx', '.py', '.md', '.py'][CAST(p_size % 10 AS INTEGER) + 1] AS fname
+  FROM part),
+lc AS (
+  SELECT repo_id, CASE regexp_extract(fname, '(\\.[^./]+)$', 1) WHEN '.py' THEN 'python' WHEN '.java' THEN 'java'
+                       WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'typescript' ELSE 'other' END AS language
+  FROM lp)"""
+
+ORACLES["language_counts"] = f"""WITH {_LANG}
+SELECT repo_id, language, CAST(count(*) AS BIGINT) AS n_files FROM lc GROUP BY repo_id, language"""
+
+ORACLES["primary_language"] = f"""WITH {_LANG},
+c AS (SELECT repo_id, language, CAST(count(*) AS BIGINT) AS n FROM lc WHERE language <> 'other' GROUP BY repo_id, language)
+SELECT repo_id, arg_min(language, (-n, language)) AS primary_language, max(n) AS n_files FROM c GROUP BY repo_id"""

@@ -276,3 +276,29 @@ def gen_repo_configs(customer: DataFrame) -> DataFrame:
         F.lit("}"))
     doc = F.when(k % 3 == 1, one).when(k % 3 == 2, two)
     return customer.select(k.cast("string").alias("repo_id"), doc.alias("config_json"))
+
+
+def gen_test_results(events: DataFrame) -> DataFrame:
+    """Test outcomes: repo = user, one test per event, an error event is a failed test."""
+    return events.select(F.col("user_id").cast("string").alias("repo_id"),
+                         F.concat(F.lit("test_"), F.col("event_id").cast("string")).alias("test"),
+                         F.when(F.col("event_type") == "error", F.lit("failed")).otherwise(F.lit("passed")).alias("outcome"))
+
+
+def gen_line_hits(lineitem: DataFrame) -> DataFrame:
+    """Coverage hits: file = order, line = line number, hits = floor(quantity) % 3."""
+    return lineitem.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line"),
+                           (F.floor("l_quantity") % 3).alias("hits"))
+
+
+def gen_runs(events: DataFrame) -> DataFrame:
+    """A run log: operation = event type, value = the event's measured value."""
+    return events.select(F.col("event_type").alias("operation"), "value")
+
+
+def doc_files(documents: DataFrame) -> DataFrame:
+    """Documents as files: path ``docs/<id>.txt``, persona by language (es has none: fallback)."""
+    persona = F.when(F.col("lang") == "en", F.lit("architect")).when(F.col("lang") == "de", F.lit("mentor")) \
+        .when(F.col("lang") == "fr", F.lit("security")).otherwise(F.lit("reviewer"))
+    return documents.select("doc_id", F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+                            F.col("text").alias("content"), persona.alias("persona_id"))
