@@ -22,8 +22,15 @@ def query(name: str):
     return deco
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Test tables are one row group (one task); spread the narrow rows before generating wide
+    content so generation and parsing run on every core. A real corpus scan is already split."""
+    spark = df.sparkSession
+    return df.repartition(spark.sparkContext.defaultParallelism * 2, *keys)
+
+
 def _gen_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gen.gen_source_files(load(spark, sf_dir, "part"))
+    return gen.gen_source_files(_spread(load(spark, sf_dir, "part"), "p_partkey"))
 
 
 def _gen_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
