@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ast
 import gc
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,6 +53,7 @@ _FUNCS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _AST = ast.AST
 _CTX = (ast.Load, ast.Store, ast.Del)
 _NAME, _CONST = ast.Name, ast.Constant
+_COMPS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
 
 
 def _dotted(node: ast.AST) -> str | None:
@@ -75,9 +77,10 @@ def _extract(tree: ast.AST) -> tuple[int, list, list, list, list]:
     """
     functions, classes, imports, calls = [], [], [], []
     count = 0
-    # stack entries: node, enclosing function record (or None), loop depth
-    stack = [(tree, None, 0)]
-    pop, push = stack.pop, stack.append
+    # breadth first, like ast.walk, so lists come out in the reference's order;
+    # entries: node, enclosing function record (or None), loop depth
+    stack = deque([(tree, None, 0)])
+    pop, push = stack.popleft, stack.append
     for_types, if_types = _LOOPS, (ast.If, ast.IfExp, ast.Assert, ast.ExceptHandler)
     while stack:
         node, fn, depth = pop()
@@ -116,8 +119,10 @@ def _extract(tree: ast.AST) -> tuple[int, list, list, list, list]:
                 fn["complexity"] += len(node.values) - 1
             elif cls is ast.match_case:
                 fn["complexity"] += 1
-        if cls in for_types or cls is ast.comprehension:
+        if cls in for_types:
             child_depth += 1
+        elif cls in _COMPS:
+            child_depth += len(node.generators)
         # leaves (names, constants, contexts) are counted here instead of being pushed
         for field in node._fields:
             v = getattr(node, field, None)
