@@ -16,7 +16,7 @@ def write_report(lines: DataFrame, path: str, partitions: int | None = None) ->
     """
     ordered = lines.repartitionByRange(partitions, "repo_id", "pos") if partitions else lines
     ordered = ordered.orderBy("repo_id", "pos") if not partitions else ordered.sortWithinPartitions("repo_id", "pos")
-    ordered.select("repo_id", F.regexp_replace("text", "\n$", "").alias("value")) \
+    ordered.select("repo_id", F.regexp_replace("text", "\n\\z", "").alias("value")) \
         .write.mode("overwrite").partitionBy("repo_id").text(path)
 
 
