@@ -1,15 +1,17 @@
 """Per-group positions (``row_number`` semantics) that stay parallel when one group is huge.
 
-A ``row_number()`` window puts every row of a group into one task. Here the rows are range
-partitioned on (group, order keys) instead, so a group holding a third of the data is spread over
-many tasks. Each task numbers its rows; a small table of per-(group, partition) counts turns
-those local numbers into group positions with a running sum. That table has at most
-#groups + #partitions rows, whatever the skew.
-
-The numbered frame is read twice (counts, numbering), so it is written once with a reliable
-``checkpoint()`` into the shared checkpoint folder: two independent evaluations would sample
-different range bounds (the sampler is seeded by RDD id) and disagree. The checkpoint also cuts
-the lineage, so a lost executor re-reads it instead of re-sorting.
+Groups are sized first (a partial aggregate, cheap). Ordinary groups get a plain
+``row_number()`` window: each one fits a task. Groups above ``hot_rows`` — at most
+rows / hot_rows of them, so their keys are a short list — are range partitioned on
+(group, order keys) instead, so a group holding a third of the data is spread over many tasks.
+Each task numbers its rows; a small table of per-(group, partition) counts turns those local
+numbers into group positions with a running sum (it has at most #hot groups + #partitions rows).
+
+The numbered hot rows are read twice (counts, numbering), so they are written once with a
+reliable ``checkpoint()`` into the shared checkpoint folder: two independent evaluations would
+sample different range bounds (the sampler is seeded by RDD id) and disagree. The checkpoint also
+cuts the lineage, so a lost executor re-reads it instead of re-sorting. Rows of one group are
+contiguous inside a sorted partition, so the counts do not depend on how ties are broken.
 """
 
 from __future__ import annotations
@@ -20,24 +22,18 @@ from pyspark.sql import functions as F
 from revline.session import ensure_checkpoint_dir
 
 _IDX_BITS = 33  # monotonically_increasing_id = partition index << 33 | row index
+DEFAULT_HOT_ROWS = 2_000_000
+MAX_HOT_KEYS = 100_000
 
 
-def _name(c) -> str:
-    return c if isinstance(c, str) else None
-
+def _cols(order) -> list[Column]:
+    return [F.col(c) if isinstance(c, str) else c for c in order]
 
-def positions(df: DataFrame, group: str, order: list, pos_col: str = "pos",
-              partitions: int | None = None) -> DataFrame:
-    """Add ``pos_col`` = 1-based position of each row inside its ``group`` by ``order``.
 
-    ``order`` should be a total order (end it with a unique key) for reproducible positions.
-    """
+def _range_positions(df: DataFrame, group: str, order: list, pos_col: str, partitions: int) -> DataFrame:
     spark = df.sparkSession
-    if partitions is None:
-        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                         spark.sparkContext.defaultParallelism)
-    order_cols: list[Column] = [F.col(c) if isinstance(c, str) else c for c in order]
     ensure_checkpoint_dir(spark)
+    order_cols = _cols(order)
     keyed = df.withColumn("__grp", F.col(group))
     ranged = keyed.repartitionByRange(partitions, F.col("__grp"), *order_cols) \
         .sortWithinPartitions(F.col("__grp"), *order_cols)
@@ -54,6 +50,29 @@ def positions(df: DataFrame, group: str, order: list, pos_col: str = "pos",
     return out.drop("__grp", "__part", "__idx", "__n", "__first", "__off")
 
 
+def positions(df: DataFrame, group: str, order: list, pos_col: str = "pos", partitions: int | None = None,
+              hot_rows: int | None = None) -> DataFrame:
+    """Add ``pos_col`` = 1-based position of each row inside its ``group`` by ``order``.
+
+    ``order`` should be a total order (end it with a unique key) for reproducible positions.
+    """
+    spark = df.sparkSession
+    if partitions is None:
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    if hot_rows is None:
+        hot_rows = int(spark.conf.get("revline.positions.hotRows", str(DEFAULT_HOT_ROWS)))
+    hot = [r[0] for r in df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+           .filter(F.col("n") > hot_rows).select(group).limit(MAX_HOT_KEYS + 1).collect()]
+    w = Window.partitionBy(group).orderBy(*_cols(order))
+    if not hot:
+        return df.withColumn(pos_col, F.row_number().over(w).cast("long"))
+    if len(hot) > MAX_HOT_KEYS:  # every group is hot: range-split them all
+        return _range_positions(df, group, order, pos_col, partitions)
+    is_hot = F.col(group).isin(hot)
+    cold = df.filter(F.col(group).isNull() | ~is_hot).withColumn(pos_col, F.row_number().over(w).cast("long"))
+    return cold.unionByName(_range_positions(df.filter(is_hot), group, order, pos_col, partitions))
+
+
 def group_sizes(df: DataFrame, group: str, name: str = "group_size") -> DataFrame:
     """Rows per group (partial aggregation makes this skew-safe)."""
     return df.groupBy(group).agg(F.count(F.lit(1)).alias(name))

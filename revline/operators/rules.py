@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 from revline.functions.text import SECRET_PATTERNS, mask_secrets, normalize_newlines, split_lines
 
 # Rule set used by the registered queries (ours; the reference's scanner is a stub).
+# ``literal``: a substring every match contains; lines without it skip the regex.
 DEFAULT_RULES = [
-    {"rule_id": "hardcoded-token", "regex": r'token = "[0-9a-f]{40}"', "severity": "high",
+    {"rule_id": "hardcoded-token", "regex": r'token = "[0-9a-f]{40}"', "literal": 'token = "', "severity": "high",
      "cwe_id": "CWE-798", "title": "Hard-coded token"},
-    {"rule_id": "sk-secret", "regex": SECRET_PATTERNS[0][1], "severity": "critical",
+    {"rule_id": "sk-secret", "regex": SECRET_PATTERNS[0][1], "literal": "sk-", "severity": "critical",
      "cwe_id": "CWE-798", "title": "API key in source"},
-    {"rule_id": "key-param", "regex": SECRET_PATTERNS[1][1], "severity": "high",
+    {"rule_id": "key-param", "regex": SECRET_PATTERNS[1][1], "literal": "key=", "severity": "high",
      "cwe_id": "CWE-598", "title": "Key passed in URL parameter"},
-    {"rule_id": "os-system", "regex": r"os\.system\(", "severity": "high",
+    {"rule_id": "os-system", "regex": r"os\.system\(", "literal": "os.system(", "severity": "high",
      "cwe_id": "CWE-78", "title": "Shell command execution"},
-    {"rule_id": "eval-call", "regex": r"\beval\(", "severity": "high",
+    {"rule_id": "eval-call", "regex": r"\beval\(", "literal": "eval(", "severity": "high",
      "cwe_id": "CWE-95", "title": "Use of eval"},
 ]
 
@@ -35,12 +36,22 @@ def _rule_struct(rule: dict) -> Column:
 def scan_rules(docs: DataFrame, rules=None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per (document, line, rule) match: key, line_no, rule_id, severity, cwe_id, title."""
     rules = list(rules or DEFAULT_RULES)
-    any_rx = "|".join(f"(?:{r['regex']})" for r in rules)
+
+    def hit(c, r):
+        m = c.rlike(r["regex"])
+        return (c.contains(r["literal"]) & m) if r.get("literal") else m
+
+    def any_hit(c):
+        out = None
+        for r in rules:
+            out = hit(c, r) if out is None else out | hit(c, r)
+        return out
+
     t = normalize_newlines(text)
-    cand = docs.select(key, t.alias("_t")).filter(F.col("_t").rlike(any_rx))
+    cand = docs.select(key, t.alias("_t")).filter(any_hit(F.col("_t")))
     lines = cand.select(key, F.posexplode(split_lines("_t")).alias("_pos", "_line")) \
-        .filter(F.col("_line").rlike(any_rx))
-    matches = F.filter(F.array(*[F.when(F.col("_line").rlike(r["regex"]), _rule_struct(r)) for r in rules]),
+        .filter(any_hit(F.col("_line")))
+    matches = F.filter(F.array(*[F.when(hit(F.col("_line"), r), _rule_struct(r)) for r in rules]),
                        lambda x: x.isNotNull())
     return lines.select(key, (F.col("_pos") + 1).alias("line_no"), F.explode(matches).alias("r")) \
         .select(key, "line_no", "r.*")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from revline.operators import detectors as D
 from revline.operators import synthesis as S
 from revline.sources import gen
-from revline.sources.tables import load
+from revline.sources.tables import load, load_balanced
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -22,15 +22,9 @@ def query(name: str):
     return deco
 
 
-def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Test tables are one row group (one task); spread the narrow rows before generating wide
-    content so generation and parsing run on every core. A real corpus scan is already split."""
-    spark = df.sparkSession
-    return df.repartition(spark.sparkContext.defaultParallelism * 2, *keys)
-
-
 def _gen_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gen.gen_source_files(_spread(load(spark, sf_dir, "part"), "p_partkey"))
+    # spread the narrow part rows before generating wide content (see tables.balanced)
+    return gen.gen_source_files(load_balanced(spark, sf_dir, "part", "p_partkey"))
 
 
 def _gen_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +54,7 @@ def _facts(spark, sf_dir):
 @query("line_counts")
 def line_counts(spark, sf_dir):
     """C4 over whole documents."""
-    docs = load(spark, sf_dir, "documents")
+    docs = load_balanced(spark, sf_dir, "documents", "doc_id")
     return docs.select("doc_id", line_count(normalize_newlines("text")).alias("total_lines"))
 
 
@@ -152,7 +146,7 @@ def complexity_report_findings(spark, sf_dir):
 
 # ---- D8/D9/D11/D16: rules -------------------------------------------------------------------------
 def _secret_docs(spark, sf_dir):
-    return gen.gen_secret_text(load(spark, sf_dir, "documents"))
+    return gen.gen_secret_text(load_balanced(spark, sf_dir, "documents", "doc_id"))
 
 
 @query("secret_mask")
@@ -178,7 +172,7 @@ def advisory_hits(spark, sf_dir):
 
 @query("policy_violations")
 def policy_violations(spark, sf_dir):
-    return R.policy_violations(load(spark, sf_dir, "documents"))
+    return R.policy_violations(load_balanced(spark, sf_dir, "documents", "doc_id"))
 
 
 # ---- B / A6: scope and config -------------------------------------------------------------------
@@ -215,7 +209,7 @@ def config_effective(spark, sf_dir):
 
 
 def _order_findings(spark, sf_dir):
-    return gen.gen_findings_orders(load(spark, sf_dir, "orders"))
+    return gen.gen_findings_orders(load_balanced(spark, sf_dir, "orders", "o_orderkey"))
 
 
 @query("threshold_filter")
@@ -240,7 +234,7 @@ from revline.streaming import incremental as GI  # noqa: E402
 
 
 def _event_findings(spark, sf_dir):
-    return gen.gen_findings_events(load(spark, sf_dir, "events"))
+    return gen.gen_findings_events(load_balanced(spark, sf_dir, "events", "event_id"))
 
 
 def _customer_repos(spark, sf_dir):
@@ -352,7 +346,7 @@ DIFF_TO = (_dt.date(1999, 1, 1) - _dt.date(1970, 1, 1)).days
 
 
 def _versions(spark, sf_dir):
-    return gen.gen_file_versions(load(spark, sf_dir, "orders"))
+    return gen.gen_file_versions(load_balanced(spark, sf_dir, "orders", "o_orderkey"))
 
 
 @query("file_as_of")
@@ -367,7 +361,7 @@ def changed_files(spark, sf_dir):
 
 # ---- D14/D15/A5: policy ------------------------------------------------------------------------------
 def _policy_top(spark, sf_dir):
-    return P.topk_policies(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), k=3)
+    return P.topk_policies(load_balanced(spark, sf_dir, "documents", "doc_id"), load(spark, sf_dir, "benchmark"), k=3)
 
 
 @query("policy_topk")
@@ -431,7 +425,7 @@ def test_summary(spark, sf_dir):
 
 @query("coverage")
 def coverage(spark, sf_dir):
-    return M.coverage(gen.gen_line_hits(load(spark, sf_dir, "lineitem")))
+    return M.coverage(gen.gen_line_hits(load_balanced(spark, sf_dir, "lineitem", "l_orderkey")))
 
 
 @query("latency_profile")

@@ -91,10 +91,11 @@ def test_positions_match_row_number_with_a_hot_group(spark):
     rnd = random.Random(7)
     data = [("hot" if rnd.random() < 0.4 else f"g{rnd.randint(0, 30)}", rnd.randint(0, 50), i) for i in range(3000)]
     df = spark.createDataFrame(data, "g string, k int, u int")
-    got = positions(df, "g", ["k", "u"], "pos", partitions=7)
     w = Window.partitionBy("g").orderBy("k", "u")
-    want = df.withColumn("pos", F.row_number().over(w).cast("long"))
-    assert sorted(got.collect()) == sorted(want.collect())
+    want = sorted(df.withColumn("pos", F.row_number().over(w).cast("long")).collect())
+    for hot_rows in (500, 10, 10**9):  # hot group split / every group split / plain window
+        got = positions(df, "g", ["k", "u"], "pos", partitions=7, hot_rows=hot_rows)
+        assert sorted(got.collect()) == want
 
 
 def test_union_and_progress(spark):
