@@ -496,3 +496,16 @@ def language_counts(spark, sf_dir):
 @query("primary_language")
 def primary_language(spark, sf_dir):
     return L.primary_language(gen.gen_scope_paths(load(spark, sf_dir, "part")))
+
+
+# ---- the whole review -----------------------------------------------------------------------------------
+from revline.plans.review import review as _review  # noqa: E402
+
+
+@query("review_scores")
+def review_scores(spark, sf_dir):
+    """Files + lint reports + complexity reports through the whole review; per-repo scores."""
+    part = load_balanced(spark, sf_dir, "part", "p_partkey")
+    r = _review(gen.gen_source_files(part), repos=_gen_repos(spark, sf_dir),
+                lint_reports=gen.gen_lint_reports(part), complexity_reports=gen.gen_complexity_reports(part))
+    return r.scores

@@ -667,3 +667,12 @@ SELECT repo_id, language, CAST(count(*) AS BIGINT) AS n_files FROM lc GROUP BY r
 ORACLES["primary_language"] = f"""WITH {_LANG},
 c AS (SELECT repo_id, language, CAST(count(*) AS BIGINT) AS n FROM lc WHERE language <> 'other' GROUP BY repo_id, language)
 SELECT repo_id, arg_min(language, (-n, language)) AS primary_language, max(n) AS n_files FROM c GROUP BY repo_id"""
+
+ORACLES["review_scores"] = scores_sql(
+    f"""{gen_findings_cte(ALL_KINDS)}, {_LINT.strip()},
+lf AS (
+  SELECT repo_id, ['convention', 'refactor', 'warning', 'error'][CAST((k + j) % 4 AS INTEGER) + 1] AS severity FROM li),
+{_CX.strip()},
+cf AS (SELECT repo_id, 'high' AS severity FROM cx WHERE (s + j * 7) % 20 + 1 > 10),
+allf AS (SELECT repo_id, severity FROM gf UNION ALL SELECT * FROM lf UNION ALL SELECT * FROM cf)""",
+    "allf", repos_sql="SELECT DISTINCT CAST(p_partkey % 50 AS VARCHAR) AS repo_id FROM part")
