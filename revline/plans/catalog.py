@@ -509,3 +509,9 @@ def review_scores(spark, sf_dir):
     r = _review(gen.gen_source_files(part), repos=_gen_repos(spark, sf_dir),
                 lint_reports=gen.gen_lint_reports(part), complexity_reports=gen.gen_complexity_reports(part))
     return r.scores
+
+
+@query("node_counts")
+def node_counts(spark, sf_dir):
+    """AST node count per generated file (null for files that do not parse)."""
+    return _facts(spark, sf_dir).select("repo_id", "path", "status", "node_count")

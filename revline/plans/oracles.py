@@ -676,3 +676,9 @@ lf AS (
 cf AS (SELECT repo_id, 'high' AS severity FROM cx WHERE (s + j * 7) % 20 + 1 > 10),
 allf AS (SELECT repo_id, severity FROM gf UNION ALL SELECT * FROM lf UNION ALL SELECT * FROM cf)""",
     "allf", repos_sql="SELECT DISTINCT CAST(p_partkey % 50 AS VARCHAR) AS repo_id FROM part")
+
+ORACLES["node_counts"] = f"""WITH {GEN_PARAMS}
+SELECT repo_id, file AS path, CASE WHEN v = 4 THEN 'error' ELSE 'success' END AS status,
+       CAST(CASE v WHEN 0 THEN 4 + 8 * s WHEN 1 THEN 4 + s % 10 WHEN 2 THEN 4 + 8 * s WHEN 3 THEN 2 + 80 * s
+                   WHEN 4 THEN NULL WHEN 5 THEN 10 WHEN 6 THEN 6 + 8 * s ELSE 5 + 3 * (s % 15) END AS INTEGER) AS node_count
+FROM gp"""

@@ -54,3 +54,25 @@ def test_review_with_config_and_scope(spark):
     assert sev <= {"critical", "high"}
     sec = review(files, scope="security_only", persist=False).findings
     assert {x["category"] for x in sec.collect()} == {"security"}
+
+
+def test_result_independent_of_partition_count(spark):
+    from revline.operators import detectors as D
+    files = _files(spark)
+    a = sorted(D.review_findings(files, partitions=1).collect())
+    b = sorted(D.review_findings(files.repartition(5), partitions=7).collect())
+    assert a == b
+
+
+def test_fixes_and_errors_partition_the_fixable(spark):
+    from revline.operators import fixes as X
+    from conftest import findings_df
+    rows = [{"repo_id": "a", "file": "m.py", "line": i, "severity": "low", "category": "pattern",
+             "title": f"T{i}" + ("\n)" if i % 3 == 0 else ""), "description": "d", "auto_fixable": i % 2 == 0,
+             "stage": "pattern", "stage_order": 1, "seq": i} for i in range(30)]
+    f = findings_df(spark, rows)
+    cand = X.fix_candidates(f)
+    ok = {r["issue_id"] for r in X.valid_fixes(cand).collect()}
+    bad = {r["issue_id"] for r in X.fix_errors(cand).collect()}
+    fixable = {r["id"] for r in f.filter("auto_fixable").collect()}
+    assert ok | bad == fixable and not ok & bad and len(bad) == 5
