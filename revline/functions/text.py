@@ -19,8 +19,9 @@ def _col(c) -> Column:
 
 
 def normalize_newlines(c) -> Column:
-    """Text-mode read: CRLF and lone CR become LF."""
-    return F.regexp_replace(_col(c), r"\r\n?", "\n")
+    """Text-mode read: CRLF and lone CR become LF (texts without CR skip the regex)."""
+    x = _col(c)
+    return F.when(x.contains("\r"), F.regexp_replace(x, r"\r\n?", "\n")).otherwise(x)
 
 
 def split_lines(c) -> Column:

@@ -47,9 +47,17 @@ def scan_rules(docs: DataFrame, rules=None, key: str = "doc_id", text: str = "te
             out = hit(c, r) if out is None else out | hit(c, r)
         return out
 
-    t = normalize_newlines(text)
-    cand = docs.select(key, t.alias("_t")).filter(any_hit(F.col("_t")))
-    lines = cand.select(key, F.posexplode(split_lines("_t")).alias("_pos", "_line")) \
+    # Document prefilter on the raw text with the rules' literals only: a line is a substring of
+    # its document, so a document without any literal cannot have a matching line (exact). A rule
+    # without a literal disables the prefilter. Regexes run per line, after normalisation.
+    literals = [r.get("literal") for r in rules]
+    cand = docs.select(key, F.col(text).alias("_raw"))
+    if all(literals):
+        cond = None
+        for lit_ in literals:
+            cond = F.col("_raw").contains(lit_) if cond is None else cond | F.col("_raw").contains(lit_)
+        cand = cand.filter(cond)
+    lines = cand.select(key, F.posexplode(split_lines(normalize_newlines("_raw"))).alias("_pos", "_line")) \
         .filter(any_hit(F.col("_line")))
     matches = F.filter(F.array(*[F.when(hit(F.col("_line"), r), _rule_struct(r)) for r in rules]),
                        lambda x: x.isNotNull())
