@@ -215,8 +215,18 @@ def parse_files(files: DataFrame, carry: list[str] | None = None, content_col: s
     return src.mapInPandas(_make_parser(carry, content_col), schema)
 
 
-def syntax_ok_udf():
-    """C6 as an Arrow ``pandas_udf`` returning BOOLEAN."""
+def syntax_ok_udf(null_passes: bool = False):
+    """C6 as an Arrow ``pandas_udf`` returning BOOLEAN.
+
+    With ``null_passes`` a null input gives a null result (the caller has already decided those
+    rows natively) instead of False.
+    """
+    if null_passes:
+        @F.pandas_udf(T.BooleanType())
+        def syntax_ok_nullable(s: pd.Series) -> pd.Series:
+            return s.map(lambda x: None if x is None else is_valid_python(x)).astype("boolean")
+        return syntax_ok_nullable
+
     @F.pandas_udf(T.BooleanType())
     def syntax_ok(s: pd.Series) -> pd.Series:
         return s.map(is_valid_python).astype(bool)

@@ -37,10 +37,18 @@ def fix_candidates(findings: DataFrame, fix_col: str | None = None) -> DataFrame
     The fix text is the reference's template unless the caller supplies a ``fix_col``.
     """
     fixable = findings.filter(F.col("auto_fixable"))
-    code = F.col(fix_col) if fix_col else F.format_string(FIX_TEMPLATE, F.coalesce("title", F.lit("None")))
-    ok = syntax_ok_udf()
-    return fixable.select(F.col("id").alias("issue_id"), "repo_id", "severity", code.alias("fix_code")) \
-        .withColumn("valid", ok(F.col("fix_code")))
+    if fix_col:
+        ok = syntax_ok_udf()
+        return fixable.select(F.col("id").alias("issue_id"), "repo_id", "severity", F.col(fix_col).alias("fix_code")) \
+            .withColumn("valid", ok(F.col("fix_code")))
+    # Template fixes: the title sits in a comment line, so the text parses unless the title
+    # breaks the line (CR, LF) or holds a NUL. Only those rows reach the Python parser.
+    title = F.coalesce("title", F.lit("None"))
+    needs_parse = title.rlike("[\\r\\n\\x00]")
+    ok = syntax_ok_udf(null_passes=True)
+    return fixable.select(F.col("id").alias("issue_id"), "repo_id", "severity",
+                          F.format_string(FIX_TEMPLATE, title).alias("fix_code"), needs_parse.alias("_p")) \
+        .withColumn("valid", F.coalesce(ok(F.when(F.col("_p"), F.col("fix_code"))), F.lit(True))).drop("_p")
 
 
 def valid_fixes(candidates: DataFrame) -> DataFrame:
