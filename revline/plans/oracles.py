@@ -339,7 +339,7 @@ def orders_findings_cte(name: str = "of") -> str:
          'order ' || CAST(o_orderkey AS VARCHAR) AS description,
          o_orderstatus <> 'P' AS auto_fixable,
          CAST(o_orderkey % 7 AS INTEGER) AS stage_order,
-         CAST(epoch(o_orderdate) AS BIGINT) * 1000000 + o_orderkey % 1000000 AS seq,
+         CAST(datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) * 10000000000 + o_orderkey AS seq,
          o_orderkey
   FROM orders),
 {name} AS (SELECT *, {finding_id_sql()} AS id FROM {name}_raw)"""

@@ -130,8 +130,9 @@ def gen_findings_orders(orders: DataFrame) -> DataFrame:
         (F.col("o_orderstatus") != "P").alias("auto_fixable"),
         stage.alias("stage"),
         stage_order.alias("stage_order"),
-        (F.unix_seconds(F.col("o_orderdate").cast("timestamp")) * 1000000 + F.col("o_orderkey") % 1000000)
-        .cast("long").alias("seq"),
+        # insertion order: order date (days since epoch, no time-zone dependence), then key
+        (F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 10_000_000_000
+         + F.col("o_orderkey")).alias("seq"),
     )
     return _finish(df)
 

@@ -73,8 +73,16 @@ if __name__ == "__main__":
     from __spark_entry__ import oracle_sql, queries
     from revline.session import get_session
     sf = sys.argv[1] if len(sys.argv) > 1 and sys.argv[1].startswith("/") else "/root/testdata/sf0.01"
-    names = [a for a in sys.argv[1:] if not a.startswith("/")]
-    spark = get_session()
+    plain = "--plain" in sys.argv
+    names = [a for a in sys.argv[1:] if not a.startswith("/") and not a.startswith("--")]
+    if plain:  # a session like the driver's: only the documented settings, another time zone
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8") \
+            .config("spark.sql.session.timeZone", "America/Los_Angeles").config("spark.ui.enabled", "false") \
+            .getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = get_session()
     con = duck(sf)
     qs, os_ = queries(), oracle_sql()
     bad = 0
