@@ -515,3 +515,11 @@ def review_scores(spark, sf_dir):
 def node_counts(spark, sf_dir):
     """AST node count per generated file (null for files that do not parse)."""
     return _facts(spark, sf_dir).select("repo_id", "path", "status", "node_count")
+
+
+@query("diff_scope")
+def diff_scope(spark, sf_dir):
+    """B4 ``diff``: the files of the snapshot at the later commit that changed since the earlier one."""
+    versions = _versions(spark, sf_dir)
+    files = V.snapshot(versions, DIFF_TO).select("repo_id", "path", "content")
+    return B.select_scope(files, "diff", changed=V.changed_files(versions, DIFF_FROM, DIFF_TO))

@@ -682,3 +682,8 @@ SELECT repo_id, file AS path, CASE WHEN v = 4 THEN 'error' ELSE 'success' END AS
        CAST(CASE v WHEN 0 THEN 4 + 8 * s WHEN 1 THEN 4 + s % 10 WHEN 2 THEN 4 + 8 * s WHEN 3 THEN 2 + 80 * s
                    WHEN 4 THEN NULL WHEN 5 THEN 10 WHEN 6 THEN 6 + 8 * s ELSE 5 + 3 * (s % 15) END AS INTEGER) AS node_count
 FROM gp"""
+
+ORACLES["diff_scope"] = f"""WITH {_FV}
+SELECT b.repo_id, b.path, b.content
+FROM {_snap(_D_TO)} b LEFT JOIN {_snap(_D_FROM)} a ON a.repo_id = b.repo_id AND a.path = b.path
+WHERE a.content IS DISTINCT FROM b.content"""

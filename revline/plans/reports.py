@@ -47,7 +47,8 @@ def markdown_lines(findings: DataFrame, repos: DataFrame | None = None, mode: st
                                           _md("description")).alias("text"))
     all_repos = _repos(findings, repos)
     header = all_repos.select("repo_id", F.lit(0).cast("long").alias("pos"), F.lit(MD_HEADER).alias("text"))
-    empty = all_repos.join(findings.select("repo_id"), "repo_id", "left_anti") \
+    # distinct first: partial aggregation collapses a hot repo before the anti-join shuffle
+    empty = all_repos.join(findings.select("repo_id").distinct(), "repo_id", "left_anti") \
         .select("repo_id", F.lit(1).cast("long").alias("pos"), F.lit(MD_EMPTY).alias("text"))
     return header.unionByName(empty).unionByName(items)
 

@@ -64,3 +64,19 @@ def test_findings_sink_partitioned(spark, tmpdir_path):
     sinks.write_findings(f, tmpdir_path + "/f", buckets=4)
     back = spark.read.parquet(tmpdir_path + "/f")
     assert back.count() == 2 and "repo_bucket" in back.columns
+
+
+def test_hot_repo_reports_equal_plain_window(spark):
+    """One repo with most findings: the range-split path gives the same report lines."""
+    rows = [_f("hot", ["low", "high", "medium"][i % 3], i, f"T{i}") for i in range(400)] + \
+           [_f(f"r{i}", "low", i, "x") for i in range(20)]
+    f = findings_df(spark, rows)
+    plain = sorted(RP.markdown_lines(f).collect())
+    spark.conf.set("revline.positions.hotRows", "50")
+    try:
+        split = sorted(RP.markdown_lines(f).collect())
+        js = RP.json_lines(f)
+        doc = json.loads(_text(js, "hot"))
+    finally:
+        spark.conf.unset("revline.positions.hotRows")
+    assert split == plain and len(doc["findings"]) == 400
