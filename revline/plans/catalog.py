@@ -472,11 +472,11 @@ def run_progress(spark, sf_dir):
 
 @query("stream_progress")
 def stream_progress(spark, sf_dir):
-    """G1–G3 with Structured Streaming over the events file (complete mode)."""
+    """G1–G3 with Structured Streaming over the events file (update mode)."""
     schema = load(spark, sf_dir, "events").schema
     stream = GI.stream_file_table(spark, sf_dir, schema, "events.parquet")
     folded = G.fold_runs(gen.gen_review_events(stream))
-    return G.step_labels(GI.run_to_table(spark, folded, "progress"))
+    return G.step_labels(GI.run_to_table(spark, folded, "progress", keys=["run_id"]))
 
 
 @query("stream_scores")
@@ -484,7 +484,7 @@ def stream_scores(spark, sf_dir):
     """Files arrive as a stream; parse and detectors per micro-batch, running scores."""
     schema = load(spark, sf_dir, "part").schema
     files = gen.gen_source_files(GI.stream_file_table(spark, sf_dir, schema, "part.parquet"))
-    return GI.run_to_table(spark, GI.running_scores(D.review_findings(files)), "scores")
+    return GI.run_to_table(spark, GI.running_scores(D.review_findings(files)), "scores", keys=["repo_id"])
 
 
 # ---- B10/B11: languages ------------------------------------------------------------------------------------

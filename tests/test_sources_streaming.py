@@ -82,9 +82,11 @@ def test_stream_equals_batch(spark, tmpdir_path):
     src = os.path.join(tmpdir_path, "events_in")
     ev = _events(spark)
     ev.repartition(3).write.parquet(src)
-    stream = GI.stream_file_table(spark, src, ev.schema, max_files_per_trigger=1)
-    out = GI.run_to_table(spark, G.fold_runs(stream), "t")
-    assert sorted(out.collect()) == sorted(G.fold_runs(ev).collect())
+    want = sorted(G.fold_runs(ev).collect())
+    for mode in ("update", "complete"):
+        stream = GI.stream_file_table(spark, src, ev.schema, max_files_per_trigger=1)
+        out = GI.run_to_table(spark, G.fold_runs(stream), "t", mode=mode, keys=["run_id"])
+        assert sorted(out.select(*G.fold_runs(ev).columns).collect()) == want
 
 
 def test_stream_review_scores(spark, tmpdir_path):
@@ -93,7 +95,7 @@ def test_stream_review_scores(spark, tmpdir_path):
                              ("s", "c.py", '"""d"""\nx = 1')])
     files.write.parquet(src)
     stream = GI.stream_file_table(spark, src, files.schema)
-    out = GI.run_to_table(spark, GI.running_scores(D.review_findings(stream)), "s")
+    out = GI.run_to_table(spark, GI.running_scores(D.review_findings(stream)), "s", keys=["repo_id"])
     batch = GI.running_scores(D.review_findings(files))
     assert sorted(out.collect()) == sorted(batch.collect())
 
