@@ -76,3 +76,17 @@ def test_fixes_and_errors_partition_the_fixable(spark):
     bad = {r["issue_id"] for r in X.fix_errors(cand).collect()}
     fixable = {r["id"] for r in f.filter("auto_fixable").collect()}
     assert ok | bad == fixable and not ok & bad and len(bad) == 5
+
+
+def test_cli_review(spark, tmpdir_path, capsys):
+    import os
+    from revline.__main__ import main
+    src = os.path.join(tmpdir_path, "proj")
+    os.makedirs(src)
+    open(os.path.join(src, "a.py"), "w").write("import os\nos.system('x')\n")
+    open(os.path.join(src, "b.py"), "w").write('"""d"""\nx = 1\n')
+    out = os.path.join(tmpdir_path, "reports")
+    assert main(["review", src, "--repo-id", "p", "--format", "all", "--output", out]) == 0
+    text = capsys.readouterr().out
+    assert "Total Issues: 2" in text and "1. [HIGH] Unsafe system call" in text
+    assert os.path.isdir(os.path.join(out, "code_review_report.md", "repo_id=p"))
