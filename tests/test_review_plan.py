@@ -88,5 +88,7 @@ def test_cli_review(spark, tmpdir_path, capsys):
     out = os.path.join(tmpdir_path, "reports")
     assert main(["review", src, "--repo-id", "p", "--format", "all", "--output", out]) == 0
     text = capsys.readouterr().out
-    assert "Total Issues: 2" in text and "1. [HIGH] Unsafe system call" in text
+    assert "Total Issues: 1" in text and "1. [HIGH] Unsafe system call" in text  # threshold medium
+    assert main(["review", src, "--repo-id", "p", "--severity", "low", "--output", out]) == 0
+    assert "Total Issues: 2" in capsys.readouterr().out
     assert os.path.isdir(os.path.join(out, "code_review_report.md", "repo_id=p"))
