@@ -124,3 +124,17 @@ def test_registry(spark):
         assert "java" in registry.analyzers() and out.filter(F.col("id").isNull()).count() == 0
     finally:
         registry.unregister_analyzer("todo")
+
+
+def test_languages_and_frameworks(spark):
+    from revline.operators import languages as L
+    files = spark.createDataFrame([("r", "a.py"), ("r", "b.py"), ("r", "c.ts"), ("r", "d.tsx"), ("r", "e.ts"),
+                                   ("r", "f.md"), ("s", "g.java")], "repo_id string, path string")
+    counts = {(x["repo_id"], x["language"]): x["n_files"] for x in L.language_counts(files).collect()}
+    assert counts == {("r", "python"): 2, ("r", "typescript"): 3, ("r", "other"): 1, ("s", "java"): 1}
+    prim = {x["repo_id"]: x["primary_language"] for x in L.primary_language(files).collect()}
+    assert prim == {"r": "typescript", "s": "java"}
+    imports = spark.createDataFrame([("r", "django.db"), ("r", "os"), ("r", "pandas"), ("s", "flask")],
+                                    "repo_id string, module string")
+    fw = {x["repo_id"]: x["frameworks"] for x in L.frameworks(imports).collect()}
+    assert fw == {"r": ["Django", "pandas"], "s": ["Flask"]}
