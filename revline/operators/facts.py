@@ -204,6 +204,7 @@ def parse_files(files: DataFrame, carry: list[str] | None = None, content_col: s
     """
     carry = list(carry or ["repo_id", "path"])
     spark = files.sparkSession
+    # partitions=0: the caller has already partitioned the input
     if partitions is None and not files.isStreaming:
         target = spark.sparkContext.defaultParallelism
         if files.rdd.getNumPartitions() < target:
