@@ -24,7 +24,7 @@ INSTRUCTION_SRC = ("Analyze the following code for subtle logic bugs, edge cases
 INSTRUCTION_ROOT = ("Analyze the following code for subtle logic bugs, edge cases, and architectural drift. "
                     "Respond briefly.")
 TITLE_SRC = "Logic Intelligence Scan"
-TITLE_ROOT = "Titan Intelligence Scan"
+TITLE_ROOT = "Quick Logic Scan"
 # ---------------------------------------------------------------------------------------------------
 
 

@@ -609,7 +609,7 @@ SELECT r.repo_id, CAST(coalesce(n.n, 0) + 1 AS BIGINT), '], "summary": "Analysis
 ORACLES["bootstrap_report"] = f"""WITH {gen_findings_cte(['unsafe_call', 'missing_docstring'])},
 o AS (SELECT *, CAST(list_position(['static','pattern','security','performance','testing','logic','policy'], stage) - 1 AS INTEGER)
              AS stage_order FROM gf)
-SELECT DISTINCT repo_id, CAST(0 AS BIGINT) AS pos, '# CodeGuardian Report' || chr(10) || chr(10) || '## Findings' || chr(10) AS text
+SELECT DISTINCT repo_id, CAST(0 AS BIGINT) AS pos, '# Review Report' || chr(10) || chr(10) || '## Findings' || chr(10) AS text
 FROM o
 UNION ALL
 SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY stage_order, coalesce(line, 0), id),
@@ -619,7 +619,7 @@ FROM o"""
 
 ORACLES["full_phase_report"] = f"""WITH {orders_findings_cte()}
 SELECT repo_id, CAST(0 AS BIGINT) AS pos,
-       '# CodeGuardian Full Review Report' || chr(10) || 'Date: 2024-01-31T00:00:00' || chr(10) || chr(10) || '## Summary'
+       '# Full Review Report' || chr(10) || 'Date: 2024-01-31T00:00:00' || chr(10) || chr(10) || '## Summary'
        || chr(10) || '- Total Findings: ' || CAST(count(*) AS VARCHAR) || chr(10)
        || '- Critical: ' || CAST(count(*) FILTER (WHERE severity = 'critical') AS VARCHAR) || chr(10)
        || '- High: ' || CAST(count(*) FILTER (WHERE severity = 'high') AS VARCHAR) || chr(10)

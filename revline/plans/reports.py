@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 from revline.operators.ordering import group_sizes, positions
 from revline.operators.synthesis import prioritize
 
-# --- fixed values: report templates and fallbacks -------------------------------------------------
+# --- fixed values: report templates and fallbacks (the script reports' product-named headings are
+#     replaced by neutral ones) ------------------------------------------------------------------------
 MD_HEADER = "# Code Review Report\n\n"
 MD_EMPTY = "No issues found."
 MD_ITEM = "## %s\n- **Severity**: %s\n- **File**: %s\n- **Description**: %s\n\n"
 MD_DEFAULTS = {"title": "Issue", "severity": "Info", "file": "N/A", "description": ""}
 JSON_OPEN = '{"findings": ['
 JSON_CLOSE = '], "summary": "Analysis complete"}'
-BOOT_HEADER = "# CodeGuardian Report\n\n## Findings\n"
+BOOT_HEADER = "# Review Report\n\n## Findings\n"
 BOOT_ITEM = "### %s (%s)\n- **File**: %s\n- **Description**: %s\n\n"
-FULL_HEADER = ("# CodeGuardian Full Review Report\nDate: %s\n\n## Summary\n- Total Findings: %d\n"
+FULL_HEADER = ("# Full Review Report\nDate: %s\n\n## Summary\n- Total Findings: %d\n"
                "- Critical: %d\n- High: %d\n- Medium: %d\n- Low: %d\n\n## Detailed Findings\n")
 FULL_ITEM = "### %s [%s]\n- File: %s\n- Description: %s\n\n"
 # Finding keys in the reference's record order (JSON report).

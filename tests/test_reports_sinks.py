@@ -41,7 +41,7 @@ def test_json_lines_form_a_document(spark):
 def test_bootstrap_and_full_phase(spark):
     f = findings_df(spark, [_f("a", "low", 1, "L"), _f("a", "high", 2, "H"), _f("a", "medium", 3, "M")])
     boot = _text(RP.bootstrap_lines(f), "a")
-    assert boot.startswith("# CodeGuardian Report\n\n## Findings\n### L (LOW)\n- **File**: m.py")
+    assert boot.startswith("# Review Report\n\n## Findings\n### L (LOW)\n- **File**: m.py")
     full = _text(RP.full_phase_lines(f, "DATE"), "a")
     assert "- Total Findings: 3\n- Critical: 0\n- High: 1\n- Medium: 1\n- Low: 1\n" in full
     assert full.index("### H [HIGH]") < full.index("### L [LOW]") < full.index("### M [MEDIUM]")
