@@ -65,11 +65,11 @@ def test_crlf_lines_match_lf(spark):
 
 
 def test_reference_integration_fixture(spark):
-    # the reference's integration repo: a long function with a comment and 60 `pass` lines
+    # integration case: a long function with a comment and 60 `pass` lines
     src = ("def vulnerable_function(user_input):\n    query = f\"SELECT * FROM users WHERE id = {user_input}\"\n"
            "    return query\n\n\ndef long_function():\n    # This function is too long\n"
            + "\n".join(["    pass"] * 60) + "\n")
-    out = D.review_findings(files_df(spark, [("repo", "test_repo/main.py", src)]))
+    out = D.review_findings(files_df(spark, [("repo", "demo/app.py", src)]))
     titles = [r["title"] for r in out.collect()]
     assert "Long Function" in titles and len(titles) >= 1
     long = [r for r in out.collect() if r["title"] == "Long Function"][0]
