@@ -31,6 +31,13 @@ DOCSTRING_MIN_CHARS = 10
 DOCSTRING_TITLE = "Missing docstring"
 DOCSTRING_DESCRIPTION = "File or function is missing a docstring."
 COMPLEXITY_TITLE = "High Cyclomatic Complexity"
+COMPLEXITY_MESSAGE = "Function %s has complexity %d"
+LONG_FUNCTION_MESSAGE = "Function '%s' is %d lines long (>50)"
+TOO_MANY_PARAMETERS_MESSAGE = "Function '%s' has %d parameters (>5)"
+GOD_CLASS_MESSAGE = "Class '%s' is %d lines long (>500)"
+# Smell titles: the smell type with underscores as spaces, title case.
+SMELL_TITLES = {"long_function": "Long Function", "too_many_parameters": "Too Many Parameters",
+                "god_class": "God Class", "magic_number": "Magic Number"}
 # Query verbs for the N+1 rule (calls inside loops).
 QUERY_VERBS = ["execute", "executemany", "query", "raw", "fetchone", "fetchall", "fetchmany",
                "filter", "filter_by"]
@@ -119,24 +126,24 @@ def _detector_array(name: str) -> Column:
     if name == "long_function":
         hits = F.filter(sync_fns, lambda f: f["end_line"] - f["line"] > LONG_FUNCTION_LINES)
         return F.transform(hits, lambda f: _f(f["line"], description=F.format_string(
-            "Function '%s' is %d lines long (>50)", f["name"], f["end_line"] - f["line"]), **_smell("Long Function")))
+            LONG_FUNCTION_MESSAGE, f["name"], f["end_line"] - f["line"]), **_smell(SMELL_TITLES[name])))
     if name == "too_many_parameters":
         hits = F.filter(sync_fns, lambda f: F.size(f["args"]) > MAX_PARAMETERS)
         return F.transform(hits, lambda f: _f(f["line"], description=F.format_string(
-            "Function '%s' has %d parameters (>5)", f["name"], F.size(f["args"])), **_smell("Too Many Parameters")))
+            TOO_MANY_PARAMETERS_MESSAGE, f["name"], F.size(f["args"])), **_smell(SMELL_TITLES[name])))
     if name == "god_class":
         hits = F.filter("classes", lambda c: c["end_line"] - c["line"] > GOD_CLASS_LINES)
         return F.transform(hits, lambda c: _f(c["line"], description=F.format_string(
-            "Class '%s' is %d lines long (>500)", c["name"], c["end_line"] - c["line"]), **_smell("God Class")))
+            GOD_CLASS_MESSAGE, c["name"], c["end_line"] - c["line"]), **_smell(SMELL_TITLES[name])))
     if name == "magic_number":
         # the reference scans lines only after the file parsed
         return F.when(ok, F.transform("magic_lines", lambda ln: _f(ln, description=MAGIC_MESSAGE,
-                                                                   **_smell("Magic Number")))).otherwise(_empty())
+                                                                   **_smell(SMELL_TITLES[name])))).otherwise(_empty())
     if name == "complexity":
         hits = F.filter("functions", lambda f: f["complexity"] > COMPLEXITY_LIMIT)
         return F.transform(hits, lambda f: _f(
             f["line"], "high", "performance", "performance", COMPLEXITY_TITLE,
-            F.format_string("Function %s has complexity %d", f["name"], f["complexity"]), False))
+            F.format_string(COMPLEXITY_MESSAGE, f["name"], f["complexity"]), False))
     if name == "unsafe_call":
         return F.when(F.col("unsafe_call"), F.array(_f(None, "high", "security", "security", UNSAFE_TITLE,
                                                        UNSAFE_DESCRIPTION, False))).otherwise(_empty())

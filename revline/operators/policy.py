@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 
 
 TERM_REGEX = "[a-z0-9]+"
+# --- fixed values: the policy finding and the index message ---------------------------------------
 POLICY_TITLE = "Applied Local Policy"
+POLICY_PREFIX = "Verified against standard: "
+INDEX_MESSAGE = "Indexed %d policy documents."
+# ----------------------------------------------------------------------------------------------------
 
 
 def terms(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -50,7 +54,7 @@ def policy_findings(files: DataFrame, best: DataFrame, key: str = "doc_id", file
                     policy_key: str = "item_id") -> DataFrame:
     """One info/policy finding per file naming its best policy (or none)."""
     top1 = best.filter(F.col("rank") == 1).select(key, policy_key)
-    desc = F.concat(F.lit("Verified against standard: "),
+    desc = F.concat(F.lit(POLICY_PREFIX),
                     F.coalesce(F.concat(F.lit("policy "), F.col(policy_key).cast("string")), F.lit("no matching policy")))
     return files.join(top1, key, "left").select(
         key, F.col(file_col).alias("file"), F.lit(1).alias("line"), F.lit("info").alias("severity"),
@@ -59,7 +63,7 @@ def policy_findings(files: DataFrame, best: DataFrame, key: str = "doc_id", file
 
 def index_message(policies: DataFrame) -> DataFrame:
     """A5: ``Indexed N policy documents.``"""
-    return policies.agg(F.format_string("Indexed %d policy documents.", F.count(F.lit(1))).alias("message"))
+    return policies.agg(F.format_string(INDEX_MESSAGE, F.count(F.lit(1))).alias("message"))
 
 
 # ---- D15 (b): embeddings ---------------------------------------------------------------------

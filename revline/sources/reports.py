@@ -9,7 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revline.operators.detectors import COMPLEXITY_LIMIT, COMPLEXITY_TITLE, complete_findings
+from revline.operators.detectors import COMPLEXITY_LIMIT, COMPLEXITY_MESSAGE, COMPLEXITY_TITLE, complete_findings
+
+# --- fixed values: lint findings (title prefix, category, defaults for missing keys) -------------
+LINT_TITLE_PREFIX = "Lint Issue: "
+LINT_CATEGORY = "style"
+LINT_DEFAULT_LINE = 0
+LINT_DEFAULT_SEVERITY = "medium"
+# --------------------------------------------------------------------------------------------------
 
 LINT_ISSUE = ("array<struct<path:string,line:int,column:int,type:string,message:string,"
               "`message-id`:string,symbol:string>>")
@@ -46,10 +53,10 @@ def lint_findings(issues: DataFrame, strict_parity: bool = False) -> DataFrame:
     df = src.select(
         F.lit(None).cast("string").alias("repo_id") if "repo_id" not in src.columns else F.col("repo_id"),
         F.col("path").alias("file"),
-        F.coalesce("line", F.lit(0)).alias("line"),
-        F.coalesce("severity", F.lit("medium")).alias("severity"),
-        F.lit("style").alias("category"),
-        F.concat(F.lit("Lint Issue: "), F.coalesce("symbol", F.lit("None"))).alias("title"),
+        F.coalesce("line", F.lit(LINT_DEFAULT_LINE)).alias("line"),
+        F.coalesce("severity", F.lit(LINT_DEFAULT_SEVERITY)).alias("severity"),
+        F.lit(LINT_CATEGORY).alias("category"),
+        F.concat(F.lit(LINT_TITLE_PREFIX), F.coalesce("symbol", F.lit("None"))).alias("title"),
         F.coalesce("message", F.lit("")).alias("description"),
         F.lit(False).alias("auto_fixable"),
         F.lit("static").alias("stage"), F.lit(0).alias("stage_order"),
@@ -90,7 +97,7 @@ def complexity_report_findings(blocks: DataFrame) -> DataFrame:
         F.col("path").alias("file"), F.coalesce("lineno", F.lit(0)).alias("line"),
         F.lit("high").alias("severity"), F.lit("performance").alias("category"),
         F.lit(COMPLEXITY_TITLE).alias("title"),
-        F.format_string("Function %s has complexity %d", F.col("name"), F.col("complexity")).alias("description"),
+        F.format_string(COMPLEXITY_MESSAGE, F.col("name"), F.col("complexity")).alias("description"),
         F.lit(False).alias("auto_fixable"), F.lit("performance").alias("stage"), F.lit(3).alias("stage_order"),
         F.coalesce("lineno", F.lit(0)).cast("long").alias("seq"))
     return complete_findings(df)
