@@ -72,3 +72,29 @@ def materialize(df, name: str):
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def scale_conf(input_bytes: int, executors: int, cores_per_executor: int,
+               executor_memory_gb: float = 16.0, target_partition_mb: int = 128) -> dict:
+    """Settings for a cluster run over ``input_bytes`` of source files.
+
+    Shuffle partitions: enough that each holds about ``target_partition_mb`` of the largest
+    shuffle (the content dedup moves up to the whole corpus once), and at least two waves of
+    tasks. Scan splits: source files are wide rows parsed in Python at well under 1 MB/s per core,
+    so smaller splits (64 MB) keep parse tasks around a minute and spread hot folders. Arrow
+    batches stay small because one row can be a multi-megabyte file.
+    """
+    cores = executors * cores_per_executor
+    by_size = -(-input_bytes // (target_partition_mb << 20))
+    shuffle_partitions = max(2 * cores, by_size)
+    per_core_gb = executor_memory_gb / max(cores_per_executor, 1)
+    return {
+        "spark.sql.shuffle.partitions": str(shuffle_partitions),
+        "spark.sql.files.maxPartitionBytes": str(64 << 20),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(min(target_partition_mb, int(per_core_gb * 256)) << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }

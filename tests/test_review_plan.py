@@ -92,3 +92,10 @@ def test_cli_review(spark, tmpdir_path, capsys):
     assert main(["review", src, "--repo-id", "p", "--severity", "low", "--output", out]) == 0
     assert "Total Issues: 2" in capsys.readouterr().out
     assert os.path.isdir(os.path.join(out, "code_review_report.md", "repo_id=p"))
+
+
+def test_scale_conf():
+    from revline.session import scale_conf
+    c = scale_conf(100 * 2**40, executors=1000, cores_per_executor=8)
+    assert int(c["spark.sql.shuffle.partitions"]) == 819200  # 100 TB / 128 MB
+    assert int(scale_conf(2**30, 10, 4)["spark.sql.shuffle.partitions"]) == 80  # two waves of 40 cores
