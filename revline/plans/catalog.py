@@ -523,3 +523,10 @@ def diff_scope(spark, sf_dir):
     versions = _versions(spark, sf_dir)
     files = V.snapshot(versions, DIFF_TO).select("repo_id", "path", "content")
     return B.select_scope(files, "diff", changed=V.changed_files(versions, DIFF_FROM, DIFF_TO))
+
+
+@query("n_plus_one")
+def n_plus_one(spark, sf_dir):
+    """Query calls inside loops, over data-access files generated from orders."""
+    files = gen.gen_loop_files(load_balanced(spark, sf_dir, "orders", "o_orderkey"))
+    return D.n_plus_one(D.file_facts(files)).select("id", "repo_id", "file", "line", "title", "description")

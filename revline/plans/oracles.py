@@ -687,3 +687,12 @@ ORACLES["diff_scope"] = f"""WITH {_FV}
 SELECT b.repo_id, b.path, b.content
 FROM {_snap(_D_TO)} b LEFT JOIN {_snap(_D_FROM)} a ON a.repo_id = b.repo_id AND a.path = b.path
 WHERE a.content IS DISTINCT FROM b.content"""
+
+ORACLES["n_plus_one"] = f"""
+WITH n AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS repo_id, 'q/o' || CAST(o_orderkey AS VARCHAR) || '.py' AS file, 3 AS line,
+         CAST(NULL AS INTEGER) AS "column", 'performance' AS category, 'Possible N+1 query' AS title,
+         'Call ' || CASE o_orderstatus WHEN 'O' THEN 'db.execute' ELSE 'db.fetchone' END || ' inside a loop (depth 1)'
+           AS description
+  FROM orders WHERE o_orderstatus IN ('O', 'F'))
+SELECT {finding_id_sql()} AS id, repo_id, file, line, title, description FROM n"""

@@ -303,3 +303,16 @@ def doc_files(documents: DataFrame) -> DataFrame:
         .when(F.col("lang") == "fr", F.lit("security")).otherwise(F.lit("reviewer"))
     return documents.select("doc_id", F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
                             F.col("text").alias("content"), persona.alias("persona_id"))
+
+
+def gen_loop_files(orders: DataFrame) -> DataFrame:
+    """Data-access files, one per order, by status: 'O' queries inside a ``for`` loop, 'F' fetches
+    inside a comprehension, 'P' makes one batched call (no N+1)."""
+    body = (F.when(F.col("o_orderstatus") == "O",
+                   F.lit("def load(db, rows):\n    for r in rows:\n        db.execute(r)\n    return rows\n"))
+            .when(F.col("o_orderstatus") == "F",
+                  F.lit("def load(db, rows):\n    db.execute(rows)\n    return [db.fetchone() for _ in rows]\n"))
+            .otherwise(F.lit("def load(db, rows):\n    return db.executemany(rows)\n")))
+    return orders.select(F.col("o_custkey").cast("string").alias("repo_id"),
+                         F.concat(F.lit("q/o"), F.col("o_orderkey").cast("string"), F.lit(".py")).alias("path"),
+                         body.alias("content"))
