@@ -58,3 +58,11 @@ def test_as_of_and_dedup_are_aggregates_not_windows(spark):
     for name in ("file_as_of", "all_findings"):
         plan = _plan(QUERIES[name](spark, SF_SMALL))
         assert "Window" not in plan and "Aggregate" in plan, name
+
+
+def test_filters_reach_the_scan(spark):
+    from revline.plans.catalog import QUERIES
+    plan = _plan(QUERIES["approved_fixes"](spark, SF_SMALL))
+    assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,250000.0)]" in plan
+    rules = _plan(QUERIES["config_effective"](spark, SF_SMALL))
+    assert "ReadSchema: struct<c_custkey:bigint,c_acctbal:double,c_mktsegment:string>" in rules
