@@ -90,7 +90,8 @@ def file_facts(files: DataFrame, partitions: int | None = None, dedup_content: b
         return parse_files(prepared, carry=CARRY, partitions=partitions)
     spark = files.sparkSession
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    keyed = prepared.withColumn("content_hash", F.sha2(F.col("content"), 256))
+    # null content (undecodable file) gets its own key so it still comes back as an error row
+    keyed = prepared.withColumn("content_hash", F.coalesce(F.sha2(F.col("content"), 256), F.lit("null")))
     distinct = keyed.groupBy("content_hash").agg(F.any_value("content").alias("content")) \
         .repartition(n, "content_hash")  # a fixed count: AQE must not fold the parse into a few tasks
     parsed = parse_files(distinct, carry=["content_hash"], partitions=0)

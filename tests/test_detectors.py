@@ -88,3 +88,13 @@ def test_n_plus_one(spark):
     facts = D.file_facts(files_df(spark, [("r", "q.py", src)]))
     out = D.n_plus_one(facts).collect()
     assert [(r["line"], r["category"]) for r in out] == [(3, "performance")]
+
+
+def test_null_content_becomes_an_error_row(spark):
+    from revline.operators.facts import parse_errors
+    df = spark.createDataFrame([("r", "a.py", None), ("r", "b.py", None), ("r", "c.py", "x = 1")],
+                               "repo_id string, path string, content string")
+    facts = D.file_facts(df)
+    assert facts.count() == 3
+    assert sorted((e["path"], e["error"]) for e in parse_errors(facts).collect()) == \
+        [("a.py", "unreadable file"), ("b.py", "unreadable file")]
