@@ -1,0 +1 @@
+"""DataFrame → DataFrame operators: scope, facts, detectors, rules, policy, prompts, synthesis, fixes, versions."""

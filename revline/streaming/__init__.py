@@ -1,0 +1 @@
+"""Structured Streaming: event fold and the incremental review."""
