@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revline.llm import bpe, crf_langid, decision_list, mixing, perspectives, rule_ensemble, text_stats, token_counts
+from revline.llm import bpe, crf_langid, decision_list, mixing, perspectives, pq_dedup, rule_ensemble, simhash, suffix_dedup, text_stats, token_counts
 from revline.llm.common import crc_mod, documents
 from revline.session import materialize
 
@@ -34,6 +34,19 @@ def op1(spark, sf_dir):
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+@query("op2_suffix_dedup")
+def op2(spark, sf_dir):
+    """What is left of every document without 100-byte strings that start earlier."""
+    return suffix_dedup.digests(documents(spark, sf_dir).select("doc_id", "text"), length=100)
+
+
+@query("op3_simhash")
+def op3(spark, sf_dir):
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.components(documents(spark, sf_dir).select("doc_id", "text"), words_per_shingle=3, max_bits=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op4_perspectives")
 def op4(spark, sf_dir):
     """Every conversation rendered for each of its participants, turn by turn, with loss masks."""
@@ -113,6 +126,12 @@ def op6(spark, sf_dir):
                         failed.alias("base_failed"), (~failed & decision_list.verdict(rules)).alias("kept"))
 
 
+@query("op7_pq_dedup")
+def op7(spark, sf_dir):
+    """Links, component and verdict of every embedding at cosine 0.9."""
+    return pq_dedup.near_duplicates(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"), cosine=0.9)
+
+
 @query("op8_rule_ensemble")
 def op8(spark, sf_dir):
     """Quality score of every document; learned from the labels that are not held out."""
