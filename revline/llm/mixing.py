@@ -78,12 +78,12 @@ def interleave(docs: DataFrame, shares: DataFrame, id_col: str = "doc_id", sourc
     plan = plan.select(F.col("source").alias(c["key"]), F.col("share").alias(c["share"]), F.col("slots").alias(c["slots"]),
                        F.col("j").alias(c["j"]), F.col("at").alias(c["at"]), F.col("end").alias(c["end"]))
     share_of = plan.groupBy(c["key"]).agg(F.first(c["share"]).alias(c["share"]))
+    offsets = offsets.join(share_of, c["key"], "left")  # counts by bucket: the rows themselves never meet by source
     inside = Window.partitionBy(c["key"], c["bucket"]).orderBy(c["md5"], F.col(id_col))
     ranked = keyed.withColumn(c["row"], F.row_number().over(inside)) \
         .join(offsets.drop("n"), [c["key"], c["bucket"]]) \
         .withColumn(c["rank"], F.col(c["before"]) + F.col(c["row"]) - 1) \
         .withColumn(names[0], F.floor(F.col(c["rank"]) / block_rows)) \
-        .join(share_of, c["key"], "left") \
         .withColumn(c["j"], F.col(names[0]) % F.col(c["share"]))
     placed = ranked.join(plan.drop(c["share"]), [c["key"], c["j"]], "left")
     slot = F.floor(F.col(names[0]) / F.col(c["share"])) * F.col(c["slots"]) + F.col(c["at"])
