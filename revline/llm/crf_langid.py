@@ -30,7 +30,7 @@ from revline.llm.common import append_columns
 UNKNOWN = "und"
 MAX_STEP = 128        # words of a sequence
 BITS = 14             # hashed features of each kind: 2 ** BITS
-MEMO_WORDS = 150_000  # words remembered per worker; changes cost only
+MEMO_WORDS = 80_000   # words remembered per worker; changes cost only
 KINDS = 5             # 2-, 3- and 4-byte n-grams, prefixes, suffixes
 
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -282,4 +282,4 @@ def identify(docs: DataFrame, training: DataFrame | None = None, id_col: str = "
     sample = training_sample(docs if training is None else training, id_col, text_col, lang_col, docs_per_lang, max_chars)
     model = docs.sparkSession.sparkContext.broadcast(fit(sample))  # fixed size: hashed weights and a bounded lexicon
     new = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, RESULT)])
-    return append_columns(docs, text_col, new, lambda: _labeller(model.value), drop_text=not keep_text, limit=2 << 20)
+    return append_columns(docs, text_col, new, lambda: _labeller(model.value), drop_text=not keep_text, limit=1 << 20)
