@@ -58,4 +58,5 @@ def decode_utf8_strict(b) -> Column:
 
 def decode_utf8_ignore(b) -> Column:
     """``errors='ignore'``: drop undecodable bytes."""
-    return F.replace(F.make_valid_utf8(_col(b).cast("string")), F.lit("�"), F.lit(""))
+    s = _col(b).cast("string")
+    return F.when(F.is_valid_utf8(s), s).otherwise(F.replace(F.make_valid_utf8(s), F.lit("\ufffd"), F.lit("")))

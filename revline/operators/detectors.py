@@ -74,16 +74,13 @@ def prepare_files(files: DataFrame) -> DataFrame:
 CARRY = ["repo_id", "path", "total_lines", "magic_lines", "unsafe_call", "missing_docstring"]
 
 
-def file_facts(files: DataFrame, partitions: int | None = None, dedup_content: bool = True) -> DataFrame:
+def file_facts(files: DataFrame, partitions: int | None = None, dedup_content: bool = False) -> DataFrame:
     """``source_files(repo_id, path, content)`` → one facts row per file (no content).
 
-    Facts depend on the content only, and code corpora repeat contents a lot (vendored packages,
-    forks, empty ``__init__.py``). With ``dedup_content`` each distinct content is parsed once:
-    contents are keyed by SHA-256, deduplicated by an aggregate whose partial step runs map-side
-    (a map task ships one copy per distinct content it saw), parsed, and joined back to the files
-    on the hash (AQE splits a hot hash). The Python parse costs about a hundred times more per
-    byte than a shuffle, so this pays off even at low duplication. Streaming inputs parse
-    directly (no unbounded dedup state).
+    The parse runs in place, straight from the scan: one read, no shuffle of contents. Facts depend on the
+    content only, so a worker remembers those of recent contents (bounded by bytes). ``dedup_content`` instead
+    parses each distinct content once for the whole corpus, at the price of shuffling the contents and a join
+    back; it pays where a table holds few distinct texts.
     """
     prepared = prepare_files(files)
     if not dedup_content or files.isStreaming:
@@ -93,7 +90,7 @@ def file_facts(files: DataFrame, partitions: int | None = None, dedup_content: b
     # null content (undecodable file) gets its own key so it still comes back as an error row
     keyed = prepared.withColumn("content_hash", F.coalesce(F.sha2(F.col("content"), 256), F.lit("null")))
     distinct = keyed.groupBy("content_hash").agg(F.any_value("content").alias("content")) \
-        .repartition(n, "content_hash")  # a fixed count: AQE must not fold the parse into a few tasks
+        .repartition(n, "content_hash")
     parsed = parse_files(distinct, carry=["content_hash"], partitions=0)
     facts = keyed.drop("content").join(parsed, "content_hash")
     return facts.select(*CARRY, *[f.name for f in FACT_FIELDS])

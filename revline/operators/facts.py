@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ast
 import gc
+from collections import OrderedDict
 from collections import deque
 
 import pandas as pd
@@ -96,14 +97,14 @@ def _extract(tree: ast.AST) -> tuple[int, list, list, list, list]:
             child_fn, child_depth = rec, 0
         elif cls is ast.ClassDef:
             classes.append({"name": node.name, "line": node.lineno, "end_line": node.end_lineno,
-                            "methods": [m.name for m in node.body if m.__class__ is ast.FunctionDef]})
+                            "methods": _methods(node)})
             child_fn = None
         elif cls is ast.Lambda:
             child_fn, child_depth = None, 0
         elif cls is ast.Import:
-            imports.extend(a.name for a in node.names)
+            imports += _imported(node)
         elif cls is ast.ImportFrom:
-            imports.append(node.module if node.module else "")
+            imports += _imported(node)
         elif cls is ast.Call:
             name = _dotted(node.func)
             if name:
@@ -175,16 +176,53 @@ def is_valid_python(source: str | None) -> bool:
         return False
 
 
+def _methods(node: ast.ClassDef) -> list[str]:
+    """Names of the plain functions directly in a class body."""
+    return [part.name for part in filter(lambda part: type(part) is ast.FunctionDef, node.body)]
+
+
+def _imported(node: ast.Import | ast.ImportFrom) -> list[str]:
+    """Modules one import statement names; a relative import of no module names the empty string."""
+    if isinstance(node, ast.ImportFrom):
+        return [node.module or ""]
+    return [alias.name for alias in node.names]
+
+
+MEMO_BYTES = 32 << 20  # source text whose facts a worker remembers; changes cost only
+
+
+class _Memo:
+    """Facts of contents seen before, oldest dropped first, bounded by the bytes of their texts."""
+
+    def __init__(self):
+        self.facts: OrderedDict = OrderedDict()
+        self.size = 0
+
+    def __call__(self, source):
+        if source is None or len(source) > MEMO_BYTES // 64:
+            return parse_source(source)
+        found = self.facts.get(source)
+        if found is None:
+            found = self.facts[source] = parse_source(source)
+            self.size += len(source)
+            while self.size > MEMO_BYTES:
+                self.size -= len(self.facts.popitem(last=False)[0])
+        else:
+            self.facts.move_to_end(source)
+        return found
+
+
 def _make_parser(carry: list[str], content_col: str):
     fact_names = [f.name for f in FACT_FIELDS]
 
     def run(batches):
+        parse = _Memo()
         for pdf in batches:
             # AST nodes form no reference cycles: refcounting frees each tree, so the cyclic
             # collector only burns time rescanning millions of fresh nodes (about half the parse)
             gc.disable()
             try:
-                facts = [parse_source(src) for src in pdf[content_col]]
+                facts = [parse(src) for src in pdf[content_col]]
             finally:
                 gc.enable()
             out = pdf[carry].copy() if carry else pd.DataFrame(index=pdf.index)

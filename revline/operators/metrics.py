@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,8 +29,14 @@ def latency_profile(runs: DataFrame, op: str = "operation", value: str = "value"
 
 
 def latency_quantiles(runs: DataFrame, op: str = "operation", value: str = "value",
-                      quantiles=(0.5, 0.95, 0.99), accuracy: int = 10000) -> DataFrame:
-    """Approximate quantiles per operation (mergeable sketches, bounded memory per group)."""
-    q = F.percentile_approx(value, list(quantiles), accuracy)
-    return runs.groupBy(op).agg(q.alias("_q")).select(
-        op, *[F.col("_q")[i].alias(f"p{int(round(x * 100))}") for i, x in enumerate(quantiles)])
+                      quantiles=(0.5, 0.95, 0.99)) -> DataFrame:
+    """Exact quantiles per operation: the smallest value that at least that share of runs does not exceed.
+
+    Runs are counted by (operation, value) first; the running share is taken over distinct values.
+    """
+    counts = runs.filter(F.col(value).isNotNull()).groupBy(op, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(op).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    share = F.sum("_n").over(upto) / F.sum("_n").over(Window.partitionBy(op))
+    ranked = counts.withColumn("_share", share)
+    return ranked.groupBy(op).agg(*[F.min(F.when(F.col("_share") >= x, F.col(value))).alias(f"p{int(round(x * 100))}")
+                                    for x in quantiles])

@@ -1,76 +1,38 @@
 """Per-group positions (``row_number`` semantics) that stay parallel when one group is huge.
 
-Groups are sized first (a partial aggregate, cheap). Ordinary groups get a plain
-``row_number()`` window: each one fits a task. Groups above ``hot_rows`` — at most
-rows / hot_rows of them, so their keys are a short list — are range partitioned on
-(group, order keys) instead, so a group holding a third of the data is spread over many tasks.
-Each task numbers its rows; a small table of per-(group, partition) counts turns those local
-numbers into group positions with a running sum (it has at most #hot groups + #partitions rows).
-
-The numbered hot rows are read twice (counts, numbering), so they are written once with a
-reliable ``checkpoint()`` into the shared checkpoint folder: two independent evaluations would
-sample different range bounds (the sampler is seeded by RDD id) and disagree. The checkpoint also
-cuts the lineage, so a lost executor re-reads it instead of re-sorting. Rows of one group are
-contiguous inside a sorted partition, so the counts do not depend on how ties are broken.
+A group is cut into chunks along its leading order columns. Rows are numbered inside (group, chunk), and the
+sizes of a group's earlier chunks are added, so the rows of one large group are spread over its chunks and only
+one row for each chunk ever meets by group. The plan is lazy, the same at every size, and treats a null group
+or order value as a value of its own.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revline.session import ensure_checkpoint_dir
-
-_IDX_BITS = 33  # monotonically_increasing_id = partition index << 33 | row index
-DEFAULT_HOT_ROWS = 2_000_000
-MAX_HOT_KEYS = 100_000
-
 
 def _cols(order) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def _range_positions(df: DataFrame, group: str, order: list, pos_col: str, partitions: int) -> DataFrame:
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    order_cols = _cols(order)
-    keyed = df.withColumn("__grp", F.col(group))
-    ranged = keyed.repartitionByRange(partitions, F.col("__grp"), *order_cols) \
-        .sortWithinPartitions(F.col("__grp"), *order_cols)
-    mid = F.monotonically_increasing_id()
-    numbered = ranged.withColumn("__mid", mid) \
-        .withColumn("__part", F.shiftright("__mid", _IDX_BITS)) \
-        .withColumn("__idx", F.col("__mid").bitwiseAND(F.lit((1 << _IDX_BITS) - 1))) \
-        .drop("__mid").checkpoint(eager=True)
-    counts = numbered.groupBy("__grp", "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__idx").alias("__first"))
-    before = Window.partitionBy("__grp").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    out = numbered.join(offsets, ["__grp", "__part"])
-    out = out.withColumn(pos_col, (F.col("__off") + F.col("__idx") - F.col("__first") + 1).cast("long"))
-    return out.drop("__grp", "__part", "__idx", "__n", "__first", "__off")
-
-
-def positions(df: DataFrame, group: str, order: list, pos_col: str = "pos", partitions: int | None = None,
-              hot_rows: int | None = None) -> DataFrame:
+def positions(df: DataFrame, group: str, order: list, pos_col: str = "pos", chunk: list | None = None) -> DataFrame:
     """Add ``pos_col`` = 1-based position of each row inside its ``group`` by ``order``.
 
-    ``order`` should be a total order (end it with a unique key) for reproducible positions.
+    ``order`` should be a total order (end it with a unique key) for reproducible positions. ``chunk``: columns
+    that never decrease along ``order`` (leading order columns, or coarser forms of them); default: the first.
     """
-    spark = df.sparkSession
-    if partitions is None:
-        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    if hot_rows is None:
-        hot_rows = int(spark.conf.get("revline.positions.hotRows", str(DEFAULT_HOT_ROWS)))
-    hot = [r[0] for r in df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-           .filter(F.col("n") > hot_rows).select(group).limit(MAX_HOT_KEYS + 1).collect()]
-    w = Window.partitionBy(group).orderBy(*_cols(order))
-    if not hot:
-        return df.withColumn(pos_col, F.row_number().over(w).cast("long"))
-    if len(hot) > MAX_HOT_KEYS:  # every group is hot: range-split them all
-        return _range_positions(df, group, order, pos_col, partitions)
-    is_hot = F.col(group).isin(hot)
-    cold = df.filter(F.col(group).isNull() | ~is_hot).withColumn(pos_col, F.row_number().over(w).cast("long"))
-    return cold.unionByName(_range_positions(df.filter(is_hot), group, order, pos_col, partitions))
+    parts = _cols(chunk if chunk is not None else order[:1])
+    keys = [group, *[f"__chunk{i}" for i in range(len(parts))]]
+    cut = df.select("*", *[c.alias(k) for c, k in zip(parts, keys[1:])])
+    numbered = cut.withColumn("__row", F.row_number().over(Window.partitionBy(*keys).orderBy(*_cols(order))))
+    sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    upto = Window.partitionBy(group).orderBy(*keys[1:])
+    before = sizes.select(*[F.col(k).alias(f"{k}__b") for k in keys], (F.sum("__n").over(upto) - F.col("__n")).alias("__before"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}__b")) for k in keys])
+    return numbered.join(before, same).select(*df.columns, (F.col("__before") + F.col("__row")).cast("long").alias(pos_col))
 
 
 def group_sizes(df: DataFrame, group: str, name: str = "group_size") -> DataFrame:

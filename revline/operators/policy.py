@@ -1,9 +1,7 @@
 """Policy retrieval by shared terms or by embeddings, and the per-file policy finding.
 
-Term retrieval joins document terms to policy terms on the term. Terms found in more than
-``max_df`` of the policies are dropped before the join (they say little and would pair every
-document with most policies); what is left pairs each document term with at most ``max_df``
-policies. The policy side is not broadcast by hand: AQE broadcasts it when its measured size is
+Term retrieval joins document terms to policy terms on the term. Every term counts; ``max_df`` below 1
+is a choice of the caller that drops terms found in more than that share of the policies. The policy side is not broadcast by hand: AQE broadcasts it when its measured size is
 under the threshold and keeps the shuffle join (with skew splitting) otherwise.
 """
 
@@ -29,9 +27,11 @@ def terms(df: DataFrame, key: str, text: str = "text") -> DataFrame:
                      .alias("term"))
 
 
-def policy_terms(policies: DataFrame, key: str = "item_id", text: str = "text", max_df: float = 0.1) -> DataFrame:
+def policy_terms(policies: DataFrame, key: str = "item_id", text: str = "text", max_df: float = 1.0) -> DataFrame:
     """The policy index: (term, policy key) for terms in at most ``max_df`` of the policies."""
     t = terms(policies, key, text)
+    if max_df >= 1:
+        return t
     n_policies = policies.select(F.count(F.lit(1))).scalar()
     df_ = t.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     # exact decimal arithmetic: no float rounding at the cut
@@ -40,7 +40,7 @@ def policy_terms(policies: DataFrame, key: str = "item_id", text: str = "text",
 
 
 def topk_policies(docs: DataFrame, policies: DataFrame, k: int = 3, doc_key: str = "doc_id",
-                  policy_key: str = "item_id", max_df: float = 0.1) -> DataFrame:
+                  policy_key: str = "item_id", max_df: float = 1.0) -> DataFrame:
     """D15 (a): top-k policies per document by shared informative terms; ties by policy key."""
     d = terms(docs, doc_key)
     p = policy_terms(policies, policy_key, max_df=max_df)

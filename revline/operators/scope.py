@@ -19,7 +19,7 @@ SCOPES = ["full", "branch", "files", "diff", "security_only", "performance_only"
 
 def directory(path="path") -> Column:
     p = F.col(path) if isinstance(path, str) else path
-    return F.regexp_replace(p, r"/[^/]*$", "")
+    return F.when(p.contains("/"), F.regexp_replace(p, r"/[^/]*$", "")).otherwise(F.when(p.isNotNull(), F.lit("")))
 
 
 def python_files(df: DataFrame, path: str = "path", ext: str = ".py") -> DataFrame:
@@ -64,6 +64,8 @@ def select_scope(files: DataFrame, scope: str = "full", target_files=None,
             raise ValueError("diff scope needs the changed files")
         return files.join(changed.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi")
     if scope == "branch":
+        if branch is None:
+            raise ValueError("branch scope needs a branch")
         return files.filter(F.col("branch") == branch)
     return files
 
@@ -87,8 +89,9 @@ def apply_config(findings: DataFrame, config: DataFrame) -> DataFrame:
         "repo_id", "severity_threshold",
         F.transform("enabled_checks", lambda c: F.element_at(stage_map, c)).alias("_stages"),
         F.coalesce("skip_categories", F.array().cast("array<string>")).alias("_skip"))
-    joined = findings.join(cfg, "repo_id")
-    keep = (meets_threshold("severity", "severity_threshold")
-            & F.array_contains("_stages", F.col("stage"))
-            & ~F.array_contains("_skip", F.col("category")))
+    # A repo without a configuration keeps everything; the policy stage has no check to switch it off.
+    joined = findings.join(cfg, "repo_id", "left")
+    keep = (F.coalesce(meets_threshold("severity", "severity_threshold"), F.col("severity_threshold").isNull())
+            & F.coalesce(F.array_contains("_stages", F.col("stage")) | (F.col("stage") == "policy"), F.lit(True))
+            & ~F.coalesce(F.array_contains("_skip", F.col("category")), F.lit(False)))
     return joined.filter(keep).drop("severity_threshold", "_stages", "_skip")

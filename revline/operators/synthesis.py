@@ -15,6 +15,7 @@ from revline.schema import FINDING_COLUMNS, HEAT_STAGES, SEVERITIES, STAGES
 PRIORITY_ORDER = ["_rank", "stage_order", "seq", "id"]
 # E6 variant: the severity string itself (critical, high, info, low, medium).
 ALPHA_ORDER = ["severity", "stage_order", "seq", "id"]
+SEQ_CHUNK = 1024  # insertion numbers that are positioned together (see ``ordering.positions``)
 
 
 def union_findings(*frames: DataFrame) -> DataFrame:
@@ -31,7 +32,8 @@ def dedup_findings(findings: DataFrame) -> DataFrame:
     repeats a billion times costs no single task more than any other.
     """
     cols = [c for c in findings.columns if c != "id"]
-    best = F.min_by(F.struct(*cols), F.struct("stage_order", "seq"))
+    rest = F.to_json(F.struct(*[c for c in cols if c not in ("stage_order", "seq")]))  # ties: a total order
+    best = F.min_by(F.struct(*cols), F.struct(F.col("stage_order"), F.col("seq"), rest))
     return findings.groupBy("id").agg(best.alias("x")).select("id", "x.*").select(*findings.columns)
 
 
@@ -42,7 +44,8 @@ def with_rank(findings: DataFrame) -> DataFrame:
 def prioritize(findings: DataFrame, mode: str = "rank", pos_col: str = "priority") -> DataFrame:
     """The position of each finding in its repo's prioritised list."""
     order = PRIORITY_ORDER if mode == "rank" else ALPHA_ORDER
-    return positions(with_rank(findings), "repo_id", order, pos_col).drop("_rank")
+    chunk = [*order[:2], F.floor(F.col("seq") / SEQ_CHUNK)]
+    return positions(with_rank(findings), "repo_id", order, pos_col, chunk).drop("_rank")
 
 
 def repo_scores(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
@@ -61,18 +64,21 @@ def repo_scores(findings: DataFrame, repos: DataFrame | None = None) -> DataFram
         .withColumn("colour", grade_colour("grade_root"))
 
 
-def severity_counts(findings: DataFrame) -> DataFrame:
+def severity_counts(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
     """Per repo the five severities zero-filled, then severities seen outside the domain.
 
     Long form ``(repo_id, severity, n)``; a null severity counts as info. ``total`` per repo is
-    the sum (E8).
+    the sum (E8). ``repos`` lists repositories to report even with no findings.
     """
     sev = F.coalesce(F.col("severity"), F.lit("info"))
-    wide = findings.groupBy("repo_id").agg(*[F.count_if(sev == s).alias(s) for s in SEVERITIES])
-    known = wide.unpivot("repo_id", SEVERITIES, "severity", "n")
-    other = findings.filter(~sev.isin(SEVERITIES)).groupBy("repo_id", "severity") \
-        .agg(F.count(F.lit(1)).alias("n"))
-    return known.unionByName(other)
+    seen = findings.groupBy("repo_id", sev.alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+    # one pass over the findings: each (repo, severity) count brings zero rows, summed away where it was seen
+    zero = F.array(*[F.struct(F.lit(s).alias("severity"), F.lit(0).cast("long").alias("n")) for s in SEVERITIES])
+    own = F.array(F.struct("severity", "n"))
+    both = seen.select("repo_id", F.explode(F.concat(own, zero)).alias("x")).select("repo_id", "x.severity", "x.n")
+    if repos is not None:
+        both = both.unionByName(repos.select("repo_id", F.explode(zero).alias("x")).select("repo_id", "x.severity", "x.n"))
+    return both.groupBy("repo_id", "severity").agg(F.sum("n").alias("n"))
 
 
 def total_issues(findings: DataFrame) -> DataFrame:
@@ -98,7 +104,7 @@ def top_k(findings: DataFrame, k: int = 5, mode: str = "rank") -> DataFrame:
     title = F.coalesce("title", F.lit("Untitled"))
     return ranked.select(
         "repo_id", "pos", "id", "severity",
-        F.format_string("%d. [%s] %s", F.col("pos"), F.upper("severity"), title).alias("headline"),
+        F.format_string("%d. [%s] %s", F.col("pos"), F.upper(F.coalesce("severity", F.lit("info"))), title).alias("headline"),
         F.concat(F.coalesce("file", F.lit("Unknown file")), F.lit(":"),
                  F.coalesce(F.col("line").cast("string"), F.lit("?"))).alias("location"),
     )

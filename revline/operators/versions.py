@@ -22,9 +22,11 @@ def snapshot(versions: DataFrame, at_commit: int) -> DataFrame:
 
 def changed_files(versions: DataFrame, from_commit: int, to_commit: int) -> DataFrame:
     """Files whose content differs between two commits; renames show as delete + add."""
-    a = snapshot(versions, from_commit).select("repo_id", "path", F.col("content").alias("_a"))
-    b = snapshot(versions, to_commit).select("repo_id", "path", F.col("content").alias("_b"))
-    j = a.join(b, ["repo_id", "path"], "full_outer").filter(~F.col("_a").eqNullSafe(F.col("_b")))
-    kind = F.when(F.col("_a").isNull(), F.lit("added")).when(F.col("_b").isNull(), F.lit("deleted")) \
-        .otherwise(F.lit("modified"))
-    return j.select("repo_id", "path", kind.alias("change_type"))
+    # hashes and presence flags travel, not contents; a null content is a content like any other
+    hashed = versions.withColumn("content", F.sha2(F.col("content").cast("binary"), 256))
+    side = lambda at, h, there: snapshot(hashed, at).select(
+        "repo_id", "path", F.col("content").alias(h), F.lit(True).alias(there))
+    j = side(from_commit, "_a", "_in_a").join(side(to_commit, "_b", "_in_b"), ["repo_id", "path"], "full_outer")
+    kind = F.when(F.col("_in_a").isNull(), F.lit("added")).when(F.col("_in_b").isNull(), F.lit("deleted")) \
+        .when(~F.col("_a").eqNullSafe(F.col("_b")), F.lit("modified"))
+    return j.select("repo_id", "path", kind.alias("change_type")).filter(F.col("change_type").isNotNull())

@@ -191,7 +191,7 @@ li AS (
 
 ORACLES["lint_findings"] = f"""WITH {_LINT},
 lf AS (
-  SELECT repo_id, file, CAST(j AS INTEGER) AS line, CAST(NULL AS INTEGER) AS "column",
+  SELECT repo_id, file, CAST(j AS INTEGER) AS line, CAST(j - 1 AS INTEGER) AS "column",
          ['convention', 'refactor', 'warning', 'error'][CAST((k + j) % 4 AS INTEGER) + 1] AS severity,
          'style' AS category, 'Lint Issue: symbol-' || CAST(j AS VARCHAR) AS title,
          'message ' || CAST(j AS VARCHAR) AS description
@@ -362,10 +362,10 @@ stages AS (
             WHEN 'logic_verification' THEN 'logic' WHEN 'policy_verification' THEN 'policy' END) AS st
   FROM cfg)
 SELECT id, f.repo_id, severity, stage
-FROM of f JOIN stages s ON f.repo_id = s.repo_id
-WHERE ({sev_rank('severity')} <= {sev_rank('severity_threshold')}
+FROM of f LEFT JOIN stages s ON f.repo_id = s.repo_id
+WHERE (severity_threshold IS NULL OR {sev_rank('severity')} <= {sev_rank('severity_threshold')}
        OR ({sev_rank('severity')} = 5 AND {sev_rank('severity_threshold')} = 4))
-  AND list_contains(st, stage) AND NOT list_contains(skip, category)"""
+  AND coalesce(list_contains(st, stage) OR stage = 'policy', true) AND NOT coalesce(list_contains(skip, category), false)"""
 
 
 # ---- synthesis over generated findings -------------------------------------------------------------
@@ -500,9 +500,7 @@ WHERE a.content IS DISTINCT FROM b.content"""
 _PTOP = """
 dt AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
 pt0 AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark),
-keep AS (SELECT term FROM pt0 GROUP BY term HAVING count(*) <= 0.1 * (SELECT count(*) FROM benchmark)),
-pt AS (SELECT * FROM pt0 WHERE term IN (SELECT term FROM keep)),
-sc AS (SELECT doc_id, item_id, CAST(count(*) AS BIGINT) AS score FROM dt JOIN pt ON dt.term = pt.term GROUP BY doc_id, item_id),
+sc AS (SELECT doc_id, item_id, CAST(count(*) AS BIGINT) AS score FROM dt JOIN pt0 pt ON dt.term = pt.term GROUP BY doc_id, item_id),
 top AS (SELECT * FROM (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS INTEGER) AS rank,
                               item_id, score FROM sc) WHERE rank <= 3)"""
 
@@ -574,6 +572,10 @@ SELECT l_orderkey AS file, CAST(count(*) AS BIGINT) AS lines,
        CAST((count(*) FILTER (WHERE CAST(floor(l_quantity) AS BIGINT) % 3 > 0)) * 10000 // count(*) AS BIGINT) AS coverage_bp
 FROM lineitem GROUP BY l_orderkey"""
 
+ORACLES["latency_quantiles"] = """
+SELECT event_type AS operation, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99
+FROM events GROUP BY event_type"""
+
 ORACLES["latency_profile"] = """
 SELECT event_type AS operation, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total_cents,
        min(value) AS min_value, max(value) AS max_value,

@@ -49,7 +49,7 @@ class Review:
 
 
 def review(files: DataFrame, *, repos: DataFrame | None = None, config: DataFrame | None = None,
-           scope: str = "full", target_files=None, changed: DataFrame | None = None,
+           scope: str = "full", target_files=None, changed: DataFrame | None = None, branch: str | None = None,
            exclude_dirs=None, exclude_globs=None, max_files: int | None = None,
            lint_reports: DataFrame | None = None, complexity_reports: DataFrame | None = None,
            responses: DataFrame | None = None, policies: DataFrame | None = None,
@@ -59,12 +59,18 @@ def review(files: DataFrame, *, repos: DataFrame | None = None, config: DataFram
     ``config``: effective per-repo config (``sources.config.effective_config``) — applies the
     severity threshold, enabled checks and skipped categories, and gates fixes. ``responses``:
     ``(repo_id, path, response)`` from the model for the logic stage. ``policies``:
-    ``(item_id, text)`` for policy retrieval (one policy finding per file).
+    ``(item_id, text)`` for policy retrieval (one policy finding per file). Nothing is excluded
+    unless ``exclude_dirs`` or ``exclude_globs`` say so.
     """
-    scoped = B.select_scope(files, scope, target_files, changed)
-    scoped = B.exclude_globs(B.exclude_dirs(B.python_files(scoped), exclude_dirs), exclude_globs)
+    scoped = B.select_scope(files, scope, target_files, changed, branch)
+    scoped = B.exclude_globs(B.exclude_dirs(B.python_files(scoped), exclude_dirs or []), exclude_globs or [])
     capped = B.cap_files(scoped, max_files)
 
+    def in_scope(reports: DataFrame) -> DataFrame:
+        """Tool reports of the files under review only."""
+        keys = [k for k in ("repo_id", "path") if k in reports.columns]
+        return reports if scope == "full" and max_files is None else reports.join(capped.select(*keys).distinct(), keys, "left_semi")
+
     detectors = list(detectors or D.ALL_DETECTORS)
     facts = D.file_facts(capped)
     if persist:
@@ -73,11 +79,11 @@ def review(files: DataFrame, *, repos: DataFrame | None = None, config: DataFram
     errors = [parse_errors(facts).select("repo_id", "path", "error")]
 
     if lint_reports is not None:
-        issues = REP.ingest_lint(lint_reports)
+        issues = REP.ingest_lint(in_scope(lint_reports))
         stages.append(REP.lint_findings(issues))
         errors.append(REP.lint_errors(issues).select("repo_id", "path", "error"))
     if complexity_reports is not None:
-        blocks = REP.ingest_complexity(complexity_reports)
+        blocks = REP.ingest_complexity(in_scope(complexity_reports))
         stages.append(REP.complexity_report_findings(blocks))
         errors.append(blocks.filter(F.col("error").isNotNull()).select("repo_id", "path", "error"))
     if responses is not None:
@@ -109,7 +115,7 @@ def review(files: DataFrame, *, repos: DataFrame | None = None, config: DataFram
         findings=findings,
         scores=S.repo_scores(findings, all_repos),
         prioritized=S.prioritize(findings),
-        severity_counts=S.severity_counts(findings),
+        severity_counts=S.severity_counts(findings, all_repos),
         category_heat=S.category_heat(findings),
         top5=S.top_k(findings, 5),
         quick_wins=S.quick_wins(findings, 3),

@@ -29,8 +29,11 @@ def ingest_lint(reports: DataFrame, report_col: str = "report") -> DataFrame:
     Output: path, file, line, column, severity, message, message_id, symbol, error.
     """
     err = F.get_json_object(F.col(report_col), "$.error")
-    is_obj = F.trim(F.col(report_col)).startswith("{")
-    issues = F.when(~is_obj, F.from_json(F.col(report_col), LINT_ISSUE))
+    is_list = F.coalesce(F.trim(F.col(report_col)).startswith("["), F.lit(False))
+    issues = F.when(is_list, F.from_json(F.col(report_col), LINT_ISSUE))
+    # anything but a readable list is a failure: an error object, broken JSON, or no report at all
+    is_obj = ~is_list | issues.isNull() | F.coalesce(F.exists(issues, lambda i: i.isNull()), F.lit(False)) \
+        | F.try_parse_json(F.col(report_col)).isNull()
     keep = [c for c in reports.columns if c != report_col]
     ok = reports.filter(~is_obj).select(*keep, F.explode(issues).alias("i")).select(
         *keep, F.col("i.path").alias("file"), F.col("i.line").alias("line"), F.col("i.column").alias("column"),
@@ -58,6 +61,7 @@ def lint_findings(issues: DataFrame, strict_parity: bool = False) -> DataFrame:
         F.lit(LINT_CATEGORY).alias("category"),
         F.concat(F.lit(LINT_TITLE_PREFIX), F.coalesce("symbol", F.lit("None"))).alias("title"),
         F.coalesce("message", F.lit("")).alias("description"),
+        F.col("column"),
         F.lit(False).alias("auto_fixable"),
         F.lit("static").alias("stage"), F.lit(0).alias("stage_order"),
         F.coalesce("line", F.lit(0)).cast("long").alias("seq"))
@@ -78,14 +82,15 @@ def ingest_complexity(reports: DataFrame, report_col: str = "report") -> DataFra
     m = F.from_json(F.col(report_col), "map<string,string>")
     entry = F.element_at(m, F.col("path"))
     keep = [c for c in reports.columns if c != report_col]
-    df = reports.select(*keep, entry.alias("_v"))
-    is_err = F.get_json_object(F.col("_v"), "$.error").isNotNull()
+    unread = F.coalesce(F.try_parse_json(F.col(report_col)).isNull(), F.lit(True))
+    df = reports.select(*keep, entry.alias("_v"), unread.alias("_unread"))
+    is_err = F.get_json_object(F.col("_v"), "$.error").isNotNull() | F.col("_unread")
     blocks = df.filter(F.col("_v").isNotNull() & ~is_err) \
         .select(*keep, F.explode(F.from_json("_v", COMPLEXITY_BLOCKS)).alias("b")) \
         .select(*keep, "b.name", "b.lineno", "b.complexity", F.lit(None).cast("string").alias("error"))
     errors = df.filter(is_err).select(
         *keep, F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("lineno"),
-        F.lit(None).cast("int").alias("complexity"), F.get_json_object(F.col("_v"), "$.error").alias("error"))
+        F.lit(None).cast("int").alias("complexity"), F.coalesce(F.get_json_object(F.col("_v"), "$.error"), F.lit("unreadable report")).alias("error"))
     return blocks.unionByName(errors)
 
 

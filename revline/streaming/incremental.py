@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,8 +68,10 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str =
         raise RuntimeError(str(q.exception()))
     try:
         written = spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 - no batch wrote anything: an empty result
-        return spark.createDataFrame([], stream.schema)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], stream.schema)  # no batch wrote anything
     if mode == "complete":
         return written
     cols = [c for c in written.columns if c not in keys and c != "_batch"]

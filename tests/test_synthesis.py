@@ -89,13 +89,15 @@ def test_quick_wins(spark):
 
 def test_positions_match_row_number_with_a_hot_group(spark):
     rnd = random.Random(7)
-    data = [("hot" if rnd.random() < 0.4 else f"g{rnd.randint(0, 30)}", rnd.randint(0, 50), i) for i in range(3000)]
+    data = [("hot" if rnd.random() < 0.4 else rnd.choice([None, f"g{rnd.randint(0, 30)}"]), rnd.choice([None, rnd.randint(0, 50)]), i)
+            for i in range(3000)]
     df = spark.createDataFrame(data, "g string, k int, u int")
     w = Window.partitionBy("g").orderBy("k", "u")
-    want = sorted(df.withColumn("pos", F.row_number().over(w).cast("long")).collect())
-    for hot_rows in (500, 10, 10**9):  # hot group split / every group split / plain window
-        got = positions(df, "g", ["k", "u"], "pos", partitions=7, hot_rows=hot_rows)
-        assert sorted(got.collect()) == want
+    key = lambda r: (r["u"], r["pos"])
+    want = sorted(df.withColumn("pos", F.row_number().over(w).cast("long")).collect(), key=key)
+    for chunk in (None, [], ["k", F.floor(F.col("u") / 100)]):  # by the first order column, whole groups, finer
+        got = positions(df, "g", ["k", "u"], "pos", chunk)
+        assert sorted(got.collect(), key=key) == want
 
 
 def test_union_and_progress(spark):
