@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from revline.llm.bpe import PATTERN
 from revline.llm.common import append_columns
 
-MEMO_WORDS = 200_000
+MEMO_WORDS = 500_000
 TRIE_BYTES = 512  # a longer pre-token gets its forward scores alone: a trie would share nothing
 
 
@@ -38,6 +38,14 @@ class Unigram:
                     piece, rank = line.split()
                     self.score[base64.b64decode(piece)] = -round(1e6 * math.log(int(rank) + 2.7))
         self.longest = max(map(len, self.score))
+        # The pieces as a trie too: [children by byte, (score << 24) - 1 or None]. A sum of such numbers orders
+        # segmentations by score, then by fewer pieces, and holds the number of pieces in its low bits.
+        self.pieces: list = [{}, None]
+        for piece, s in self.score.items():
+            node = self.pieces
+            for b in piece:
+                node = node[0].setdefault(b, [{}, None])
+            node[1] = (s << 24) - 1
         self.split = regex.compile(PATTERN).findall
         self.memo: dict[str, int] = {}
 
@@ -55,28 +63,34 @@ class Unigram:
             for b in raw:
                 node = node[0].setdefault(b, [{}, []])
             node[1].append(w)
-        score, longest = self.score.get, self.longest
-        prefix = bytearray()
-        best: list[tuple[int, int]] = [(0, 0)]  # by prefix length: score, minus the number of pieces
-        stack = [(0, -1, root)]
+        # Depth first: ``best`` holds the forward scores of the current prefix by length. A node receives the
+        # starts from which some piece still goes on, and where in the trie of pieces each of them is.
+        pieces = self.pieces
+        best = [0]
+        stack = [(1, b, child, [(0, pieces)]) for b, child in root[0].items()]
+        for w in root[1]:
+            counts[w] = 0
         while stack:
-            depth, byte, node = stack.pop()
-            if depth:
-                del prefix[depth - 1:], best[depth:]
-                prefix.append(byte)
-                top = None
-                for start in range(max(0, depth - longest), depth):
-                    s = score(bytes(prefix[start:depth]))
+            depth, byte, node, open_starts = stack.pop()
+            del best[depth:]
+            going, top = [], None
+            for start, at in open_starts:
+                at = at[0].get(byte)
+                if at is not None:
+                    going.append((start, at))
+                    s = at[1]
                     if s is not None:
-                        before = best[start]
-                        x = (before[0] + s, before[1] - 1)
-                        if top is None or x > top:
-                            top = x
-                best.append(top)
+                        s += best[start]
+                        if top is None or s > top:
+                            top = s
+            best.append(top)
             for w in node[1]:
-                counts[w] = -best[depth][1]
-            for b, child in node[0].items():
-                stack.append((depth + 1, b, child))
+                counts[w] = -top & 0xFFFFFF
+            if node[0]:
+                going.append((depth, pieces))
+                depth += 1
+                for b, child in node[0].items():
+                    stack.append((depth, b, child, going))
         return counts
 
     def _alone(self, raw: bytes) -> int:
