@@ -90,11 +90,17 @@ class Index:
         return np.concatenate([book[codes[:, i]] for i, book in enumerate(self.books)], axis=1)
 
     def distances(self, q: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric squared distances of queries to the coded rows of one list, by table lookup."""
-        rest = q - self.coarse[which]
-        out = np.zeros((len(q), len(codes)), np.float32)
+        """Asymmetric squared distances of the coded rows of one list (down) to unit queries (across).
+
+        With b the coded row, |q - b|^2 = 1 + |b|^2 - 2 q.b, and q.b is a sum over subspaces of table entries: a
+        query's products with the codewords. Tables have a line for each codeword, so a lookup copies lines.
+        """
+        row = self.coarse[which] + self.decode(codes)
+        out = np.broadcast_to(((row ** 2).sum(1) + 1).astype(np.float32)[:, None], (len(codes), len(q))).copy()
+        q32 = np.ascontiguousarray(q.T, np.float32)
+        out -= 2 * (self.coarse[which].astype(np.float32) @ q32)
         for i, (a, b) in enumerate(self.cuts):
-            out += _squares(rest[:, a:b], self.books[i]).astype(np.float32)[:, codes[:, i]]
+            out -= np.take((2 * self.books[i]).astype(np.float32) @ q32[a:b], codes[:, i], axis=0)
         return out
 
 
@@ -144,7 +150,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         .select("v").limit(2 * SAMPLE).collect()
     if not drawn:
         drawn = nodes.select("v").limit(1).collect()
-    count = lists or max(1, min(4096, math.isqrt(n)))
+    count = lists or max(1, min(4096, math.isqrt(n) // 2))
     index = spark.sparkContext.broadcast(Index(_unit(_matrix([r[0] for r in drawn], dim)), count, parts, codes))
     d = math.sqrt(2 - 2 * cosine)  # distance of unit vectors at the cosine asked for
 
@@ -190,9 +196,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             counts = np.zeros(len(ids), np.int64)
             found = []
             step = max(1, CELLS // max(1, len(b_ids)))
+            within = ((d + b_lost + 1e-4) ** 2).astype(np.float32)
             for s in range(0, len(ids), step):
-                near = np.sqrt(ix.distances(q[s:s + step], which, b_code)) <= d + b_lost + 1e-4
-                i, j = np.nonzero(near)
+                near = ix.distances(q[s:s + step], which, b_code) <= within[:, None]
+                j, i = np.nonzero(near)
                 ok = np.concatenate([np.einsum("ij,ij->i", q[s + i[c:c + CELLS // 8]], b_vec[j[c:c + CELLS // 8]]) >= cosine
                                      for c in range(0, max(1, len(i)), CELLS // 8)])
                 i, j = i[ok] + s, j[ok]
