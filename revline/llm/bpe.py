@@ -30,6 +30,17 @@ NONE = 1 << 60
 
 # The split pattern of the byte-level tokenizer files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Letters and numbers of Unicode versions after the one the public tokenizer library
+# knows (16). It takes them for other signs, the regex module for letters and numbers.
+LATER = (
+    r"\u0558\u058B-\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE-\uA7CF\uA7D2\uA7D4\uA7DD\uA7E2\uA7F1\uAB6C-\uAB6D"
+    r"\U000107BB-\U000107BF\U00010940-\U00010959\U00010EC5-\U00010EC7\U00010ED9-\U00010EEE\U00011B0A"
+    r"\U00011DB0-\U00011DDB\U00011DE0-\U00011DE9\U00011DF1\U0001246F\U00012475-\U0001247F\U00012550-\U00012686"
+    r"\U00016EA0-\U00016EB8\U00016EBB-\U00016ED3\U00016FF2-\U00016FF6\U000187F8-\U000187FF\U00018CD6-\U00018CDA"
+    r"\U00018D09-\U00018D20\U00018D80-\U00018DF2\U00018E00-\U00019191\U000191A0-\U000191D2\U0001B123-\U0001B128"
+    r"\U0001B168\U0001D6A6\U0001DF1F-\U0001DF24\U0001DF2B-\U0001DF81\U0001DF90-\U0001DF96\U0001DFCD-\U0001DFFF"
+    r"\U0001E6C0-\U0001E6DE\U0001E6E0-\U0001E6E2\U0001E6E4-\U0001E6E5\U0001E6E7-\U0001E6ED\U0001E6F0-\U0001E6F4"
+    r"\U0001E6FE-\U0001E6FF\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479\U0003D000-\U0003FC3F")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -66,6 +77,9 @@ class Bpe:
             self.merged.append(vocab[left + right])
         self.digits = [str(i) for i in range(self.size)]
         self.split = regex.compile(PATTERN).findall
+        self.later = regex.compile(f"[{LATER}]").search
+        letter, number, other = f"(?![{LATER}])\\p{{L}}", f"(?![{LATER}])\\p{{N}}", f"[^\\s\\p{{L}}\\p{{N}}]|[{LATER}]"
+        self.split_later = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?(?:{letter})+| ?(?:{number})+| ?(?:{other})+|\\s+(?!\\S)|\\s+").findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") \
             if self.special else None
         self.memo: dict[str, bytes] = {}
@@ -114,7 +128,8 @@ class Bpe:
     def _plain(self, text: str) -> list[bytes]:
         memo, out = self.memo, []
         known = memo.get
-        for token in self.split(text):
+        split = self.split if text.isascii() or not self.later(text) else self.split_later
+        for token in split(text):
             got = known(token)
             if got is None:
                 got = np.array(self.word(token.encode()), "<i4").tobytes()

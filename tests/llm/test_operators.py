@@ -48,7 +48,8 @@ def test_bpe_equals_tokenizers_library():
     from tokenizers import Tokenizer
     own, ref = bpe.load(BPE_PATH), Tokenizer.from_file(BPE_PATH)
     spaces = "".join(chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000)
-    texts = [t for t in ODD if t] + [spaces, "a b".join("\x1c\x1d\x85\xa0 　"), "'ll 'S don't"] + [t for _, t in sample_texts(60)]
+    texts = [t for t in ODD if t] + [spaces, "a b".join("\x1c\x1d\x85\xa0 　"), "'ll 'S don't",
+                                         "new \U0002B73A't \U00011DE5\u0558's a\uA7D2b"] + [t for _, t in sample_texts(60)]
     for t in texts:
         ids = ref.encode(t, add_special_tokens=False).ids
         assert own.encode(t) == ids
