@@ -16,6 +16,8 @@ import functools
 import hashlib
 import heapq
 import json
+import sys
+from array import array
 
 import numpy as np
 import regex
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 from revline.llm.common import append_columns
 
 SCAN_LIMIT = 128       # bytes of a word up to which the rank array is scanned
-MEMO_WORDS = 200_000   # distinct words remembered per worker; changes cost only
+MEMO_WORDS = 300_000   # words of each of two generations remembered per worker; changes cost only
 NONE = 1 << 60
 
 # The split pattern of the byte-level tokenizer files.
@@ -77,12 +79,15 @@ class Bpe:
             self.merged.append(vocab[left + right])
         self.digits = [str(i) for i in range(self.size)]
         self.split = regex.compile(PATTERN).findall
-        self.later = regex.compile(f"[{LATER}]").search
+        self.later = np.zeros(sys.maxunicode + 1, bool)
+        for first, last in regex.findall(r"(\\u.{4}|\\U.{8})(?:-(\\u.{4}|\\U.{8}))?", LATER):
+            self.later[int(first[2:], 16):int((last or first)[2:], 16) + 1] = True
         letter, number, other = f"(?![{LATER}])\\p{{L}}", f"(?![{LATER}])\\p{{N}}", f"[^\\s\\p{{L}}\\p{{N}}]|[{LATER}]"
         self.split_later = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?(?:{letter})+| ?(?:{number})+| ?(?:{other})+|\\s+(?!\\S)|\\s+").findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") \
             if self.special else None
         self.memo: dict[str, bytes] = {}
+        self.old_memo: dict[str, bytes] = {}
 
     def word(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -125,20 +130,25 @@ class Bpe:
                     heapq.heappush(heap, (q, a, ids[a], ids[b]))
         return [x for x in ids if x >= 0]
 
+    def _has_later(self, text: str) -> bool:
+        return not text.isascii() and bool(self.later[np.frombuffer(text.encode("utf-32-le"), "<u4")].any())
+
+    def _remembered(self, token: str) -> bytes:
+        """Ids of a pre-token that the young generation lacks; a full one becomes the old one."""
+        got = self.old_memo.get(token)
+        if got is None:
+            got = array("i", self.word(token.encode())).tobytes()
+        if len(token) <= SCAN_LIMIT:
+            if len(self.memo) >= MEMO_WORDS:
+                self.old_memo = dict(self.memo)
+                self.memo.clear()
+            self.memo[token] = got
+        return got
+
     def _plain(self, text: str) -> list[bytes]:
-        memo, out = self.memo, []
-        known = memo.get
-        split = self.split if text.isascii() or not self.later(text) else self.split_later
-        for token in split(text):
-            got = known(token)
-            if got is None:
-                got = np.array(self.word(token.encode()), "<i4").tobytes()
-                if len(token) <= SCAN_LIMIT:
-                    if len(memo) >= MEMO_WORDS:
-                        memo.clear()
-                    memo[token] = got
-            out.append(got)
-        return out
+        known, look = self.memo.get, self._remembered
+        split = self.split_later if self._has_later(text) else self.split
+        return [known(token) or look(token) for token in split(text)]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; strings of the special tokens become their ids."""
@@ -148,10 +158,10 @@ class Bpe:
             parts = []
             for piece in self.cut.split(text):
                 if piece in self.special:
-                    parts.append(np.array([self.special[piece]], "<i4").tobytes())
+                    parts.append(array("i", [self.special[piece]]).tobytes())
                 elif piece:
                     parts += self._plain(piece)
-        return np.frombuffer(b"".join(parts), "<i4").tolist()
+        return array("i", b"".join(parts)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
