@@ -1,9 +1,12 @@
-"""Exclude globs to anchored regular expressions (driver side, a handful of patterns)."""
+"""Exclude globs to anchored regular expressions: on the driver for a list, as a Column for patterns in rows."""
 
 from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def glob_to_regex(glob: str) -> str:
     out, i = [], 0
@@ -31,3 +34,17 @@ def globs_to_regex(globs) -> str | None:
     if not globs:
         return None
     return "|".join(f"(?:{glob_to_regex(g)})" for g in globs)
+
+
+def globs_regex(globs: Column) -> Column:
+    """One regular expression for an array of globs of a row; null without any."""
+    def one(glob: Column) -> Column:
+        # the marks stand for the wildcards while single stars are replaced
+        out = F.regexp_replace(glob, r"([.+^$(){}|\[\]\\])", r"\\$1")
+        for wildcard, regex in (("**/", "\x01"), ("**", "\x02"), ("*", "[^/]*"), ("?", "[^/]"),
+                                ("\x01", "(?:.*/)?"), ("\x02", ".*")):
+            out = F.replace(out, F.lit(wildcard), F.lit(regex))
+        return F.concat(F.lit("(?:^"), out, F.lit("$)"))
+
+    known = F.filter(globs, lambda g: g.isNotNull())
+    return F.when(F.size(known) > 0, F.array_join(F.transform(known, one), "|"))

@@ -57,7 +57,7 @@ def responses_to_findings(prompts: DataFrame, responses: DataFrame, on: list[str
     title = TITLE_SRC if variant == "src" else TITLE_ROOT
     desc = F.concat(F.substring(F.col(response), 1, 200), F.lit("...")) if variant == "src" \
         else F.substring(F.col(response), 1, 300)
-    keep = [c for c in prompts.columns if c in ("repo_id",)]
+    keep = [c for c in prompts.columns if c == "repo_id" and c not in on]
     j = prompts.join(responses, on)
     return j.select(*keep, *on, F.col(path).alias("file"), F.lit(1).alias("line"), F.lit("medium").alias("severity"),
                     F.lit("logic").alias("category"), F.lit(title).alias("title"), desc.alias("description"),

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revline.functions.text import SECRET_PATTERNS, mask_secrets, normalize_newlines, split_lines
+from revline.operators.detectors import complete_findings
+from revline.schema import STAGE_ORDER
 
 # Rule set used by the registered queries (ours; the reference's scanner is a stub).
 # ``literal``: a substring every match contains; lines without it skip the regex.
@@ -87,8 +89,9 @@ def advisory_hits(requirements: DataFrame, advisories: DataFrame) -> DataFrame:
     req = requirements.withColumn("_v", version_key(F.col("version")))
     adv = advisories.withColumn("_lo", version_key(F.col("lo"))).withColumn("_hi", version_key(F.col("hi")))
     j = req.join(adv, "name")
+    repo = [c for c in requirements.columns if c == "repo_id"]
     return j.filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") < F.col("_hi"))) \
-        .select("path", "name", "version", "advisory_id", "severity")
+        .select(*repo, "path", "name", "version", "advisory_id", "severity")
 
 
 # Policy rules for D16 (ours): a document must or must not match a pattern.
@@ -110,3 +113,39 @@ def policy_violations(docs: DataFrame, rules=None, key: str = "doc_id", text: st
         checks.append(F.when(bad, F.lit(r["rule_id"])))
     arr = F.filter(F.array(*checks), lambda x: x.isNotNull())
     return docs.select(key, F.explode(arr).alias("rule_id"))
+
+
+# ---- as findings of a review ------------------------------------------------------------------
+
+def _staged(df: DataFrame, stage: str) -> DataFrame:
+    return complete_findings(df.withColumn("stage", F.lit(stage)).withColumn("category", F.lit(stage))
+                             .withColumn("stage_order", F.lit(STAGE_ORDER[stage]))
+                             .withColumn("seq", F.coalesce("line", F.lit(0)).cast("long")))
+
+
+def _file_key(files: DataFrame) -> DataFrame:
+    return files.withColumn("_key", F.struct("repo_id", "path"))
+
+
+def rule_findings(files: DataFrame, rules=None) -> DataFrame:
+    """Rule matches of ``files(repo_id, path, content)`` as security findings."""
+    hits = scan_rules(_file_key(files), rules, key="_key", text="content")
+    return _staged(hits.select("_key.repo_id", F.col("_key.path").alias("file"), F.col("line_no").alias("line"), "severity", "title",
+                               F.format_string("%s (%s)", "title", "rule_id").alias("description"), "cwe_id"), "security")
+
+
+def advisory_findings(requirements: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Vulnerable requirements ``(repo_id, path, name, version)`` as security findings."""
+    hits = advisory_hits(requirements, advisories)
+    return _staged(hits.select("repo_id", F.col("path").alias("file"), F.lit(None).cast("int").alias("line"), "severity",
+                               F.format_string("Vulnerable dependency: %s", "name").alias("title"),
+                               F.format_string("%s %s: %s", "name", "version", F.col("advisory_id").cast("string"))
+                               .alias("description")), "security")
+
+
+def policy_rule_findings(files: DataFrame, rules=None, severity: str = "medium") -> DataFrame:
+    """Broken policy rules as findings of the policy stage."""
+    broken = policy_violations(_file_key(files), rules, key="_key", text="content")
+    return _staged(broken.select("_key.repo_id", F.col("_key.path").alias("file"), F.lit(1).alias("line"),
+                                 F.lit(severity).alias("severity"), F.format_string("Policy rule broken: %s", "rule_id").alias("title"),
+                                 F.col("rule_id").alias("description")), "policy")

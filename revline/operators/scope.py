@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revline.functions.glob import globs_to_regex
+from revline.functions.glob import globs_regex, globs_to_regex
 from revline.functions.severity import meets_threshold
 
 # --- fixed values: folder markers (substring of the directory path) and default globs ---------
@@ -42,6 +42,13 @@ def exclude_globs(df: DataFrame, globs=None, path: str = "path") -> DataFrame:
     return df if rx is None else df.filter(~F.col(path).rlike(rx))
 
 
+def exclude_configured(files: DataFrame, config: DataFrame, path: str = "path") -> DataFrame:
+    """B3 with each repository's own ``exclude_patterns``; repositories without any keep all files."""
+    patterns = config.select("repo_id", globs_regex(F.col("exclude_patterns")).alias("_rx")).where("_rx IS NOT NULL")
+    hit = F.rlike(F.col(path), F.col("_rx"))
+    return files.join(patterns, "repo_id", "left").filter(~F.coalesce(hit, F.lit(False))).select(*files.columns)
+
+
 def cap_files(df: DataFrame, max_files: int | None, repo: str = "repo_id", path: str = "path") -> DataFrame:
     """First ``max_files`` per repo by path (off when None). A WindowGroupLimit plan."""
     if max_files is None:

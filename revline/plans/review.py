@@ -24,10 +24,12 @@ from revline.operators import detectors as D
 from revline.operators import fixes as X
 from revline.operators import policy as P
 from revline.operators import prompts as PR
+from revline.operators import rules as R
 from revline.operators import scope as B
 from revline.operators import synthesis as S
 from revline.operators.facts import parse_errors
 from revline.plans import reports as RP
+from revline.registry import run_analyzers
 from revline.session import materialize
 from revline.sources import reports as REP
 
@@ -44,6 +46,8 @@ class Review:
     fix_candidates: DataFrame
     markdown: DataFrame
     json: DataFrame
+    fixes: DataFrame
+    prompts: DataFrame
     errors: DataFrame
     progress: DataFrame
 
@@ -53,17 +57,27 @@ def review(files: DataFrame, *, repos: DataFrame | None = None, config: DataFram
            exclude_dirs=None, exclude_globs=None, max_files: int | None = None,
            lint_reports: DataFrame | None = None, complexity_reports: DataFrame | None = None,
            responses: DataFrame | None = None, policies: DataFrame | None = None,
-           detectors=None, persist: bool = True) -> Review:
+           security_rules=None, policy_rules=None, requirements: DataFrame | None = None,
+           advisories: DataFrame | None = None, approvals: DataFrame | None = None,
+           analyzers: list[str] | None = None, detectors=None, persist: bool = True) -> Review:
     """Review ``files(repo_id, path, content)``.
 
     ``config``: effective per-repo config (``sources.config.effective_config``) — applies the
-    severity threshold, enabled checks and skipped categories, and gates fixes. ``responses``:
-    ``(repo_id, path, response)`` from the model for the logic stage. ``policies``:
-    ``(item_id, text)`` for policy retrieval (one policy finding per file). Nothing is excluded
-    unless ``exclude_dirs`` or ``exclude_globs`` say so.
+    exclude patterns, severity threshold, enabled checks and skipped categories, chooses the persona of
+    the prompts, and gates fixes (``safe_only`` included). ``responses``: ``(repo_id, path, response)``
+    from the model for the logic stage. ``policies``: ``(item_id, text)`` for policy retrieval (one policy
+    finding per file). Nothing is excluded unless ``exclude_dirs``, ``exclude_globs`` or ``config`` say so.
+
+    ``security_rules`` and ``policy_rules`` (lists as in ``operators.rules``) scan the files' lines and
+    texts; ``requirements(repo_id, path, name, version)`` with ``advisories`` adds vulnerable dependencies.
+    Registered analyzers (the named ones, all if None) run over files of their extensions, Python or not.
+    ``approvals(issue_id)`` keeps only approved fixes. Fixes that do not parse are rows of ``errors``.
     """
-    scoped = B.select_scope(files, scope, target_files, changed, branch)
-    scoped = B.exclude_globs(B.exclude_dirs(B.python_files(scoped), exclude_dirs or []), exclude_globs or [])
+    every = B.select_scope(files, scope, target_files, changed, branch)
+    every = B.exclude_globs(B.exclude_dirs(every, exclude_dirs or []), exclude_globs or [])
+    if config is not None:
+        every = B.exclude_configured(every, config)
+    scoped = B.python_files(every)
     capped = B.cap_files(scoped, max_files)
 
     def in_scope(reports: DataFrame) -> DataFrame:
@@ -86,8 +100,19 @@ def review(files: DataFrame, *, repos: DataFrame | None = None, config: DataFram
         blocks = REP.ingest_complexity(in_scope(complexity_reports))
         stages.append(REP.complexity_report_findings(blocks))
         errors.append(blocks.filter(F.col("error").isNotNull()).select("repo_id", "path", "error"))
+    if security_rules is not None:
+        stages.append(R.rule_findings(capped, security_rules))
+    if requirements is not None and advisories is not None:
+        stages.append(R.advisory_findings(requirements, advisories))
+    if policy_rules is not None:
+        stages.append(R.policy_rule_findings(capped, policy_rules))
+    if (own := run_analyzers(every, analyzers)) is not None:
+        stages.append(own)
+    prompts = PR.review_prompts(capped)
+    if config is not None:
+        persona = config.select("repo_id", F.col("persona").alias("_persona"))
+        prompts = PR.review_prompts(capped.join(persona, "repo_id", "left"), "_persona").drop("_persona")
     if responses is not None:
-        prompts = PR.review_prompts(capped)
         logic = PR.responses_to_findings(prompts, responses, ["repo_id", "path"])
         stages.append(D.complete_findings(logic.withColumn("stage", F.lit("logic"))
                                           .withColumn("stage_order", F.lit(5)).withColumn("seq", F.lit(1).cast("long"))))
@@ -110,7 +135,11 @@ def review(files: DataFrame, *, repos: DataFrame | None = None, config: DataFram
     candidates = X.fix_candidates(findings)
     if config is not None:
         gate = X.fix_gate(findings, config).filter(F.col("decision_root") == "generate_fixes").select("repo_id")
-        candidates = candidates.join(gate, "repo_id", "left_semi")
+        candidates = X.safe_only(candidates.join(gate, "repo_id", "left_semi"), config)
+    fixes = X.valid_fixes(candidates)
+    if approvals is not None:
+        fixes = X.approved(fixes, approvals)
+    errors.append(X.fix_errors(candidates).select("repo_id", F.lit(None).cast("string").alias("path"), "error"))
     return Review(
         findings=findings,
         scores=S.repo_scores(findings, all_repos),
@@ -120,6 +149,8 @@ def review(files: DataFrame, *, repos: DataFrame | None = None, config: DataFram
         top5=S.top_k(findings, 5),
         quick_wins=S.quick_wins(findings, 3),
         fix_candidates=candidates,
+        fixes=fixes,
+        prompts=prompts,
         markdown=RP.markdown_lines(findings, all_repos),
         json=RP.json_lines(findings, all_repos),
         errors=_union(errors),

@@ -54,11 +54,14 @@ def _wrap(fn):
 
 
 def run_analyzers(files: DataFrame, names: list[str] | None = None) -> DataFrame | None:
-    """All (or the named) registered analyzers over ``files``; ``None`` if none applies."""
+    """All (or the named) registered analyzers over ``files``; ``None`` if none applies.
+
+    The two that find nothing (Java, TypeScript) read no file.
+    """
     frames = []
     stage_order = F.element_at(F.create_map(*[F.lit(x) for kv in STAGE_ORDER.items() for x in kv]), F.col("stage"))
     for name, (exts, fn) in _ANALYZERS.items():
-        if names is not None and name not in names:
+        if fn is _no_findings or (names is not None and name not in names):
             continue
         cond = None
         for e in exts:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from revline.functions.severity import severity_weight
+from revline.operators.rules import DEFAULT_POLICY_RULES, DEFAULT_RULES
 from revline.plans.review import review
 from revline.sources.config import effective_config
 
@@ -56,6 +57,62 @@ def test_review_with_config_and_scope(spark):
     assert {x["category"] for x in sec.collect()} == {"security"}
 
 
+def test_review_uses_the_whole_configuration(spark):
+    files = files_df(spark, [("r1", "src/a.py", "import os\nos.system('x')\n"), ("r1", "vendor/v.py", "import os\nos.system('x')\n"),
+                             ("r2", "vendor/v.py", "import os\nos.system('x')\n"), (None, "n.py", "eval('1')\n"),
+                             ("r2", "deep/a.spec.py", "eval('1')\n"), ("r2", "x.js", "var a;")])
+    cfg = effective_config(spark.createDataFrame(
+        [("r1", '{"persona": "security", "severity_threshold": "info", "exclude_patterns": ["vendor/**", "**/*.spec.py"], '
+                '"enabled_checks": ["security_audit", "static_analysis", "logic_verification"]}'),
+         ("r2", '{"exclude_patterns": null, "severity_threshold": "info", "auto_fix": {"enabled": true}}')],
+        "repo_id string, config_json string"))
+    responses = spark.createDataFrame([("r1", "src/a.py", "looks wrong"), ("r1", "vendor/v.py", "never asked")],
+                                      "repo_id string, path string, response string")
+    requirements = spark.createDataFrame([("r1", "requirements.txt", "lib", "1.2.0")], "repo_id string, path string, name string, version string")
+    advisories = spark.createDataFrame([("lib", "1.0.0", "2.0.0", "A-1", "critical")],
+                                       "name string, lo string, hi string, advisory_id string, severity string")
+    r = review(files, config=cfg, responses=responses, security_rules=DEFAULT_RULES, policy_rules=DEFAULT_POLICY_RULES,
+               requirements=requirements, advisories=advisories, persist=False)
+    got = {(f["repo_id"], f["file"], f["stage"], f["title"]) for f in r.findings.collect()}
+    assert ("r1", "src/a.py", "security", "Shell command execution") in got
+    assert ("r1", "requirements.txt", "security", "Vulnerable dependency: lib") in got
+    assert ("r1", "src/a.py", "policy", "Policy rule broken: license-header") in got
+    assert [f for f in got if f[2] == "logic"] == [("r1", "src/a.py", "logic", "Logic Intelligence Scan")]
+    assert not [f for f in got if f[:2] == ("r1", "vendor/v.py")]  # excluded by its own configuration only
+    assert {f[1] for f in got if f[0] == "r2"} >= {"vendor/v.py"} and {f[1] for f in got if f[0] is None} == {"n.py"}
+    prompts = {(p["repo_id"], p["path"]): p["system_prompt"] for p in r.prompts.collect()}
+    assert len(prompts) == 4 and len({prompts["r1", "src/a.py"], prompts["r2", "vendor/v.py"]}) == 2
+
+
+def test_review_runs_analyzers_and_reports_broken_fixes(spark):
+    from revline import registry
+
+    def find(pdf):
+        return pdf.assign(file=pdf["path"], line=1, severity="high", category="pattern", title="Odd\n)", description="d",
+                          auto_fixable=True)
+
+    registry.register_analyzer("odd", [".js"], find)
+    try:
+        r = review(_files(spark), persist=False)
+        assert [f["file"] for f in r.findings.where("title LIKE 'Odd%'").collect()] == ["x.js"]
+        assert r.errors.where("path IS NULL").count() == 1 and r.fixes.where("fix_code LIKE '%Odd%'").count() == 0
+        approvals = r.fixes.select("issue_id").limit(1)
+        assert review(_files(spark), approvals=approvals, persist=False).fixes.count() == 1
+    finally:
+        registry.unregister_analyzer("odd")
+
+
+def test_globs_in_rows_match_globs_of_the_driver(spark):
+    from revline.functions.glob import globs_regex, globs_to_regex
+    globs = ["**/node_modules/**", "**/*.spec.py", "a?c/*.py", "x+(y)/[z].py", "end**"]
+    rows = spark.createDataFrame([(globs,), ([],), (None,)], "g array<string>").select(globs_regex(F.col("g")).alias("x")).collect()
+    paths = ["node_modules/a.py", "b/node_modules/c/d.py", "t.spec.py", "u/t.spec.py", "abc/d.py", "abc/d/e.py", "x+(y)/[z].py",
+             "xx(y)/z.py", "ending/a.py", "legend.py"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    hits = lambda rx: sorted(r[0] for r in df.where(F.col("p").rlike(rx)).collect())
+    assert hits(rows[0][0]) == hits(globs_to_regex(globs)) and len(hits(rows[0][0])) == 7 and rows[1][0] is rows[2][0] is None
+
+
 def test_result_independent_of_partition_count(spark):
     from revline.operators import detectors as D
     files = _files(spark)
