@@ -481,10 +481,10 @@ def stream_progress(spark, sf_dir):
 
 @query("stream_scores")
 def stream_scores(spark, sf_dir):
-    """Files arrive as a stream; parse and detectors per micro-batch, running scores."""
+    """Files arrive as a stream; parse and detectors per micro-batch, scores over the latest push of each file."""
     schema = load(spark, sf_dir, "part").schema
     files = gen.gen_source_files(GI.stream_file_table(spark, sf_dir, schema, "part.parquet"))
-    return GI.run_to_table(spark, GI.running_scores(D.review_findings(files)), "scores", keys=["repo_id"])
+    return GI.run_reviews(spark, files, "scores")
 
 
 # ---- B10/B11: languages ------------------------------------------------------------------------------------

@@ -138,3 +138,25 @@ def test_languages_and_frameworks(spark):
                                     "repo_id string, module string")
     fw = {x["repo_id"]: x["frameworks"] for x in L.frameworks(imports).collect()}
     assert fw == {"r": ["Django", "pandas"], "s": ["Flask"]}
+
+
+def test_stream_scores_replace_the_findings_of_a_pushed_file(spark, tmpdir_path):
+    import os
+    from pyspark.sql import functions as F
+    from revline.operators import detectors as D
+    from revline.streaming import incremental as GI
+    schema = "repo_id string, path string, content string, version int"
+    bad, good = "import os\nos.system('x')\n", '"""d"""\nx = 1\n'
+    pushes = [[("r", "a.py", bad, 1), ("r", "b.py", bad, 1), (None, "n.py", bad, 1), ("s", "c.py", bad, 1), ("s", "c.py", good, 2)],
+              [("r", "a.py", good, 2), ("r", "b.py", bad, 2)]]
+    folder = os.path.join(tmpdir_path, "pushes")
+    for i, rows in enumerate(pushes):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        os.utime(next(os.path.join(folder, f) for f in sorted(os.listdir(folder), key=lambda f: os.path.getmtime(os.path.join(folder, f)))[::-1]
+                      if f.endswith(".parquet")), (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = GI.stream_file_table(spark, folder, schema, max_files_per_trigger=1)
+    got = {r["repo_id"]: (r["n_findings"], r["score"]) for r in GI.run_reviews(spark, stream, "pushes", version="version").collect()}
+    final = spark.createDataFrame([("r", "a.py", good), ("r", "b.py", bad), (None, "n.py", bad), ("s", "c.py", good)],
+                                  "repo_id string, path string, content string")
+    batch = {r["repo_id"]: (r["n_findings"], r["score"]) for r in GI.running_scores(D.review_findings(final)).collect()}
+    assert got == {"s": (0, 100)} | batch and got["r"][0] == batch["r"][0] > 0
