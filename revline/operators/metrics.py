@@ -13,13 +13,27 @@ def test_summary(results: DataFrame, repo: str = "repo_id", outcome: str = "outc
         .withColumn("status", F.when(F.col("failed") == 0, F.lit("passed")).otherwise(F.lit("failed")))
 
 
-def coverage(line_hits: DataFrame, file: str = "file", hits: str = "hits") -> DataFrame:
-    """Lines, covered lines and coverage in basis points (floor) per file."""
+def coverage(line_hits: DataFrame, file: str = "file", hits: str = "hits", line: str | None = None) -> DataFrame:
+    """Lines, covered lines and coverage in basis points (floor) per ``file`` (any grouping column).
+
+    With ``line``, rows that repeat a line count once, by their largest number of hits.
+    """
+    if line:
+        line_hits = line_hits.groupBy(file, line).agg(F.max(hits).alias(hits))
     return line_hits.groupBy(file).agg(F.count(F.lit(1)).alias("lines"),
                                        F.count_if(F.col(hits) > 0).alias("covered")) \
         .withColumn("coverage_bp", F.expr("(covered * 10000) div lines"))
 
 
+def coverage_by_repo(line_hits: DataFrame, repo: str = "repo_id", file: str = "file", line: str = "line",
+                     hits: str = "hits") -> DataFrame:
+    """D20 per repository: files, distinct lines, covered lines and coverage in basis points (floor)."""
+    lines = line_hits.groupBy(repo, file, line).agg(F.max(hits).alias("_hits"))
+    files = lines.groupBy(repo, file).agg(F.count(F.lit(1)).alias("_lines"), F.count_if(F.col("_hits") > 0).alias("_covered"))
+    return files.groupBy(repo).agg(F.count(F.lit(1)).alias("files"), F.sum("_lines").alias("lines"), F.sum("_covered").alias("covered")) \
+        .withColumn("coverage_bp", F.expr("(covered * 10000) div lines"))
+
+
 def latency_profile(runs: DataFrame, op: str = "operation", value: str = "value") -> DataFrame:
     """Count, exact total and mean in hundredths, min and max per operation."""
     cents = F.round(F.col(value) * 100).cast("long")

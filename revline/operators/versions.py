@@ -30,3 +30,10 @@ def changed_files(versions: DataFrame, from_commit: int, to_commit: int) -> Data
     kind = F.when(F.col("_in_a").isNull(), F.lit("added")).when(F.col("_in_b").isNull(), F.lit("deleted")) \
         .when(~F.col("_a").eqNullSafe(F.col("_b")), F.lit("modified"))
     return j.select("repo_id", "path", kind.alias("change_type")).filter(F.col("change_type").isNotNull())
+
+
+def missing_files(versions: DataFrame, wanted: DataFrame, at_commit: int) -> DataFrame:
+    """An error row for each wanted ``(repo_id, path)`` that is no live file as of ``at_commit``."""
+    live = snapshot(versions.withColumn("content", F.lit(None).cast("string")), at_commit).select("repo_id", "path")
+    lost = wanted.select("repo_id", "path").distinct().join(live, ["repo_id", "path"], "left_anti")
+    return lost.withColumn("error", F.concat(F.lit("Error reading file: "), "path"))

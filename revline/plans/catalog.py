@@ -530,3 +530,77 @@ def n_plus_one(spark, sf_dir):
     """Query calls inside loops, over data-access files generated from orders."""
     files = gen.gen_loop_files(load_balanced(spark, sf_dir, "orders", "o_orderkey"))
     return D.n_plus_one(D.file_facts(files)).select("id", "repo_id", "file", "line", "title", "description")
+
+
+# ---- shapes of syntax that the other generated files lack, each text distinct ------------------------------
+def _shape_files(spark, sf_dir):
+    return gen.gen_shape_files(load_balanced(spark, sf_dir, "part", "p_partkey"))
+
+
+def _shape_facts(spark, sf_dir):
+    return D.file_facts(_shape_files(spark, sf_dir))
+
+
+@query("decorator_facts")
+def decorator_facts(spark, sf_dir):
+    """Functions with their decorators, end lines and complexity."""
+    fns = C.explode_functions(_shape_facts(spark, sf_dir))
+    return fns.select("repo_id", "path", "name", "line", "end_line", F.array_join("decorators", "|").alias("decorator_list"), "complexity")
+
+
+@query("method_facts")
+def method_facts(spark, sf_dir):
+    """Classes with the names of their methods (``async`` ones do not count)."""
+    cls = C.explode_classes(_shape_facts(spark, sf_dir))
+    return cls.select("repo_id", "path", "name", "line", "end_line", F.array_join("methods", ",").alias("method_list"))
+
+
+@query("import_kinds")
+def import_kinds(spark, sf_dir):
+    """Aliased, from- and relative imports."""
+    return C.explode_imports(_shape_facts(spark, sf_dir))
+
+
+@query("error_kinds")
+def error_kinds(spark, sf_dir):
+    """An unclosed bracket, a missing block, an unclosed string."""
+    return C.parse_errors(_shape_facts(spark, sf_dir))
+
+
+@query("magic_numbers")
+def magic_numbers(spark, sf_dir):
+    """D4 over each of the numbers."""
+    found = D.review_findings(_shape_files(spark, sf_dir), ["magic_number"])
+    return found.select("id", "repo_id", "file", "line", "title", "description")
+
+
+@query("frameworks")
+def frameworks(spark, sf_dir):
+    """Frameworks of each repository, from its imports."""
+    found = L.frameworks(C.explode_imports(_shape_facts(spark, sf_dir)))
+    return found.select("repo_id", F.array_join("frameworks", ",").alias("frameworks"))
+
+
+@query("missing_files")
+def missing_files(spark, sf_dir):
+    """Paths that some version has and the snapshot at a commit has not."""
+    versions = _versions(spark, sf_dir)
+    return V.missing_files(versions, versions, DIFF_FROM)
+
+
+@query("coverage_by_repo")
+def coverage_by_repo(spark, sf_dir):
+    """D20 per repository (here: supplier), over distinct lines of its files."""
+    items = load_balanced(spark, sf_dir, "lineitem", "l_orderkey")
+    hits = items.select(F.col("l_suppkey").cast("string").alias("repo_id"), F.col("l_orderkey").alias("file"),
+                        (F.col("l_linenumber") % 3).alias("line"), (F.floor("l_quantity") % 3).alias("hits"))
+    return M.coverage_by_repo(hits)
+
+
+@query("run_state")
+def run_state(spark, sf_dir):
+    """G1 over any key: the last value each run (user) wrote to each key (event type)."""
+    events = load(spark, sf_dir, "events")
+    updates = events.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("key"),
+                            F.when(F.col("event_id") % 5 > 0, F.col("event_id").cast("string")).alias("value"), "ts", "event_id")
+    return G.fold_keys(updates)

@@ -698,3 +698,66 @@ WITH n AS (
            AS description
   FROM orders WHERE o_orderstatus IN ('O', 'F'))
 SELECT {finding_id_sql()} AS id, repo_id, file, line, title, description FROM n"""
+
+# ---- shapes (see revline.sources.gen.gen_shape_files) --------------------------------------------------------
+_SHAPES = """
+sh AS (
+  SELECT p_partkey AS k, p_size AS s, p_partkey % 6 AS v, translate(CAST(p_partkey AS VARCHAR), '0123456789', 'abcdefghij') AS w,
+         CAST(p_partkey % 50 AS VARCHAR) AS repo_id, 'lib/s' || CAST(p_partkey AS VARCHAR) || '.py' AS path
+  FROM part)"""
+
+# A picker has one path, a loop, a condition, two operators, a comprehension and its filter.
+ORACLES["decorator_facts"] = f"""WITH {_SHAPES}
+SELECT repo_id, path, 'view_' || w AS name, 3 AS line, 4 AS end_line, 'cached|app.route(''/' || w || ''')' AS decorator_list, 1 AS complexity
+FROM sh WHERE v = 0
+UNION ALL
+SELECT repo_id, path, 'pick_' || w, 1, 5, '', 7 FROM sh WHERE v = 3
+UNION ALL
+SELECT repo_id, path, 'm' || CAST(i AS VARCHAR), CAST(1 + 2 * i AS INTEGER), CAST(2 + 2 * i AS INTEGER), '', 1
+FROM (SELECT *, unnest(range(1, s % 5 + 1)) AS i FROM sh WHERE v = 2)"""
+
+ORACLES["method_facts"] = f"""WITH {_SHAPES}
+SELECT repo_id, path, 'Box_' || w AS name, 1 AS line, CAST(4 + 2 * (s % 5) AS INTEGER) AS end_line,
+       coalesce(array_to_string(list_transform(range(1, s % 5 + 1), lambda i: 'm' || CAST(i AS VARCHAR)), ','), '') AS method_list
+FROM sh WHERE v = 2"""
+
+ORACLES["import_kinds"] = f"""WITH {_SHAPES}
+SELECT repo_id, path, unnest(['os', 'pandas', 'django.db', '', 'pkg_' || w, 'mod_' || w || '.sub']) AS module FROM sh WHERE v = 1"""
+
+ORACLES["error_kinds"] = f"""WITH {_SHAPES}
+SELECT repo_id, path, 'Syntax error at line ' || CASE s % 3 WHEN 1 THEN '3: expected an indented block after function definition on line 2'
+         WHEN 0 THEN '2: ''('' was never closed' ELSE '2: unterminated string literal (detected at line 2)' END AS error,
+       CASE s % 3 WHEN 1 THEN 3 ELSE 2 END AS error_line
+FROM sh WHERE v = 5"""
+
+ORACLES["magic_numbers"] = f"""WITH {_SHAPES},
+m AS (
+  SELECT repo_id, path AS file, 3 AS line, CAST(NULL AS INTEGER) AS "column", 'pattern' AS category, 'Magic Number' AS title,
+         'Potential magic number detected' AS description
+  FROM sh WHERE v = 4)
+SELECT {finding_id_sql()} AS id, repo_id, file, line, title, description FROM m"""
+
+ORACLES["frameworks"] = f"""WITH {_SHAPES}
+SELECT DISTINCT repo_id, 'Django,pandas' AS frameworks FROM sh WHERE v = 1"""
+
+ORACLES["missing_files"] = f"""WITH {_FV}
+SELECT DISTINCT repo_id, path, 'Error reading file: ' || path AS error FROM fv
+WHERE (repo_id, path) NOT IN (SELECT (repo_id, path) FROM {_snap(_D_FROM)})"""
+
+ORACLES["coverage_by_repo"] = """
+WITH l AS (
+  SELECT CAST(l_suppkey AS VARCHAR) AS repo_id, l_orderkey, l_linenumber % 3 AS line, max(CAST(floor(l_quantity) AS BIGINT) % 3) AS hits
+  FROM lineitem GROUP BY ALL)
+SELECT repo_id, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS lines,
+       CAST(count(*) FILTER (WHERE hits > 0) AS BIGINT) AS covered,
+       CAST(count(*) FILTER (WHERE hits > 0) * 10000 // count(*) AS BIGINT) AS coverage_bp
+FROM l GROUP BY repo_id"""
+
+ORACLES["run_state"] = """
+WITH e AS (
+  SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS key,
+         CASE WHEN event_id % 5 > 0 THEN CAST(event_id AS VARCHAR) END AS value,
+         count(*) OVER (PARTITION BY user_id, event_type) AS n_updates,
+         row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn
+  FROM events)
+SELECT run_id, key, value, CAST(n_updates AS BIGINT) AS n_updates FROM e WHERE rn = 1"""

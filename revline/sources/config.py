@@ -66,11 +66,17 @@ def effective_config(repo_configs: DataFrame, variant: str = "root", text_col: s
     return df.select("repo_id", *cols)
 
 
-def parse_yaml_config(text: str) -> dict:
-    """One user file parsed on the driver (a few hundred bytes); errors fall back to defaults."""
+def parse_yaml_config(text: str, variant: str = "root") -> dict:
+    """One user file parsed on the driver (a few hundred bytes).
+
+    The root loader turns a file that is no valid YAML into defaults; with ``variant="src"`` the error is
+    raised. A missing yaml library raises for both: it says nothing about the file.
+    """
+    import yaml  # optional
     try:
-        import yaml  # optional
         data = yaml.safe_load(text)
-    except Exception:  # noqa: BLE001 - the root loader swallows read errors
+    except yaml.YAMLError:
+        if variant == "src":
+            raise
         return {}
     return data or {}

@@ -22,13 +22,18 @@ def _seq_join(n: Column, fmt) -> Column:
     return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), n), fmt), NL)).otherwise(F.lit(""))
 
 
+def _key_word(k: Column) -> Column:
+    """The key in letters a to j: distinct, and free of anything a line rule looks for."""
+    return F.translate(k.cast("string"), "0123456789", "abcdefghij")
+
+
 def gen_source_files(part: DataFrame, repos: int = 50) -> DataFrame:
     """One Python file per part row, eight variants by ``p_partkey % 8``.
 
     v0 ``def f(a):`` + n lines ``    x = i``; v1 ``def f(p1..pm)`` with m = p_size % 10 params;
     v2 ``async def`` + n lines; v3 ``class C:`` + 10n lines; v4 a syntax error; v5 an
     ``os.system`` call; v6 a module docstring + ``def g`` with CRLF newlines; v7 p_size % 15
-    nested ``if``. n = 2 * p_size.
+    nested ``if``. n = 2 * p_size. All but v4 end in a comment with the key, so no two texts are equal.
     """
     k, s = F.col("p_partkey"), F.col("p_size")
     n = s * 2
@@ -52,6 +57,7 @@ def gen_source_files(part: DataFrame, repos: int = 50) -> DataFrame:
         .when(v == 6, F.concat(F.lit('"""Module doc."""\r\ndef g(a):\r\n'), y_lines(n, "\r\n")))
         .otherwise(F.concat(F.lit("def f(a):\n"), ifs, F.repeat(F.lit(" "), (m_ifs + 1) * 4), F.lit("pass")))
     )
+    content = F.when(v == 4, content).otherwise(F.concat(content, F.lit("  # "), _key_word(k)))
     return part.select(
         (k % repos).cast("string").alias("repo_id"),
         F.concat(F.lit("src/m"), k.cast("string"), F.lit(".py")).alias("path"),
@@ -315,4 +321,33 @@ def gen_loop_files(orders: DataFrame) -> DataFrame:
             .otherwise(F.lit("def load(db, rows):\n    return db.executemany(rows)\n")))
     return orders.select(F.col("o_custkey").cast("string").alias("repo_id"),
                          F.concat(F.lit("q/o"), F.col("o_orderkey").cast("string"), F.lit(".py")).alias("path"),
-                         body.alias("content"))
+                         F.concat(body, F.lit("# "), _key_word(F.col("o_orderkey")), F.lit(NL)).alias("content"))
+
+
+def gen_shape_files(part: DataFrame, repos: int = 50) -> DataFrame:
+    """One Python file per part row with the key in its text, six shapes by ``p_partkey % 6``.
+
+    0 a decorated function; 1 aliased, from- and relative imports; 2 a class with p_size % 5 methods and an
+    ``async`` one; 3 a loop, a condition with ``and`` / ``or`` and a comprehension; 4 one of the magic numbers
+    on its third line; 5 one of three syntax errors.
+    """
+    k, s = F.col("p_partkey"), F.col("p_size")
+    word = _key_word(k)
+    shape = k % 6
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    methods = _seq_join(s % 5, lambda i: text("    def m", i.cast("string"), "(self):\n        return self"))
+    number = F.element_at(F.array(*[F.lit(x) for x in ("100", "1000", "3600", "86400")]), (s % 4).cast("int") + 1)
+    broken = F.element_at(F.array(*[F.lit(x) for x in ("x = (", "def f():\nreturn x", "x = 'open")]), (s % 3).cast("int") + 1)
+    content = (
+        F.when(shape == 0, text("@cached\n@app.route('/", word, "')\ndef view_", word, "(a):\n    return a"))
+        .when(shape == 1, text("import os as o, pandas\nfrom django.db import models as m\nfrom . import near\nfrom .pkg_", word,
+                               " import x\nimport mod_", word, ".sub"))
+        .when(shape == 2, text("class Box_", word, ":\n    size = 1\n", methods, F.when(s % 5 > 0, F.lit(NL)).otherwise(F.lit("")),
+                               "    async def later(self):\n        return self"))
+        .when(shape == 3, text("def pick_", word, "(a, b):\n    for x in a:\n        if x and b or a:\n            pass\n"
+                                                  "    return [y for y in b if y]"))
+        .when(shape == 4, text("name = '", word, "'\nsize = 7\nlimit = ", number))
+        .otherwise(text("# ", word, NL, broken))
+    )
+    return part.select((k % repos).cast("string").alias("repo_id"),
+                       F.concat(F.lit("lib/s"), k.cast("string"), F.lit(".py")).alias("path"), content.alias("content"))

@@ -20,6 +20,16 @@ def fold_runs(events: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_events"))
 
 
+def fold_keys(updates: DataFrame) -> DataFrame:
+    """G1 for any key: ``(run_id, key, value, ts, event_id)`` to the last value written to each key of each run.
+
+    A null written last is the value. A run's keys are rows of their own, so a run with many keys is spread.
+    """
+    last = F.max_by(F.struct("value", "ts"), F.struct("ts", "event_id"))
+    return updates.groupBy("run_id", "key").agg(last.alias("_v"), F.count(F.lit(1)).alias("n_updates")) \
+        .select("run_id", "key", F.col("_v.value").alias("value"), "n_updates")
+
+
 def step_labels(folded: DataFrame) -> DataFrame:
     """``current_step`` shown with ``_`` as spaces, title case."""
     return folded.withColumn("step_label", py_title_from_snake("current_step"))

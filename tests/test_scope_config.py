@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from revline.functions.glob import glob_to_regex
@@ -88,5 +89,9 @@ def test_apply_config_threshold_checks_and_skip(spark):
 
 
 def test_yaml_parse():
+    yaml = pytest.importorskip("yaml")
     assert CFG.parse_yaml_config("") == {}
-    assert CFG.parse_yaml_config("severity_threshold: high\n") in ({"severity_threshold": "high"}, {})
+    assert CFG.parse_yaml_config("severity_threshold: high\n") == {"severity_threshold": "high"}
+    assert CFG.parse_yaml_config("a: [1") == {}
+    with pytest.raises(yaml.YAMLError):
+        CFG.parse_yaml_config("a: [1", variant="src")
