@@ -8,9 +8,10 @@ distances gives asymmetric distances to the codes by lookup, and rows whose dist
 error is within reach are compared by cosine in double precision.
 
 Probes: a neighbour within Euclidean reach ``d`` (of unit vectors) lies in another list only if the query
-is within ``d`` of the plane between the two centroids. ``reach = 1`` probes all such lists and loses
-nothing; the default probes those within ``reach * d`` (the share of a neighbour's offset that points across
-a plane is small in many dimensions). The code filter never drops a pair.
+is within ``d`` of the plane between the two centroids. The distances of two neighbours to the plane between
+their lists sum to at most ``d``, so with ``reach * d`` and a reach of 0.5 (the default) or more at least one of
+the two probes the other's list. A link that only one end's probes reach is counted for both ends, so links and
+components are exact; a smaller reach may miss some. The code filter never drops a pair.
 
 Lists are split in blocks of ``BLOCK`` rows and their queries in parts, so no group grows with the data;
 blocks are held, queries stream past. A block emits link counts and spanning edges, not pairs.
@@ -83,7 +84,7 @@ class Index:
         gap = self.gaps[own]
         with np.errstate(divide="ignore", invalid="ignore"):
             across = (d - d[np.arange(len(x)), own][:, None]) / (2 * gap)
-        probe = (across <= reach) | (gap == 0)
+        probe = (across <= reach + 1e-9) | (gap == 0)  # more than the rounding of a sum that is just within reach
         return own, codes, lost, probe
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
@@ -157,7 +158,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     coded_type = T.StructType([T.StructField("id", T.LongType()), T.StructField("copies", T.LongType()),
                                T.StructField("list", T.IntegerType()), T.StructField("vec", T.BinaryType()),
                                T.StructField("code", T.BinaryType()), T.StructField("lost", T.DoubleType()),
-                               T.StructField("probes", T.ArrayType(T.IntegerType()))])
+                               T.StructField("probes", T.ArrayType(T.IntegerType())), T.StructField("mask", T.BinaryType())])
 
     def encode(batches):
         schema, ix = to_arrow_schema(coded_type), index.value
@@ -169,7 +170,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(own, pa.int32()), pa.array([r.tobytes() for r in x]),
                      pa.array([r.tobytes() for r in code]), pa.array(lost),
-                     pa.array([np.flatnonzero(r).tolist() for r in probe], pa.list_(pa.int32()))], schema=schema)
+                     pa.array([np.flatnonzero(r).tolist() for r in probe], pa.list_(pa.int32())),
+                     pa.array([r.tobytes() for r in np.packbits(probe, axis=1)])], schema=schema)
 
     coded = materialize(nodes.mapInArrow(encode, coded_type), "coded")
     # Sizes of the lists and of their queries (bounded by the number of lists) give the blocks and parts.
@@ -179,20 +181,23 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     salt = lambda key, sizes, word: F.pmod(F.xxhash64(F.lit(word), "id"), F.greatest(F.lit(1), number(sizes, key))).cast("int")
     upto = lambda sizes, key: F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), number(sizes, key)) - 1))
     held = coded.select("list", salt("list", blocks, "b").alias("block"), upto(asked, "list").alias("part"),
-                        F.lit(0).alias("kind"), "id", "copies", "vec", "code", "lost")
-    queries = coded.select("id", "vec", F.explode("probes").alias("list")).where(number(blocks, "list") > 0)
+                        F.lit(0).alias("kind"), "id", "copies", "vec", "code", "lost", "mask", F.col("list").alias("own"))
+    queries = coded.select("id", "copies", "vec", F.col("list").alias("own"), F.explode("probes").alias("list")).where(number(blocks, "list") > 0)
     queries = queries.select("list", upto(blocks, "list").alias("block"), salt("list", asked, "q").alias("part"), F.lit(1).alias("kind"),
-                             "id", F.lit(0).cast("long").alias("copies"), "vec", F.lit(None).cast("binary").alias("code"),
-                             F.lit(0.0).alias("lost"))
+                             "id", "copies", "vec", F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("lost"),
+                             F.lit(None).cast("binary").alias("mask"), "own")
     dealt = held.unionAll(queries).repartition("list", "block", "part").sortWithinPartitions("list", "block", "part", "kind")
 
     def search(batches):
         ix = index.value
         schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
 
-        def compare(which, base, ids, q):
-            """Counts of links of the queries, and edges to the smallest node each query or row reaches here."""
-            b_ids, b_copies, b_vec, b_code, b_lost = base
+        def compare(which, base, owed, ids, copies, q, own):
+            """Counts of links of the queries, and edges to the smallest node each query or row reaches here.
+
+            Rows whose own probes leave out the query's list do not find it themselves: their counts are added to ``owed``.
+            """
+            b_ids, b_copies, b_vec, b_code, b_lost, b_mask = base
             counts = np.zeros(len(ids), np.int64)
             found = []
             step = max(1, CELLS // max(1, len(b_ids)))
@@ -206,6 +211,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                 other = ids[i] != b_ids[j]
                 i, j = i[other], j[other]
                 counts += np.bincount(i, b_copies[j], len(ids)).astype(np.int64)
+                blind = (b_mask[j, own[i] >> 3] >> (7 - (own[i] & 7))) & 1 == 0
+                owed += np.bincount(j[blind], copies[i[blind]], len(b_ids)).astype(np.int64)
                 found.append((i, j))
             i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
             names, node = np.unique(np.concatenate([ids[i], b_ids[j]]), return_inverse=True)
@@ -215,7 +222,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             use = (arrays[1] > 0) | (arrays[0] != arrays[2])
             return pa.RecordBatch.from_arrays([pa.array(a[use]) for a in arrays], schema=schema)
 
-        key, base = None, []
+        def counted(base, owed):
+            at = np.flatnonzero(owed)
+            return pa.RecordBatch.from_arrays([pa.array(a) for a in (base[0][0][at], owed[at], base[0][0][at])], schema=schema)
+
+        key, base, owed = None, [], None
         for batch in batches:
             where = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
             if not len(where):
@@ -223,18 +234,25 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             starts = np.flatnonzero(np.r_[True, (np.diff(where, axis=0) != 0).any(axis=1)])
             for a, b in zip(starts, np.append(starts[1:], len(where))):
                 now, kind = tuple(where[a, :3]), where[a, 3]
-                ids = batch.column(4).slice(a, b - a).to_numpy()
+                ids, copies = (batch.column(i).slice(a, b - a).to_numpy() for i in (4, 5))
                 vec = np.frombuffer(b"".join(batch.column(6).slice(a, b - a).to_pylist()), float).reshape(b - a, ix.dim)
                 if now != key:
-                    key, base = now, []
+                    if owed is not None:
+                        yield counted(base, owed)
+                    key, base, owed = now, [], None
                 if kind == 0:
                     code = np.frombuffer(b"".join(batch.column(7).slice(a, b - a).to_pylist()), np.uint8)
-                    base.append((ids, batch.column(5).slice(a, b - a).to_numpy(), vec, code.reshape(b - a, ix.parts),
-                                 batch.column(8).slice(a, b - a).to_numpy()))
+                    mask = np.frombuffer(b"".join(batch.column(9).slice(a, b - a).to_pylist()), np.uint8)
+                    base.append((ids, copies, vec, code.reshape(b - a, ix.parts), batch.column(8).slice(a, b - a).to_numpy(),
+                                 mask.reshape(b - a, -1)))
                 elif base:
                     if len(base) > 1:
-                        base = [tuple(np.concatenate([x[i] for x in base]) for i in range(5))]
-                    yield compare(int(now[0]), base[0], ids, vec)
+                        base = [tuple(np.concatenate([x[i] for x in base]) for i in range(6))]
+                    if owed is None:
+                        owed = np.zeros(len(base[0][0]), np.int64)
+                    yield compare(int(now[0]), base[0], owed, ids, copies, vec, batch.column(10).slice(a, b - a).to_numpy())
+        if owed is not None:
+            yield counted(base, owed)
 
     links = materialize(dealt.mapInArrow(search, "id long, n long, root long"), "links")
     cc = connected_components(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))

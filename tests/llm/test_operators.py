@@ -309,6 +309,18 @@ def test_embeddings_equal_brute_force(spark):
     assert pq_dedup.near_duplicates(empty(spark, "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embedding_links_of_a_low_rank_cluster_are_exact(spark):
+    rng = np.random.default_rng(4)
+    hot = rng.normal(size=64) + rng.normal(size=(800, 3)) @ rng.normal(size=(3, 64)) * 0.22
+    x = np.concatenate([hot, rng.normal(size=(1600, 64)), hot[:3]])  # the last are copies
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = u @ u.T >= 0.9
+    np.fill_diagonal(close, False)
+    got = {r.vec_id: r.n_links for r in pq_dedup.near_duplicates(df).collect()}
+    assert close.sum() > 50_000 and [got[i] for i in range(len(x))] == close.sum(1).tolist()
+
+
 def test_embedding_blocks_give_the_same(spark, monkeypatch):
     df = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
     near = df.select((F.col("vec_id") + 10_000).alias("vec_id"), F.transform("embedding", lambda v: (v * 1.01 + 0.002).cast("float")).alias("embedding"), "label")
