@@ -4,9 +4,10 @@
 2. simhash_near_dedup: one document of each component of near-equal fingerprints stays.
 3. suffix_array_dedup: passages of 100 bytes or more that start earlier in the corpus are cut out of texts.
 4. source_mixing: rows in the order of a Pfair mix of the sources, by the square root of their sizes.
-5. bpe_encode_decode: token count and digests of each remaining text.
+5. bpe_encode_decode: token count and digests of each remaining text, and its position in the mix.
 
-Stages 1 to 4 return the columns of ``documents``, stage 5 returns them without the text, with its results.
+Stages 1 to 4 return the columns of ``documents``, stage 5 returns them without the text, with its results and
+``position`` (from 0: the place in the written order of stage 4), and is written in that order.
 """
 
 from __future__ import annotations
@@ -47,7 +48,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe_encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = fresh(docs.columns, "position"), fresh(docs.columns, "_part")
+    coded = bpe.round_trip(mixing.written_places(docs, parts, names), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.repartitionById(parts, F.col(names[1])).sortWithinPartitions(names[0]).drop(names[1])
 
 
 STAGES = [

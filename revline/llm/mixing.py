@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revline.llm.common import fresh
+from revline.session import materialize
 
 
 def square_root_shares(docs: DataFrame, source_col: str = "source", resolution: int = 1000) -> DataFrame:
@@ -91,3 +92,24 @@ def interleave(docs: DataFrame, shares: DataFrame, id_col: str = "doc_id", sourc
         .withColumn(names[2], F.col(names[1]) * block_rows + F.col(c["rank"]) % block_rows) \
         .withColumn(names[3], F.coalesce(F.col(names[1]) < F.col(c["end"]), F.lit(False))) \
         .select(*docs.columns, *names)
+
+
+def written_places(docs: DataFrame, parts: int, names: tuple[str, str] = ("position", "part")) -> DataFrame:
+    """``docs`` with the position of each row (from 0) in the written table, and its part of ``parts`` even stretches.
+
+    The order is that of the writing tasks, their files, and the rows of a file; a reader deals files to tasks in
+    another one. ``docs`` is the plain read of a written table; any other frame is written first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = materialize(docs, "written")
+    c = {n: fresh(docs.columns, f"_{n}") for n in ("path", "index", "before", "total")}
+    meta = docs.metadataColumn("_metadata")
+    rows = docs.select("*", meta["file_path"].alias(c["path"]), meta["row_index"].alias(c["index"]))
+    name = F.regexp_extract(c["path"], "[^/]*$", 0)
+    number = lambda pattern: F.regexp_extract(name, pattern, 1).try_cast("long")
+    upto = Window.partitionBy().orderBy(number(r"^part-(\d+)"), number(r"-c(\d+)\."), c["path"])  # one row for each file
+    files = rows.groupBy(c["path"]).agg(F.count("*").alias("n")) \
+        .select(c["path"], (F.sum("n").over(upto) - F.col("n")).alias(c["before"]), F.sum("n").over(Window.partitionBy()).alias(c["total"]))
+    position = F.col(c["before"]) + F.col(c["index"])
+    return rows.join(F.broadcast(files), c["path"]).select(
+        *docs.columns, position.alias(names[0]), F.floor(position * parts / F.col(c["total"])).cast("int").alias(names[1]))

@@ -1,6 +1,7 @@
 """The pipeline's stages against plain re-computations, and on odd tables."""
 
 import hashlib
+from collections import Counter
 
 import corpus_pipeline
 from conftest import SF_SMALL
@@ -8,6 +9,9 @@ from test_operators import empty, odd_docs, plain_fingerprint, without_repeats
 from tokenizers import Tokenizer
 import public_tokenizers
 
+from revline.llm import mixing
+from revline.session import materialize
+
 
 def test_registered():
     import __spark_entry__
@@ -51,6 +55,40 @@ def test_stages_take_effect(spark):
         assert r.decoded_sha256 == hashlib.sha256(left[r.doc_id].text.encode()).hexdigest()
 
 
+def test_mix_is_the_order_of_the_result(spark):
+    names = ["hot"] * 700 + ["b"] * 300 + ["c"] * 40
+    docs = materialize(spark.createDataFrame([(i, f"text {i} " * (1 + i * 37 % 50), "en", s, None) for i, s in enumerate(names)],
+                                             "doc_id long, text string, lang string, source string, n_chars long"), "docs")
+    # Several files, dealt by size when they are read again.
+    new = {"spark.sql.files.maxPartitionBytes": "3000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
+    try:
+        mixed = materialize(corpus_pipeline.source_mixing(spark, docs, SF_SMALL), "mixed")
+        assert len(mixed.inputFiles()) > 2
+        last = materialize(corpus_pipeline.bpe_encode_decode(spark, mixed, SF_SMALL), "last")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    rows = sorted(last.collect(), key=lambda r: r.position)
+    assert [r.position for r in rows] == list(range(len(names))) and last.columns[-1] != "text"
+    shares = {r.source: r.share for r in mixing.square_root_shares(docs).collect()}
+    total, size = sum(shares.values()), Counter(names)
+    got = Counter()
+    for n, r in enumerate(rows, 1):
+        got[r.source] += 1
+        assert all(abs(got[s] - n * a / total) <= corpus_pipeline.BLOCK_ROWS for s, a in shares.items())
+        if got[r.source] == size[r.source]:
+            break
+    assert n > 150
+    wanted = mixing.interleave(docs, mixing.square_root_shares(docs), block_rows=corpus_pipeline.BLOCK_ROWS).orderBy("position").collect()
+    assert [r.doc_id for r in rows] == [r.doc_id for r in wanted]
+    for path in last.inputFiles():  # the files hold stretches of the order
+        places = [r.position for r in spark.read.parquet(path).coalesce(1).collect()]
+        assert places == list(range(places[0], places[0] + len(places)))
+
+
 def test_stages_on_odd_and_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty(spark), SF_SMALL).count() == 0
