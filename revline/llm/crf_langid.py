@@ -206,17 +206,25 @@ def fit(samples: list[tuple[str, str]], lexicon_size: int = 1500, rounds: int =
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int,
                     max_chars: int) -> list[tuple[str, str]]:
-    """(language, text) of a bounded sample, chosen by a hash of the id at a rate per language."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()
-                      & (F.length(text_col) <= max_chars))
+    """(language, text) of a bounded sample, chosen by a hash of the id at a rate per language.
+
+    A text longer than ``max_chars`` lends one stretch of that size, at a place given by another hash of the id (from
+    its first letter on if that stretch has none).
+    """
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
         return []
     span = 1 << 30
     rate = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(span, span * docs_per_lang // n))])
     drawn = F.pmod(F.xxhash64(F.lit("crf"), F.col(id_col)), F.lit(span))
+    text, size = F.col(text_col), F.lit(max_chars)
+    at = F.pmod(F.xxhash64(F.lit("stretch"), F.col(id_col)), F.length(text) - size + 1).cast("int")
+    stretch = text.substr(at + 1, size)
+    letter = F.length(F.regexp_extract(text, r"^\P{L}*+", 0)) + 1
+    part = F.when(F.length(text) <= size, text).when(stretch.rlike(r"\p{L}"), stretch).otherwise(text.substr(letter, size))
     # A hash draw near the bound, then the bound itself: never more than the stated number.
-    found = rows.where(drawn < rate[F.col(lang_col)]).select(id_col, lang_col, text_col) \
+    found = rows.where(drawn < rate[F.col(lang_col)]).select(id_col, lang_col, part.alias(text_col)) \
         .orderBy(drawn, id_col, text_col).limit(2 * docs_per_lang * len(counts)).collect()
     return [(r[1], r[2]) for r in sorted(found, key=lambda r: (r[1], r[0], r[2]))]
 

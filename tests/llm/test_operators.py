@@ -127,6 +127,17 @@ def test_langid_odd_rows_and_code_switch(spark):
     assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
 
 
+def test_langid_learns_from_long_texts_only(spark):
+    words = {"en": "the of and to in that is was for", "de": "und die der das ist nicht eine auch"}
+    docs = spark.createDataFrame([(i, f"{words[k]} {i} " * 200, k) for i, k in enumerate(["en", "de"] * 4)]
+                                 + [(8, "0 " * 3000 + "les des une est dans pour qui", "fr")], "doc_id long, text string, lang string")
+    sample = crf_langid.training_sample(docs, "doc_id", "text", "lang", 50, 1000)
+    assert sorted(lang for lang, _ in sample) == ["de"] * 4 + ["en"] * 4 + ["fr"] and all(len(t) <= 1000 for _, t in sample)
+    assert all(t in docs.where(F.col("text").contains(t)).first().text for _, t in sample[:1])
+    found = crf_langid.identify(docs.select("doc_id", "text"), training=docs, max_chars=1000).collect()
+    assert {r.doc_id: r.lang_pred for r in found} == {i: k for i, k in enumerate(["en", "de"] * 4 + ["fr"])}
+
+
 def test_langid_held_out_accuracy(spark):
     found = queries.QUERIES["op1_crf_langid"](spark, SF_MID).where("held_out")
     truth = spark.read.parquet(f"{SF_MID}/documents.parquet").select("doc_id", "lang")
