@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,27 +152,41 @@ def links(fps: DataFrame, col: str = "fp", max_bits: int = 3) -> DataFrame:
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3,
                max_bits: int = 3) -> DataFrame:
     """(id, fp, component_id) for every row of ``docs``."""
+    return _components(docs, id_col, text_col, words_per_shingle, max_bits).drop("component")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int, max_bits: int) -> DataFrame:
+    """(id, fp, component, component_id): ids that repeat can name two components, ``component`` tells them apart."""
     rows = materialize(fingerprints(docs.select(F.col(id_col), F.col(text_col)), text_col, words_per_shingle), "simhash")
     nodes = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
     cc = connected_components(links(nodes, "fp", max_bits))
     named = nodes.join(cc.withColumnRenamed("id", "fp"), "fp", "left") \
         .select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(least, "component").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    return rows.join(named.join(least, "component").select("fp", "component", "component_id"), "fp") \
+        .select(id_col, "fp", "component", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3,
              max_bits: int = 3) -> DataFrame:
     """``docs`` with one row for each component: that of the smallest id (of the smallest text where it repeats).
 
-    Rows with a null id stay.
+    Rows that repeat an id are told apart by their fingerprints. Rows with a null id stay.
     """
-    found = components(docs, id_col, text_col, words_per_shingle, max_bits)
-    key, n = fresh(docs.columns, "_keep"), fresh(docs.columns, "_row")
+    found = _components(docs, id_col, text_col, words_per_shingle, max_bits).where(F.col(id_col).isNotNull())
+    key, fp, seen, group = (fresh(docs.columns, n) for n in ("_keep", "_fp", "_seen", "_component"))
     lost = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(key)).distinct()
-    left = docs.join(lost, F.col(id_col) == F.col(key), "left_anti")
-    again = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias(key))
+    again = found.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias(key))
     if again.isEmpty():
-        return left
-    first = left.where(F.col(id_col).isNotNull()).withColumn(n, F.row_number().over(Window.partitionBy(id_col).orderBy(text_col)))
-    return first.where(F.col(n) == 1).drop(n).unionByName(left.where(F.col(id_col).isNull()))
+        return docs.join(lost, F.col(id_col) == F.col(key), "left_anti")
+    again = materialize(again, "again")
+    once = docs.join(again, F.col(id_col) == F.col(key), "left_anti").join(lost, F.col(id_col) == F.col(key), "left_anti")
+    # Only rows of repeated ids are fingerprinted again, with their texts.
+    least = found.where(F.col(id_col) == F.col("component_id")) \
+        .select(F.col(id_col).alias(key), F.col("fp").alias(fp), F.col("component").alias(group)).distinct()
+    several = append_columns(docs.join(again, F.col(id_col) == F.col(key), "left_semi"), text_col,
+                             T.StructType([T.StructField(seen, T.LongType())]),
+                             lambda: lambda texts: [[fingerprint(t, words_per_shingle) for t in texts]], drop_text=False, limit=8 << 20)
+    several = several.join(least, (F.col(id_col) == F.col(key)) & (F.col(seen) == F.col(fp)))
+    first = several.groupBy(group).agg(F.min_by(F.struct(*docs.columns), F.struct(text_col)).alias(key))
+    return once.unionByName(first.select(*[F.col(key)[n].alias(n) for n in docs.columns]))

@@ -281,6 +281,16 @@ def test_simhash_keep_one(spark):
     assert simhash.keep_one(empty(spark)).count() == 0
 
 
+def test_simhash_keep_one_tells_rows_of_one_id_apart(spark):
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(40)) for w in "abcd")
+    rows = [(1, a), (2, a), (2, b), (2, b), (2, c), (3, c), (4, d), (4, None), (4, ""), (5, b), (None, a)]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n_row long")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(map(str, {(r.doc_id, r.text) for r in kept.collect()})) == sorted(map(str, [(1, a), (2, b), (2, c), (4, d), (4, None), (None, a)]))
+    assert kept.count() == 6
+
+
 def test_connected_components(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(60)] + [(rng.randint(100, 400), rng.randint(100, 400)) for _ in range(250)] + [(7, 7)]
