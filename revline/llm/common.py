@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,6 +71,67 @@ def append_columns(df: DataFrame, text_col: str, new: T.StructType, make: Callab
     return df.mapInArrow(run, out)
 
 
+def map_with_next(docs: DataFrame, id_col: str, text_col: str, new: T.StructType, make: Callable[[], Callable],
+                  limit: int = 4 << 20) -> DataFrame:
+    """(id, new columns) of every row, computed from its text and that of the next row by (id, text).
+
+    ``make()`` runs once per task and returns ``f(neighbouring texts) -> list of columns``, one shorter than the
+    texts: a value for each text but the last. Null texts are empty, null ids come first, and the first row of all
+    follows the last. Rows are dealt in ranges of (id, hash of the text), so a repeated id spreads too; each range
+    leaves its first and last text, and only these few meet across ranges.
+    """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")) \
+        .withColumn("_hash", F.xxhash64("_text"))
+    ordered = rows.repartitionByRange(parts, "_id", "_hash").sortWithinPartitions("_id", "_hash", "_text").select("_id", "_text")
+    id_field = T.StructField("_id", rows.schema["_id"].dataType)
+    ends = [T.StructField("_part", T.IntegerType()), T.StructField("_head", T.StringType()), T.StructField("_tail", T.StringType())]
+    names = [f"_new{i}" for i in range(len(new))]
+    fields = [T.StructField(n, f.dataType) for n, f in zip(names, new)]
+    whole = T.StructType([id_field, *fields, *ends])
+
+    def run(batches):
+        schema = to_arrow_schema(whole)
+        f, part = make(), TaskContext.get().partitionId()
+        head = last_id = last = None
+        for batch in batches:
+            sizes = pa.compute.binary_length(batch.column(1)).to_pylist()
+            for a, b in slices_by_bytes(sizes, limit):
+                ids, texts = batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).to_pylist()
+                if head is None:
+                    head = texts[0]
+                else:
+                    ids, texts = pa.concat_arrays([last_id, ids]), [last, *texts]
+                last_id, last = ids.slice(len(ids) - 1), texts[-1]
+                if len(texts) > 1:
+                    cols = [pa.array(c, type=schema.field(n).type) for c, n in zip(f(texts), names)]
+                    cols += [pa.nulls(len(texts) - 1, schema.field(e.name).type) for e in ends]
+                    yield pa.RecordBatch.from_arrays([ids.slice(0, len(ids) - 1), *cols], schema=schema)
+        if head is not None:
+            cols = [pa.nulls(1, schema.field(n).type) for n in names]
+            yield pa.RecordBatch.from_arrays([last_id, *cols, pa.array([part], pa.int32()), pa.array([head]), pa.array([last])], schema=schema)
+
+    def run_ends(batches):
+        schema = to_arrow_schema(T.StructType([id_field, *fields]))
+        f = make()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cols = f([batch.column(1)[i].as_py(), batch.column(2)[i].as_py()])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, 1), *[pa.array(c, type=schema.field(n).type) for c, n in zip(cols, names)]], schema=schema)
+
+    found = materialize(ordered.mapInArrow(run, whole), "with-next")
+    left = found.where(F.col("_part").isNotNull())
+    used = sorted(r[0] for r in left.select("_part").collect())  # one number for each range
+    after = spark.createDataFrame(list(zip(used, used[1:] + used[:1])), "_part int, _next int")
+    pairs = left.select("_id", "_tail", "_part").join(after, "_part") \
+        .join(left.select(F.col("_part").alias("_next"), F.col("_head").alias("_follows")), "_next").select("_id", "_tail", "_follows")
+    closed = pairs.mapInArrow(run_ends, T.StructType([id_field, *fields]))
+    both = found.where(F.col("_part").isNull()).select("_id", *names).unionByName(closed)
+    return both.select(F.col("_id").alias(id_col), *[F.col(n).alias(f.name) for n, f in zip(names, new)])
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every id on an edge; component is the smallest id reachable.
 
