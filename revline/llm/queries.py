@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revline.llm import (bpe, crf_langid, decision_list, hard_negatives, mixing, perspectives, pq_dedup, rule_ensemble, simhash,
-                         suffix_dedup, text_stats, token_counts)
+from revline.llm import (bpe, crf_langid, decision_list, hard_negatives, mixing, periodic_runs, perspectives, pq_dedup, quartile_digest, rule_ensemble,
+                         simhash, suffix_dedup, text_stats, token_counts)
 from revline.llm.common import crc_mod, documents
 from revline.session import materialize
 
@@ -159,6 +159,12 @@ def op10(spark, sf_dir):
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op11_quartile_digest")
+def op11(spark, sf_dir):
+    """Digest of every document, of its edited text, and how alike they and the next document's are."""
+    return quartile_digest.edit_likeness(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 @query("op12_hard_negatives")
 def op12(spark, sf_dir):
     """Hard negatives of every fiftieth vector and each of its nearest five of the same label."""
@@ -189,3 +195,25 @@ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score
 WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)
 QUALIFY row_number() OVER w <= 3
 """
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf_dir):
+    """Periodic runs of every document; in one of ten a tail is made periodic first."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    docs = docs.withColumn("_h", F.crc32(F.col("doc_id").cast("string").cast("binary"))).withColumn("_g", F.expr("_h div 10"))
+    words = F.when(F.col("_h") % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"), 0))
+    docs = docs.withColumn("_words", words).withColumn("_n", F.size("_words").cast("long"))
+    docs = docs.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    docs = docs.withColumn("_p", F.when(F.col("_n") > 0, F.expr("1 + (_n - _a) div (3 + _g % 8)")))
+    turned = F.array_join(F.transform("_words", lambda w, i: F.when(i < F.col("_a"), w).otherwise(
+        F.get("_words", (F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int")))), " ")
+    docs = docs.select("doc_id", F.when(F.col("_n") > 0, turned).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs.periodic_runs(docs, exponent=4, least=6)
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    return found.select("doc_id", "runs", "collapsed", best.alias("_best")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("_best.s").alias("start"), (-F.col("_best.l")).alias("length"),
+        F.col("_best.p").alias("period"), F.expr("1000 * -_best.l div _best.p").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
