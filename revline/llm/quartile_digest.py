@@ -89,8 +89,8 @@ def likeness_column(a: str, b: str) -> Column:
 
 
 EDITED = T.StructType([
-    T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),
-    T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()),
+    T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.BinaryType()),
+    T.StructField("fingerprint", T.BinaryType()), T.StructField("edited_fingerprint", T.BinaryType()),
     T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
 
 
@@ -105,8 +105,10 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             here, after = texts[:-1], texts[1:]
             edited = [(t[:len(t) - len(t) // 2] + n[:len(t) // 2]).encode() for t, n in zip(here, after)]
             own, new = digests([t.encode() for t in texts]), digests(edited)
-            return [[len(t) for t in here], [hashlib.sha256(e).hexdigest() for e in edited], _hex(own[:-1]), _hex(new),
+            return [[len(t) for t in here], [hashlib.sha256(e).digest() for e in edited],
+                    [d.tobytes() for d in own[:-1]], [d.tobytes() for d in new],
                     likeness(own[:-1], new), likeness(own[:-1], own[1:])]
         return f
 
-    return map_with_next(docs, id_col, text_col, EDITED, make)
+    found = map_with_next(docs, id_col, text_col, EDITED, make)
+    return found.select(*[F.lower(F.hex(c)).alias(c) if t == "binary" and c != id_col else F.col(c) for c, t in found.dtypes])
