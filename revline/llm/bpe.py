@@ -53,6 +53,23 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Splitter:
+    """Cuts a text to pre-tokens as the tokenizers library does."""
+
+    def __init__(self):
+        self.plain = regex.compile(PATTERN).findall
+        self.later = np.zeros(sys.maxunicode + 1, bool)
+        for first, last in regex.findall(r"(\\u.{4}|\\U.{8})(?:-(\\u.{4}|\\U.{8}))?", LATER):
+            self.later[int(first[2:], 16):int((last or first)[2:], 16) + 1] = True
+        letter, number, other = f"(?![{LATER}])\\p{{L}}", f"(?![{LATER}])\\p{{N}}", f"[^\\s\\p{{L}}\\p{{N}}]|[{LATER}]"
+        self.careful = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?(?:{letter})+| ?(?:{number})+| ?(?:{other})+|\\s+(?!\\S)|\\s+").findall
+
+    def __call__(self, text: str) -> list[str]:
+        if not text.isascii() and self.later[np.frombuffer(text.encode("utf-32-le"), "<u4")].any():
+            return self.careful(text)
+        return self.plain(text)
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary file."""
 
@@ -78,12 +95,7 @@ class Bpe:
             self.rank.setdefault(vocab[left] * self.size + vocab[right], r)
             self.merged.append(vocab[left + right])
         self.digits = [str(i) for i in range(self.size)]
-        self.split = regex.compile(PATTERN).findall
-        self.later = np.zeros(sys.maxunicode + 1, bool)
-        for first, last in regex.findall(r"(\\u.{4}|\\U.{8})(?:-(\\u.{4}|\\U.{8}))?", LATER):
-            self.later[int(first[2:], 16):int((last or first)[2:], 16) + 1] = True
-        letter, number, other = f"(?![{LATER}])\\p{{L}}", f"(?![{LATER}])\\p{{N}}", f"[^\\s\\p{{L}}\\p{{N}}]|[{LATER}]"
-        self.split_later = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?(?:{letter})+| ?(?:{number})+| ?(?:{other})+|\\s+(?!\\S)|\\s+").findall
+        self.split = Splitter()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") \
             if self.special else None
         self.memo: dict[str, bytes] = {}
@@ -130,9 +142,6 @@ class Bpe:
                     heapq.heappush(heap, (q, a, ids[a], ids[b]))
         return [x for x in ids if x >= 0]
 
-    def _has_later(self, text: str) -> bool:
-        return not text.isascii() and bool(self.later[np.frombuffer(text.encode("utf-32-le"), "<u4")].any())
-
     def _remembered(self, token: str) -> bytes:
         """Ids of a pre-token that the young generation lacks; a full one becomes the old one."""
         got = self.old_memo.get(token)
@@ -147,8 +156,7 @@ class Bpe:
 
     def _plain(self, text: str) -> list[bytes]:
         known, look = self.memo.get, self._remembered
-        split = self.split_later if self._has_later(text) else self.split
-        return [known(token) or look(token) for token in split(text)]
+        return [known(token) or look(token) for token in self.split(text)]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; strings of the special tokens become their ids."""

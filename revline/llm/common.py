@@ -48,11 +48,15 @@ def append_columns(df: DataFrame, text_col: str, new: T.StructType, make: Callab
     """Add columns computed from whole texts, one Arrow slice of about ``limit`` bytes at a time.
 
     ``make()`` runs once per task and returns ``f(list of str or None) -> list of column lists``.
-    All rows and the other columns of ``df`` pass through unchanged.
+    All rows and the other columns of ``df`` pass through unchanged; a new column whose name one of them has gets a
+    longer one (see ``fresh``).
     """
     kept = [f for f in df.schema.fields if not (drop_text and f.name == text_col)]
-    out = T.StructType(kept + list(new.fields))
     names = [f.name for f in kept]
+    added: list = []
+    for f in new.fields:
+        added.append(T.StructField(fresh([*names, *[g.name for g in added]], f.name), f.dataType))
+    out = T.StructType(kept + added)
 
     def run(batches):
         schema = to_arrow_schema(out)
