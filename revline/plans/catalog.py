@@ -604,3 +604,29 @@ def run_state(spark, sf_dir):
     updates = events.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("key"),
                             F.when(F.col("event_id") % 5 > 0, F.col("event_id").cast("string")).alias("value"), "ts", "event_id")
     return G.fold_keys(updates)
+
+
+# ---- B5/B6 on a commit graph ---------------------------------------------------------------------
+from revline.operators.history import History  # noqa: E402
+
+
+def _history(spark, sf_dir):
+    orders = load_balanced(spark, sf_dir, "orders", "o_orderkey")
+    return History(gen.gen_commits(orders), "seq"), gen.gen_commit_versions(orders), gen.gen_commit_pairs(orders)
+
+
+@query("dag_file_as_of")
+def dag_file_as_of(spark, sf_dir):
+    """Every live file at two commits of each repository, through branches and merges."""
+    history, versions, pairs = _history(spark, sf_dir)
+    wanted = pairs.select("repo_id", F.explode(F.array("a", "b")).alias("at"))
+    return history.files_at(versions, wanted)
+
+
+@query("dag_changed_files")
+def dag_changed_files(spark, sf_dir):
+    """Files that differ between the two commits (``A..B``) and since their merge base (``A...B``)."""
+    history, versions, pairs = _history(spark, sf_dir)
+    two = history.changed_files(versions, pairs).withColumn("dots", F.lit(2))
+    three = history.changed_files(versions, pairs, since_base=True).withColumn("dots", F.lit(3))
+    return two.unionByName(three)

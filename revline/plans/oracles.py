@@ -761,3 +761,42 @@ WITH e AS (
          row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn
   FROM events)
 SELECT run_id, key, value, CAST(n_updates AS BIGINT) AS n_updates FROM e WHERE rn = 1"""
+
+# ---- B5/B6 on a commit graph ------------------------------------------------------------------------------
+_DAG = """
+k AS (
+  SELECT o_orderkey AS k, o_orderstatus AS st, CASE WHEN o_orderkey % 3 = 0 THEN 3 ELSE 48 END AS step,
+         CASE WHEN o_orderkey % 3 = 0 THEN 'hot' ELSE 'r' || CAST(o_orderkey % 48 AS VARCHAR) END AS repo_id FROM orders),
+c AS (SELECT *, k // step AS i, (k // step) % 10 AS d, (k // step) // 10 AS ten FROM k),
+e AS (
+  SELECT repo_id, k, k - step * CASE WHEN d = 4 THEN CASE WHEN ten % 5 = 0 AND ten > 0 THEN 8 ELSE 2 END WHEN d = 7 THEN 4 ELSE 1 END AS p
+  FROM c WHERE i > 0
+  UNION ALL SELECT repo_id, k, k - step FROM c WHERE d = 7 AND ten % 4 <> 0),
+pr AS (
+  SELECT repo_id, max(k) AS b, max(k) - max(step) * (max(k // step) - max(k // step) // 2) AS a FROM c GROUP BY repo_id),
+anc(repo_id, tip, k) AS (
+  SELECT repo_id, unnest([a, b]), unnest([a, b]) FROM pr
+  UNION SELECT e.repo_id, anc.tip, e.p FROM anc JOIN e ON e.k = anc.k),
+base AS (
+  SELECT x.repo_id, max(x.k) AS base FROM anc x JOIN anc y ON x.repo_id = y.repo_id AND x.k = y.k
+  JOIN pr ON pr.repo_id = x.repo_id AND x.tip = a AND y.tip = b GROUP BY x.repo_id),
+anc2(repo_id, tip, k) AS (
+  SELECT repo_id, -1, base FROM base
+  UNION SELECT e.repo_id, -1, e.p FROM anc2 JOIN e ON e.k = anc2.k),
+tree AS (
+  SELECT x.repo_id, tip, 'f' || CAST(k * 7 % 23 AS VARCHAR) || '.py' AS path, arg_max(k, k) AS k, arg_max(st, k) = 'P' AS gone
+  FROM (SELECT * FROM anc UNION ALL SELECT * FROM anc2) x JOIN c USING (k) GROUP BY x.repo_id, tip, path),
+live AS (SELECT *, 'v = ' || CAST(k % 1000 AS VARCHAR) AS content FROM tree WHERE NOT gone),
+df AS (
+  SELECT pr.repo_id, a, b, 2 AS dots, a AS from_tip FROM pr UNION ALL SELECT pr.repo_id, a, b, 3, -1 FROM pr)"""
+
+ORACLES["dag_file_as_of"] = f"""WITH RECURSIVE {_DAG}
+SELECT repo_id, 'c' || CAST(tip AS VARCHAR) AS "at", path, 'c' || CAST(k AS VARCHAR) AS commit, content FROM live WHERE tip >= 0"""
+
+ORACLES["dag_changed_files"] = f"""WITH RECURSIVE {_DAG},
+paths AS (SELECT DISTINCT df.repo_id, a, b, dots, from_tip, path FROM df JOIN live ON live.repo_id = df.repo_id AND live.tip IN (b, from_tip))
+SELECT p.repo_id, 'c' || CAST(a AS VARCHAR) AS a, 'c' || CAST(b AS VARCHAR) AS b, p.path, dots,
+       CASE WHEN x.content IS NULL THEN 'added' WHEN y.content IS NULL THEN 'deleted' ELSE 'modified' END AS change_type
+FROM paths p LEFT JOIN live x ON x.repo_id = p.repo_id AND x.tip = from_tip AND x.path = p.path
+LEFT JOIN live y ON y.repo_id = p.repo_id AND y.tip = b AND y.path = p.path
+WHERE x.content IS DISTINCT FROM y.content"""

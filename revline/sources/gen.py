@@ -158,6 +158,48 @@ def gen_file_versions(orders: DataFrame) -> DataFrame:
     )
 
 
+def gen_commits(orders: DataFrame) -> DataFrame:
+    """A commit graph: one commit per order; every third belongs to one hot repository, the others to 32 more.
+
+    By the place i of a commit in its repository: commits 4 to 6 of ten are a branch off commit 2 (in every fifth ten
+    off the branch before), 7 goes on from 3 and merges 6 (but in every fourth ten), the others go on from the last.
+    """
+    k = F.col("o_orderkey")
+    step = F.when(k % 3 == 0, 3).otherwise(48)
+    rows = orders.select(
+        F.when(k % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("r"), (k % 48).cast("string"))).alias("repo_id"), k.alias("k"),
+        step.cast("long").alias("step"), F.floor(k / step).cast("long").alias("i"))
+    d, ten = F.col("i") % 10, F.expr("i div 10")
+    back = F.when(d == 4, F.when((ten % 5 == 0) & (ten > 0), 8).otherwise(2)).when(d == 7, 4).otherwise(1)
+    parents = F.array(F.struct(F.lit(0).alias("no"), F.when(F.col("i") > 0, F.col("k") - F.col("step") * back).alias("p")),
+                      F.struct(F.lit(1).alias("no"), F.when((d == 7) & (ten % 4 != 0), F.col("k") - F.col("step")).alias("p")))
+    wanted = F.filter(parents, lambda x: (x["no"] == 0) | x["p"].isNotNull())
+    return rows.select("repo_id", "k", "i", F.explode(wanted).alias("e")).select(
+        "repo_id", F.concat(F.lit("c"), F.col("k").cast("string")).alias("commit"),
+        F.concat(F.lit("c"), F.col("e.p").cast("string")).alias("parent"), F.col("e.no").alias("parent_no"), F.col("i").alias("seq"))
+
+
+def gen_commit_versions(orders: DataFrame) -> DataFrame:
+    """The file each commit of ``gen_commits`` writes; a status 'P' order deletes it."""
+    k = F.col("o_orderkey")
+    return orders.select(
+        F.when(k % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("r"), (k % 48).cast("string"))).alias("repo_id"),
+        F.concat(F.lit("f"), (k * 7 % 23).cast("string"), F.lit(".py")).alias("path"),
+        F.concat(F.lit("c"), k.cast("string")).alias("commit"),
+        F.concat(F.lit("v = "), (k % 1000).cast("string")).alias("content"),
+        (F.col("o_orderstatus") == "P").alias("is_deleted"))
+
+
+def gen_commit_pairs(orders: DataFrame) -> DataFrame:
+    """For each repository of ``gen_commits`` the commits at the middle (a) and at the end (b) of its numbering."""
+    k = F.col("o_orderkey")
+    repo = F.when(k % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("r"), (k % 48).cast("string")))
+    last = orders.groupBy(repo.alias("repo_id")).agg(F.max("o_orderkey").alias("k")) \
+        .withColumn("step", F.when(F.col("repo_id") == "hot", 3).otherwise(48))
+    middle = F.expr("k - step * ((k div step) - (k div step) div 2)")
+    return last.select("repo_id", F.concat(F.lit("c"), middle.cast("string")).alias("a"), F.concat(F.lit("c"), F.col("k").cast("string")).alias("b"))
+
+
 def gen_secret_text(documents: DataFrame) -> DataFrame:
     """Documents with an ``sk-`` token (32 hex) and a ``key=`` value of 18 to 21 characters."""
     md = F.md5(F.col("doc_id").cast("string"))
