@@ -630,3 +630,14 @@ def dag_changed_files(spark, sf_dir):
     two = history.changed_files(versions, pairs).withColumn("dots", F.lit(2))
     three = history.changed_files(versions, pairs, since_base=True).withColumn("dots", F.lit(3))
     return two.unionByName(three)
+
+
+# ---- D15 with weights ------------------------------------------------------------------------------
+from revline.operators import retrieval as RT  # noqa: E402
+
+
+@query("policy_weighted_topk")
+def policy_weighted_topk(spark, sf_dir):
+    """The three policies that fit each document best, by weighted terms through a pruned inverted index."""
+    index = RT.build_index(load(spark, sf_dir, "benchmark"))
+    return RT.topk(load_balanced(spark, sf_dir, "documents", "doc_id"), index, k=3)

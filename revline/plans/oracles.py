@@ -800,3 +800,19 @@ SELECT p.repo_id, 'c' || CAST(a AS VARCHAR) AS a, 'c' || CAST(b AS VARCHAR) AS b
 FROM paths p LEFT JOIN live x ON x.repo_id = p.repo_id AND x.tip = from_tip AND x.path = p.path
 LEFT JOIN live y ON y.repo_id = p.repo_id AND y.tip = b AND y.path = p.path
 WHERE x.content IS DISTINCT FROM y.content"""
+
+# ---- D15 with weights ----------------------------------------------------------------------------------------
+ORACLES["policy_weighted_topk"] = """
+WITH dt AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
+pt AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark),
+w AS (
+  SELECT term, CAST(round(pow(ln(1 + CAST((SELECT count(DISTINCT item_id) FROM benchmark) AS DOUBLE) / count(*)), 2) * 1000000) AS BIGINT) AS w
+  FROM pt GROUP BY term),
+size AS (SELECT item_id, sqrt(CAST(sum(w) AS DOUBLE)) AS size FROM pt JOIN w USING (term) GROUP BY item_id),
+sc AS (
+  SELECT doc_id, item_id, CAST(floor(1000000 * CAST(sum(w) AS DOUBLE) / max(size)) AS BIGINT) AS score
+  FROM dt JOIN pt USING (term) JOIN w USING (term) JOIN size USING (item_id) GROUP BY doc_id, item_id)
+SELECT * FROM (
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS INTEGER) AS rank, item_id, score FROM sc)
+WHERE rank <= 3
+"""
