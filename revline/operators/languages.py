@@ -19,6 +19,11 @@ def with_language(files: DataFrame, path: str = "path") -> DataFrame:
     return files.withColumn("ext", ext).withColumn("language", F.coalesce(F.element_at(m, F.col("ext")), F.lit("other")))
 
 
+def known_files(files: DataFrame, path: str = "path") -> DataFrame:
+    """Files whose extension names a known language."""
+    return files.where(F.regexp_extract(F.col(path), r"(\.[^./]+)$", 1).isin(list(LANGUAGES)))
+
+
 def language_counts(files: DataFrame) -> DataFrame:
     return with_language(files).groupBy("repo_id", "language").agg(F.count(F.lit(1)).alias("n_files"))
 

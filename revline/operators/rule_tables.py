@@ -14,12 +14,14 @@ fails the query.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revline.functions.text import normalize_newlines, split_lines
+from revline.session import materialize
 
 GRAM = 3
+HELD_ROWS = 50_000  # rules that may be copied to every task; more are joined by a shuffle
 PACK = 64          # rules without a literal that a line tests in one row
 SPREAD = 32        # keys that lines and packs are dealt over
 SAMPLE_ROWS = 500  # texts in which pieces are counted to choose the rarest
@@ -27,11 +29,18 @@ SAMPLE_ROWS = 500  # texts in which pieces are counted to choose the rarest
 DETAILS = ["severity", "cwe_id", "title"]
 
 
+RULE_SCHEMA = "rule_id string, regex string, literal string, severity string, cwe_id string, title string"
+
+
+def rule_table(spark, rules: list[dict]) -> DataFrame:
+    """A list of rules (as in ``operators.rules``) as a table."""
+    cols = ["rule_id", "regex", "literal", *DETAILS]
+    return spark.createDataFrame([tuple(r.get(c) for c in cols) for r in rules], RULE_SCHEMA)
+
+
 def grams(text):
-    """Distinct three-character pieces of a text."""
-    n = F.length(text)
-    return F.when(n >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substr(text, i, F.lit(GRAM))))) \
-        .otherwise(F.array().cast("array<string>"))
+    """Distinct three-character pieces of a text, in one pass."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), 1))
 
 
 def _clean(rules: DataFrame) -> DataFrame:
@@ -40,7 +49,7 @@ def _clean(rules: DataFrame) -> DataFrame:
 
 
 def listed(rules: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Rules with a literal, each with its rarest piece as ``_gram``."""
+    """Rules with a literal, each listed once under its rarest piece, ``_gram``."""
     known = rules.where(F.length("literal") >= GRAM)
     pieces = known.select("rule_id", "regex", F.explode(grams(F.col("literal"))).alias("_gram"))
     seen = docs.select(F.col(text).alias("_t")).limit(SAMPLE_ROWS).select(F.explode(grams(F.col("_t"))).alias("_gram")) \
@@ -52,18 +61,21 @@ def listed(rules: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
 def matches(texts: DataFrame, rules: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """(keys, rule columns) of every rule that matches a text; the text may have any length."""
-    rules = _clean(rules)
+    rules = materialize(_clean(rules), "rules")  # its rows are counted: what is copied to every task is bounded
+    held = rules.count() <= HELD_ROWS
+    near = F.broadcast if held else lambda df: df.hint("merge")
     details = [c for c in rules.columns if c not in ("regex", "literal")]
     rows = texts.select(*keys, F.col(text).alias("_line")).where(F.col("_line").isNotNull())
-    by_gram = rows.select("*", F.explode(grams(F.col("_line"))).alias("_gram")).join(listed(rules, rows, "_line"), "_gram") \
+    by_gram = rows.select("*", F.explode(grams(F.col("_line"))).alias("_gram")).join(near(listed(rules, rows, "_line")), "_gram") \
         .where(F.contains("_line", "literal") & F.regexp_like("_line", F.col("regex"))).select(*keys, *details)
-    # the others, packed by numbers dealt from a hash of their id: no row of rules grows with their number
+    # the others, dealt by a hash to as many packs as their number asks for
     plain = rules.where(F.coalesce(F.length("literal"), F.lit(0)) < GRAM)
     pack = F.struct(F.col("regex"), F.coalesce("literal", F.lit("")).alias("literal"), *details)
-    numbered = plain.withColumn("_p", F.floor((F.row_number().over(Window.orderBy("rule_id", "regex")) - 1) / PACK))
+    wanted = plain.select(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / PACK))).scalar()
+    numbered = plain.withColumn("_p", F.pmod(F.xxhash64("rule_id", "regex"), wanted))
     packs = numbered.groupBy("_p").agg(F.collect_list(pack).alias("_rules")) \
         .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    tested = rows.withColumn("_s", F.pmod(F.xxhash64("_line", *keys), F.lit(SPREAD)).cast("int")).join(packs, "_s")
+    tested = rows.withColumn("_s", F.pmod(F.xxhash64("_line", *keys), F.lit(SPREAD)).cast("int")).join(near(packs), "_s")
     hits = F.filter("_rules", lambda r: F.contains(F.col("_line"), r["literal"]) & F.regexp_like(F.col("_line"), r["regex"]))
     by_test = tested.select(*keys, F.explode(hits).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in details])
     return by_gram.unionByName(by_test)
@@ -88,7 +100,7 @@ def violations(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str
     barred = rules.select("rule_id", F.col("must_not_match").alias("regex"), "literal").where("regex is not null")
     broken = matches(docs, barred, "_doc", [key]).select(key, "rule_id")
     every = F.coalesce(asked.where("rule_id is not null").agg(F.collect_set("rule_id").alias("r")).scalar(), F.array().cast("array<string>"))
-    met = matches(docs, asked, "_doc", [key]).groupBy(key).agg(F.collect_set("rule_id").alias("_met"))
-    missing = docs.join(met, docs[key].eqNullSafe(met[key]), "left").select(
-        docs[key], F.explode(F.array_except(every, F.coalesce("_met", F.array().cast("array<string>")))).alias("rule_id"))
+    met = matches(docs, asked, "_doc", [key]).groupBy(F.col(key).alias("_key")).agg(F.collect_set("rule_id").alias("_met"))
+    missing = docs.select(key).join(met, F.col(key).eqNullSafe(F.col("_key")), "left").select(
+        key, F.explode(F.array_except(every, F.coalesce("_met", F.array().cast("array<string>")))).alias("rule_id"))
     return broken.unionByName(missing)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from revline.functions.text import SECRET_PATTERNS, mask_secrets, normalize_newlines, split_lines
 from revline.operators.detectors import complete_findings
+from revline.operators.rule_tables import scan_rule_table, violations
 from revline.schema import STAGE_ORDER
 
 # Rule set used by the registered queries (ours; the reference's scanner is a stub).
@@ -128,8 +129,9 @@ def _file_key(files: DataFrame) -> DataFrame:
 
 
 def rule_findings(files: DataFrame, rules=None) -> DataFrame:
-    """Rule matches of ``files(repo_id, path, content)`` as security findings."""
-    hits = scan_rules(_file_key(files), rules, key="_key", text="content")
+    """Rule matches of ``files(repo_id, path, content)`` as security findings; ``rules`` a list or a table."""
+    scan = scan_rule_table if isinstance(rules, DataFrame) else scan_rules
+    hits = scan(_file_key(files), rules, key="_key", text="content")
     return _staged(hits.select("_key.repo_id", F.col("_key.path").alias("file"), F.col("line_no").alias("line"), "severity", "title",
                                F.format_string("%s (%s)", "title", "rule_id").alias("description"), "cwe_id"), "security")
 
@@ -144,8 +146,9 @@ def advisory_findings(requirements: DataFrame, advisories: DataFrame) -> DataFra
 
 
 def policy_rule_findings(files: DataFrame, rules=None, severity: str = "medium") -> DataFrame:
-    """Broken policy rules as findings of the policy stage."""
-    broken = policy_violations(_file_key(files), rules, key="_key", text="content")
+    """Broken policy rules (a list or a table) as findings of the policy stage."""
+    check = violations if isinstance(rules, DataFrame) else policy_violations
+    broken = check(_file_key(files), rules, key="_key", text="content")
     return _staged(broken.select("_key.repo_id", F.col("_key.path").alias("file"), F.lit(1).alias("line"),
                                  F.lit(severity).alias("severity"), F.format_string("Policy rule broken: %s", "rule_id").alias("title"),
                                  F.col("rule_id").alias("description")), "policy")

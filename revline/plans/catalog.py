@@ -641,3 +641,27 @@ def policy_weighted_topk(spark, sf_dir):
     """The three policies that fit each document best, by weighted terms through a pruned inverted index."""
     index = RT.build_index(load(spark, sf_dir, "benchmark"))
     return RT.topk(load_balanced(spark, sf_dir, "documents", "doc_id"), index, k=3)
+
+
+# ---- D8, D16 with rules in a table -------------------------------------------------------------------
+from revline.operators import rule_tables as RB  # noqa: E402
+
+# ours: two rules without a literal text, beside the default ones
+PLAIN_RULES = [{"rule_id": "digits", "regex": "[0-9]{6}", "severity": "info", "cwe_id": "CWE-2", "title": "Long number"},
+               {"rule_id": "shout", "regex": "^[A-Z ]{8,}$", "severity": "info", "cwe_id": "CWE-3", "title": "Line in capitals"}]
+
+
+@query("rule_table_findings")
+def rule_table_findings(spark, sf_dir):
+    """The default rules, two without a literal and one for each benchmark item, all in a table, over every line."""
+    rules = RB.rule_table(spark, R.DEFAULT_RULES + PLAIN_RULES).unionByName(gen.gen_passage_rules(load(spark, sf_dir, "benchmark")))
+    return RB.scan_rule_table(_secret_docs(spark, sf_dir), rules)
+
+
+@query("policy_table_violations")
+def policy_table_violations(spark, sf_dir):
+    """A text must hold a license line and no benchmark passage; the rules in a table."""
+    barred = gen.gen_passage_rules(load(spark, sf_dir, "benchmark")).select(
+        "rule_id", F.lit(None).cast("string").alias("must_match"), F.col("regex").alias("must_not_match"), "literal")
+    own = spark.createDataFrame([("license-header", "(?m)^.*License.*$", None, "License"), ("digits", None, "[0-9]{6}", None)], barred.schema)
+    return RB.violations(load_balanced(spark, sf_dir, "documents", "doc_id"), barred.unionByName(own))

@@ -816,3 +816,17 @@ SELECT * FROM (
   SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS INTEGER) AS rank, item_id, score FROM sc)
 WHERE rank <= 3
 """
+
+# ---- D8, D16 with rules in a table -----------------------------------------------------------------------------
+ORACLES["rule_table_findings"] = ORACLES["rule_findings"].replace(
+    "'Use of eval'))", """'Use of eval'),
+  ('digits', '[0-9]{6}', 'info', 'CWE-2', 'Long number'),
+  ('shout', '^[A-Z ]{8,}$', 'info', 'CWE-3', 'Line in capitals'))""") + """
+UNION ALL
+SELECT doc_id, line_no, 'passage-' || CAST(item_id AS VARCHAR), 'low', 'CWE-1', 'Passage ' || CAST(item_id AS VARCHAR)
+FROM ln JOIN benchmark b ON contains(line, substr(b.text, 1, 24))"""
+
+ORACLES["policy_table_violations"] = """
+SELECT doc_id, 'passage-' || CAST(item_id AS VARCHAR) AS rule_id FROM documents d JOIN benchmark b ON contains(d.text, substr(b.text, 1, 24))
+UNION ALL SELECT doc_id, 'digits' FROM documents WHERE regexp_matches(text, '[0-9]{6}')
+UNION ALL SELECT doc_id, 'license-header' FROM documents WHERE NOT contains(text, 'License')"""

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from revline.operators import detectors as D
 from revline.operators import fixes as X
+from revline.operators import languages as L
 from revline.operators import policy as P
 from revline.operators import prompts as PR
 from revline.operators import rules as R
@@ -68,8 +69,8 @@ def review(files: DataFrame, *, repos: DataFrame | None = None, config: DataFram
     from the model for the logic stage. ``policies``: ``(item_id, text)`` for policy retrieval (one policy
     finding per file). Nothing is excluded unless ``exclude_dirs``, ``exclude_globs`` or ``config`` say so.
 
-    ``security_rules`` and ``policy_rules`` (lists as in ``operators.rules``) scan the files' lines and
-    texts; ``requirements(repo_id, path, name, version)`` with ``advisories`` adds vulnerable dependencies.
+    ``security_rules`` and ``policy_rules`` (lists as in ``operators.rules``, or tables as in
+    ``operators.rule_tables``) scan the lines and texts of files in every known language; ``requirements(repo_id, path, name, version)`` with ``advisories`` adds vulnerable dependencies.
     Registered analyzers (the named ones, all if None) run over files of their extensions, Python or not.
     ``approvals(issue_id)`` keeps only approved fixes. Fixes that do not parse are rows of ``errors``.
     """
@@ -79,6 +80,7 @@ def review(files: DataFrame, *, repos: DataFrame | None = None, config: DataFram
         every = B.exclude_configured(every, config)
     scoped = B.python_files(every)
     capped = B.cap_files(scoped, max_files)
+    lined = B.cap_files(L.known_files(every), max_files)  # rules read lines of any known language
 
     def in_scope(reports: DataFrame) -> DataFrame:
         """Tool reports of the files under review only."""
@@ -101,11 +103,11 @@ def review(files: DataFrame, *, repos: DataFrame | None = None, config: DataFram
         stages.append(REP.complexity_report_findings(blocks))
         errors.append(blocks.filter(F.col("error").isNotNull()).select("repo_id", "path", "error"))
     if security_rules is not None:
-        stages.append(R.rule_findings(capped, security_rules))
+        stages.append(R.rule_findings(lined, security_rules))
     if requirements is not None and advisories is not None:
         stages.append(R.advisory_findings(requirements, advisories))
     if policy_rules is not None:
-        stages.append(R.policy_rule_findings(capped, policy_rules))
+        stages.append(R.policy_rule_findings(lined, policy_rules))
     if (own := run_analyzers(every, analyzers)) is not None:
         stages.append(own)
     prompts = PR.review_prompts(capped)

@@ -158,6 +158,15 @@ def gen_file_versions(orders: DataFrame) -> DataFrame:
     )
 
 
+def gen_passage_rules(benchmark: DataFrame) -> DataFrame:
+    """A rule (for lines and, as must_not_match, for whole texts) for the first 24 characters of each benchmark item."""
+    start = F.substring("text", 1, 24)
+    regex = F.concat(F.lit("\\Q"), start, F.lit("\\E"))
+    return benchmark.select(F.concat(F.lit("passage-"), F.col("item_id").cast("string")).alias("rule_id"), regex.alias("regex"),
+                            start.alias("literal"), F.lit("low").alias("severity"), F.lit("CWE-1").alias("cwe_id"),
+                            F.concat(F.lit("Passage "), F.col("item_id").cast("string")).alias("title"))
+
+
 def gen_commits(orders: DataFrame) -> DataFrame:
     """A commit graph: one commit per order; every third belongs to one hot repository, the others to 32 more.
 
