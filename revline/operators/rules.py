@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revline.functions.text import SECRET_PATTERNS, mask_secrets, normalize_newlines, split_lines
+from revline.operators.advisories import hits as advisory_hits
 from revline.operators.detectors import complete_findings
 from revline.operators.rule_tables import scan_rule_table, violations
 from revline.schema import STAGE_ORDER
@@ -80,21 +81,6 @@ def masked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return docs.select(key, mask_secrets(text).alias("masked_text"))
 
 
-def version_key(v: Column) -> Column:
-    """``'a.b.c'`` → ``array<int>`` ordered lexicographically (Spark and DuckDB agree)."""
-    return F.transform(F.split(v, r"\."), lambda x: x.try_cast("int"))
-
-
-def advisory_hits(requirements: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Equi-join on package name, then ``lo <= version < hi`` on integer arrays."""
-    req = requirements.withColumn("_v", version_key(F.col("version")))
-    adv = advisories.withColumn("_lo", version_key(F.col("lo"))).withColumn("_hi", version_key(F.col("hi")))
-    j = req.join(adv, "name")
-    repo = [c for c in requirements.columns if c == "repo_id"]
-    return j.filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") < F.col("_hi"))) \
-        .select(*repo, "path", "name", "version", "advisory_id", "severity")
-
-
 # Policy rules for D16 (ours): a document must or must not match a pattern.
 DEFAULT_POLICY_RULES = [
     {"rule_id": "no-hardcoded-token", "must_not_match": r'token = "[0-9a-f]{40}"'},

@@ -40,6 +40,7 @@ def repo_scores(spark, sf_dir):
 
 # ---- C: facts ---------------------------------------------------------------------------------
 from revline.functions.text import line_count, normalize_newlines  # noqa: E402
+from revline.operators import advisories as AD  # noqa: E402
 from revline.operators import facts as C  # noqa: E402
 from revline.operators import rules as R  # noqa: E402
 from revline.operators import scope as B  # noqa: E402
@@ -167,7 +168,7 @@ def rule_findings(spark, sf_dir):
 @query("advisory_hits")
 def advisory_hits(spark, sf_dir):
     part = load(spark, sf_dir, "part")
-    return R.advisory_hits(gen.gen_requirements(part), gen.gen_advisories(part))
+    return AD.hits(gen.gen_requirements(part), gen.gen_advisories(part))
 
 
 @query("policy_violations")
@@ -665,3 +666,18 @@ def policy_table_violations(spark, sf_dir):
         "rule_id", F.lit(None).cast("string").alias("must_match"), F.col("regex").alias("must_not_match"), "literal")
     own = spark.createDataFrame([("license-header", "(?m)^.*License.*$", None, "License"), ("digits", None, "[0-9]{6}", None)], barred.schema)
     return RB.violations(load_balanced(spark, sf_dir, "documents", "doc_id"), barred.unionByName(own))
+
+
+# ---- D9 with ordinary version strings ------------------------------------------------------------------
+
+@query("advisory_hits_mixed")
+def advisory_hits_mixed(spark, sf_dir):
+    """Version strings of many forms, a hot package, open and unreadable bounds."""
+    part = load(spark, sf_dir, "part")
+    return AD.hits(gen.gen_mixed_requirements(part), gen.gen_mixed_advisories(part))
+
+
+@query("advisory_errors")
+def advisory_errors(spark, sf_dir):
+    part = load(spark, sf_dir, "part")
+    return AD.errors(gen.gen_mixed_requirements(part), gen.gen_mixed_advisories(part))

@@ -830,3 +830,32 @@ ORACLES["policy_table_violations"] = """
 SELECT doc_id, 'passage-' || CAST(item_id AS VARCHAR) AS rule_id FROM documents d JOIN benchmark b ON contains(d.text, substr(b.text, 1, 24))
 UNION ALL SELECT doc_id, 'digits' FROM documents WHERE regexp_matches(text, '[0-9]{6}')
 UNION ALL SELECT doc_id, 'license-header' FROM documents WHERE NOT contains(text, 'License')"""
+
+# ---- D9 with ordinary version strings ----------------------------------------------------------------------------
+# A version as a number: epoch, a, b, then what follows the release (0 dev, 1 alpha, 3 rc, 4 nothing, 5 post) and its number.
+_MIXED = """
+rq AS (
+  SELECT CASE WHEN p_partkey % 3 = 0 THEN 'hot' ELSE 'pkg' || CAST(p_partkey % 40 AS VARCHAR) END AS name,
+         'src/m' || CAST(p_partkey AS VARCHAR) || '.py' AS path, p_partkey % 10 AS f,
+         CAST(p_size % 6 AS VARCHAR) || '.' || CAST(p_partkey % 9 AS VARCHAR) AS ab, (p_size % 6) * 10000 + (p_partkey % 9) * 100 AS n FROM part),
+rv AS (
+  SELECT *, CASE f WHEN 1 THEN 'v' || ab || '.0' WHEN 2 THEN ab || '.0.0' WHEN 3 THEN ab || 'rc1' WHEN 4 THEN ab || '.post2' WHEN 5 THEN ab || '.dev3'
+            WHEN 6 THEN '1!' || ab WHEN 7 THEN ab || '-alpha.1' WHEN 8 THEN ab || '+local.5' WHEN 9 THEN 'latest-' || ab ELSE ab END AS version,
+         CASE f WHEN 3 THEN n + 31 WHEN 4 THEN n + 52 WHEN 5 THEN n + 3 WHEN 6 THEN n + 10000040 WHEN 7 THEN n + 11 WHEN 9 THEN NULL ELSE n + 40 END AS v
+  FROM rq),
+ad AS (
+  SELECT CASE WHEN p_partkey % 8 = 0 THEN 'hot' ELSE 'pkg' || CAST(p_partkey % 40 AS VARCHAR) END AS name,
+         'ADV-' || CAST(p_partkey AS VARCHAR) AS advisory_id, p_partkey % 20 = 0 AS below, p_partkey % 20 <> 0 AND p_partkey % 200 = 4 AS unread,
+         p_partkey % 28 = 0 AS above,
+         (p_size % 6) * 10000 + (p_partkey % 7) * 100 + CASE WHEN p_partkey % 16 = 0 THEN 31 ELSE 40 END AS lo,
+         ((p_size + p_partkey) % 7) * 10000 + (p_size % 9) * 100 + CASE WHEN p_partkey % 16 = 8 THEN 51 ELSE 40 END AS hi
+  FROM part WHERE p_partkey % 4 = 0)"""
+
+ORACLES["advisory_hits_mixed"] = f"""WITH {_MIXED}
+SELECT path, rv.name, version, advisory_id, 'high' AS severity
+FROM rv JOIN ad ON rv.name = ad.name AND NOT unread AND (below OR v >= lo) AND (above OR v < hi)
+WHERE v IS NOT NULL"""
+
+ORACLES["advisory_errors"] = f"""WITH {_MIXED}
+SELECT 'requirement' AS kind, name, path AS item, version, 'Unreadable version: ' || version AS error FROM rv WHERE v IS NULL
+UNION ALL SELECT 'advisory', name, advisory_id, 'any', 'Unreadable version: any' FROM ad WHERE unread"""

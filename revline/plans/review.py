@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revline.operators import advisories as AD
 from revline.operators import detectors as D
 from revline.operators import fixes as X
 from revline.operators import languages as L
@@ -106,6 +107,7 @@ def review(files: DataFrame, *, repos: DataFrame | None = None, config: DataFram
         stages.append(R.rule_findings(lined, security_rules))
     if requirements is not None and advisories is not None:
         stages.append(R.advisory_findings(requirements, advisories))
+        errors.append(AD.errors(requirements, advisories).select("repo_id", F.col("item").alias("path"), "error"))
     if policy_rules is not None:
         stages.append(R.policy_rule_findings(lined, policy_rules))
     if (own := run_analyzers(every, analyzers)) is not None:

@@ -300,6 +300,34 @@ def gen_advisories(part: DataFrame) -> DataFrame:
     return one.unionByName(two)
 
 
+def gen_mixed_requirements(part: DataFrame) -> DataFrame:
+    """Pinned packages with version strings of many forms; a third of them name one hot package.
+
+    ``a.b`` with a = p_size % 6, b = p_partkey % 9, written by p_partkey % 10 as: a.b, va.b.0, a.b.0.0, a.brc1, a.b.post2,
+    a.b.dev3, 1!a.b, a.b-alpha.1, a.b+local.5, or no version at all.
+    """
+    k = F.col("p_partkey")
+    ab = F.concat((F.col("p_size") % 6).cast("string"), F.lit("."), (k % 9).cast("string"))
+    forms = [ab, F.concat(F.lit("v"), ab, F.lit(".0")), F.concat(ab, F.lit(".0.0")), F.concat(ab, F.lit("rc1")), F.concat(ab, F.lit(".post2")),
+             F.concat(ab, F.lit(".dev3")), F.concat(F.lit("1!"), ab), F.concat(ab, F.lit("-alpha.1")), F.concat(ab, F.lit("+local.5")),
+             F.concat(F.lit("latest-"), ab)]
+    name = F.when(k % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("pkg"), (k % 40).cast("string")))
+    return part.select(name.alias("name"), F.element_at(F.array(*forms), (k % 10).cast("int") + 1).alias("version"),
+                       F.concat(F.lit("src/m"), k.cast("string"), F.lit(".py")).alias("path"))
+
+
+def gen_mixed_advisories(part: DataFrame) -> DataFrame:
+    """One advisory for every fourth part: from a.b to c.d, open below or above for some, one bound in 50 unreadable."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    name = F.when(k % 8 == 0, F.lit("hot")).otherwise(F.concat(F.lit("pkg"), (k % 40).cast("string")))
+    lo = F.concat((s % 6).cast("string"), F.lit("."), (k % 7).cast("string"), F.when(k % 16 == 0, "rc1").when(k % 16 == 4, ".0").otherwise(""))
+    hi = F.concat(((s + k) % 7).cast("string"), F.lit("."), (s % 9).cast("string"), F.when(k % 16 == 8, ".post1").otherwise(""))
+    return part.where(k % 4 == 0).select(
+        name.alias("name"), F.concat(F.lit("ADV-"), k.cast("string")).alias("advisory_id"),
+        F.when(k % 20 == 0, F.lit(None)).when(k % 200 == 4, F.lit("any")).otherwise(lo).alias("lo"),
+        F.when(k % 28 == 0, F.lit(None)).otherwise(hi).alias("hi"), F.lit("high").alias("severity"))
+
+
 def gen_review_events(events: DataFrame) -> DataFrame:
     """A review run's event stream: run = user, node = event type, step label and counters."""
     return events.select(
