@@ -184,12 +184,17 @@ def complete_findings(df: DataFrame) -> DataFrame:
     return df.select(*FINDING_COLUMNS)
 
 
+def findings_array(detectors=None) -> Column:
+    """The findings of the named detectors in one facts row, as an array of structs.
+
+    A file that does not parse has no facts, but still the findings that read its text."""
+    arrays = [F.coalesce(_detector_array(d), _empty()) for d in detectors or ALL_DETECTORS]
+    return arrays[0] if len(arrays) == 1 else F.concat(*arrays)
+
+
 def detect(facts_or_files: DataFrame, detectors=None) -> DataFrame:
     """Run the named detectors over ``file_facts`` (or over prepared files when none needs the parse)."""
-    detectors = list(detectors or ALL_DETECTORS)
-    arrays = [_detector_array(d) for d in detectors]
-    arr = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
-    return to_findings(facts_or_files, arr)
+    return to_findings(facts_or_files, findings_array(detectors))
 
 
 def review_findings(files: DataFrame, detectors=None, partitions: int | None = None) -> DataFrame:

@@ -681,3 +681,25 @@ def advisory_hits_mixed(spark, sf_dir):
 def advisory_errors(spark, sf_dir):
     part = load(spark, sf_dir, "part")
     return AD.errors(gen.gen_mixed_requirements(part), gen.gen_mixed_advisories(part))
+
+
+# ---- G4, E7 with state and event time ----------------------------------------------------------------------
+from revline.session import scratch_path  # noqa: E402
+from revline.streaming import live as GL  # noqa: E402
+
+
+@query("stream_severity_counts")
+def stream_severity_counts(spark, sf_dir):
+    """E7 over three micro-batches of pushes: files emptied or rewritten take back their earlier findings."""
+    folder = scratch_path(spark, f"pushes-{GI.uuid.uuid4().hex[:8]}")
+    for push in gen.gen_pushes(load_balanced(spark, sf_dir, "part", "p_partkey")):
+        push.coalesce(1).write.mode("append").parquet(folder)  # one file a push, so one micro-batch
+    stream = GI.stream_file_table(spark, folder, "repo_id string, path string, content string, version long", max_files_per_trigger=1)
+    return GL.LiveReview(spark, "severities").run(stream, "version").severity_counts()
+
+
+@query("stream_daily_counts")
+def stream_daily_counts(spark, sf_dir):
+    """Findings per repository, severity and day by event time: repeats dropped, days given out behind the watermark."""
+    events = GI.stream_file_table(spark, sf_dir, load(spark, sf_dir, "events").schema, "events.parquet")
+    return GL.run_append(spark, GL.daily_counts(gen.gen_event_stream(events), "1 day"), "daily")

@@ -859,3 +859,22 @@ WHERE v IS NOT NULL"""
 ORACLES["advisory_errors"] = f"""WITH {_MIXED}
 SELECT 'requirement' AS kind, name, path AS item, version, 'Unreadable version: ' || version AS error FROM rv WHERE v IS NULL
 UNION ALL SELECT 'advisory', name, advisory_id, 'any', 'Unreadable version: any' FROM ad WHERE unread"""
+
+# ---- G4, E7 with state and event time ------------------------------------------------------------------------------
+ORACLES["stream_severity_counts"] = f"""WITH {GEN_PARAMS},
+old AS ({_gen_rows(["long_function", "too_many_parameters", "god_class", "magic_number", "complexity", "unsafe_call", "missing_docstring"])}),
+live AS (
+  SELECT repo_id, severity FROM old
+  WHERE CAST(regexp_extract(file, 'm([0-9]+)', 1) AS BIGINT) % 4 <> 0 AND CAST(regexp_extract(file, 'm([0-9]+)', 1) AS BIGINT) % 6 <> 1
+  UNION ALL SELECT repo_id, unnest(['high', 'low']) FROM gp WHERE k % 6 = 1),
+d AS (SELECT DISTINCT repo_id, unnest(['critical', 'high', 'medium', 'low', 'info']) AS severity FROM gp)
+SELECT d.repo_id, d.severity, count(live.severity) AS n
+FROM d LEFT JOIN live ON live.repo_id = d.repo_id AND live.severity = d.severity GROUP BY d.repo_id, d.severity"""
+
+ORACLES["stream_daily_counts"] = """
+SELECT CAST(ts AS DATE) AS day, CAST(user_id AS VARCHAR) AS repo_id,
+       CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high' WHEN 'click' THEN 'medium' WHEN 'view' THEN 'low' ELSE 'info' END AS severity,
+       count(*) AS n
+FROM events
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT date_trunc('second', max(ts)) - INTERVAL 1 DAY FROM events)
+GROUP BY ALL"""

@@ -430,3 +430,22 @@ def gen_shape_files(part: DataFrame, repos: int = 50) -> DataFrame:
     )
     return part.select((k % repos).cast("string").alias("repo_id"),
                        F.concat(F.lit("lib/s"), k.cast("string"), F.lit(".py")).alias("path"), content.alias("content"))
+
+
+def gen_pushes(part: DataFrame) -> list[DataFrame]:
+    """Three pushes of the files of ``gen_source_files``: all; every fourth emptied; those with key % 6 = 1 rewritten."""
+    files = gen_source_files(part.select("*"))
+    key = F.regexp_extract("path", "m([0-9]+)", 1).cast("long")
+    push = lambda df, n: df.withColumn("version", F.lit(n).cast("long"))
+    return [push(files, 1), push(files.where(key % 4 == 0).withColumn("content", F.lit("")), 2),
+            push(files.where(key % 6 == 1).withColumn("content", F.concat(F.lit("import os\nos.system('x')  # "), _key_word(key))), 3)]
+
+
+def gen_event_stream(events: DataFrame) -> DataFrame:
+    """Findings with an event time; every fifth event comes twice. The time does not depend on the session's zone."""
+    at = F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86400 \
+        + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
+    twice = F.when(F.col("event_id") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return events.select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("repo_id"),
+                         _map_col(EVENT_SEVERITY, F.col("event_type")).alias("severity"), F.timestamp_seconds(at).alias("ts"),
+                         F.explode(twice).alias("_n")).drop("_n")

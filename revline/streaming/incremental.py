@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revline.functions.severity import severity_weight
-from revline.operators import detectors as D
 from revline.session import scratch_path
+from revline.streaming.live import LiveReview
 
 
 def stream_file_table(spark: SparkSession, folder: str, schema, glob: str | None = None,
@@ -43,37 +43,11 @@ def running_scores(findings: DataFrame) -> DataFrame:
 def run_reviews(spark: SparkSession, files: DataFrame, name: str, version: str | None = None, detectors=None) -> DataFrame:
     """Review a stream of ``files(repo_id, path, content)``; (repo_id, n_findings, score) over each file's latest push.
 
-    A micro-batch reviews the latest ``version`` of each of its files (the largest content without a version
-    column) and writes one row per file into a folder named after the batch, so a replayed batch replaces its own
-    rows and the stream keeps no state. A file pushed again, clean or deleted from the rules' sight, replaces its
-    earlier findings; a repository whose files are all clean scores 100. Old rows stay until the folder is compacted.
+    Held by state (``streaming.live``): a file pushed again, clean or deleted from the rules' sight, takes back its
+    earlier findings; a repository whose files are all clean scores 100. Of pushes without a ``version`` the later
+    batch counts, within a batch the larger digest of the content.
     """
-    base = scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:8]}")
-    out = f"{base}/data"
-
-    def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        if version:
-            latest = F.max_by("content", F.struct(version, "content"))
-        else:
-            latest = F.max("content")
-        now = batch.groupBy("repo_id", "path").agg(latest.alias("content"))
-        none = now.select("repo_id", F.col("path").alias("file"), F.lit(0).alias("penalty"), F.lit(0).alias("n"))
-        found = D.review_findings(now, detectors).select("repo_id", "file", severity_weight("severity").alias("penalty"), F.lit(1).alias("n"))
-        rows = found.unionByName(none).groupBy("repo_id", "file").agg(F.sum("penalty").alias("penalty"), F.sum("n").alias("n"))
-        rows.write.mode("overwrite").parquet(f"{out}/batch={epoch_id}")
-
-    q = files.writeStream.foreachBatch(write_batch).option("checkpointLocation", f"{base}/_checkpoint") \
-        .trigger(availableNow=True).start()
-    q.awaitTermination()
-    try:
-        written = spark.read.parquet(out)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return spark.createDataFrame([], "repo_id string, n_findings long, score int")  # no batch wrote anything
-    last = written.groupBy("repo_id", "file").agg(F.max_by(F.struct("penalty", "n"), F.col("batch")).alias("v"))
-    return last.groupBy("repo_id").agg(F.sum("v.n").alias("n_findings"),
-                                       (F.lit(100) - F.sum("v.penalty")).cast("int").alias("score"))
+    return LiveReview(spark, name).run(files, version, detectors).scores()
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "update",

@@ -4,7 +4,7 @@ import pytest
 
 from conftest import SF_SMALL
 
-STREAMING = {"stream_progress", "stream_scores"}
+STREAMING = {"stream_progress", "stream_scores", "stream_severity_counts", "stream_daily_counts"}
 
 
 def _plan(df) -> str:
