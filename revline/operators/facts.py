@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from revline.sources.tables import few_splits
+
 FUNCTION_T = T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("line", T.IntegerType()),
@@ -26,12 +28,20 @@ FUNCTION_T = T.StructType([
     T.StructField("decorators", T.ArrayType(T.StringType())),
     T.StructField("is_async", T.BooleanType()),
     T.StructField("complexity", T.IntegerType()),
+    T.StructField("owner", T.IntegerType()),  # place of the class whose body holds it, null outside class bodies
 ])
 CLASS_T = T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("line", T.IntegerType()),
     T.StructField("end_line", T.IntegerType()),
-    T.StructField("methods", T.ArrayType(T.StringType())),
+])
+IMPORT_T = T.StructType([  # one for each imported name
+    T.StructField("module", T.StringType()),
+    T.StructField("name", T.StringType()),   # null where the module itself is imported
+    T.StructField("alias", T.StringType()),
+    T.StructField("level", T.IntegerType()),  # leading dots
+    T.StructField("nth", T.IntegerType()),    # place of the name in its statement
+    T.StructField("line", T.IntegerType()),
 ])
 CALL_T = T.StructType([
     T.StructField("name", T.StringType()),
@@ -45,12 +55,12 @@ FACT_FIELDS = [
     T.StructField("node_count", T.IntegerType()),
     T.StructField("functions", T.ArrayType(FUNCTION_T)),
     T.StructField("classes", T.ArrayType(CLASS_T)),
-    T.StructField("imports", T.ArrayType(T.StringType())),
+    T.StructField("imports", T.ArrayType(IMPORT_T)),
     T.StructField("calls", T.ArrayType(CALL_T)),
 ]
 
 _LOOPS = (ast.For, ast.AsyncFor, ast.While)
-_FUNCS = (ast.FunctionDef, ast.AsyncFunctionDef)
+_IMPORTS = (ast.Import, ast.ImportFrom)
 _AST = ast.AST
 _CTX = (ast.Load, ast.Store, ast.Del)
 _NAME, _CONST = ast.Name, ast.Constant
@@ -79,32 +89,32 @@ def _extract(tree: ast.AST) -> tuple[int, list, list, list, list]:
     functions, classes, imports, calls = [], [], [], []
     count = 0
     # breadth first, like ast.walk, so lists come out in the reference's order;
-    # entries: node, enclosing function record (or None), loop depth
-    stack = deque([(tree, None, 0)])
+    # entries: node, enclosing function record (or None), loop depth, place of the class it stands in directly
+    stack = deque([(tree, None, 0, None)])
     pop, push = stack.popleft, stack.append
     for_types, if_types = _LOOPS, (ast.If, ast.IfExp, ast.Assert, ast.ExceptHandler)
     while stack:
-        node, fn, depth = pop()
+        node, fn, depth, owner = pop()
         count += 1
         cls = node.__class__
-        child_fn, child_depth = fn, depth
+        child_fn, child_depth, place = fn, depth, None
         if cls is ast.FunctionDef or cls is ast.AsyncFunctionDef:
             rec = {"name": node.name, "line": node.lineno, "end_line": node.end_lineno,
                    "args": [a.arg for a in node.args.args],
                    "decorators": [d.id if d.__class__ is ast.Name else ast.unparse(d) for d in node.decorator_list],
-                   "is_async": cls is ast.AsyncFunctionDef, "complexity": 1}
+                   "is_async": cls is ast.AsyncFunctionDef, "complexity": 1, "owner": owner}
             functions.append(rec)
             child_fn, child_depth = rec, 0
         elif cls is ast.ClassDef:
-            classes.append({"name": node.name, "line": node.lineno, "end_line": node.end_lineno,
-                            "methods": _methods(node)})
+            place = len(classes)
+            classes.append({"name": node.name, "line": node.lineno, "end_line": node.end_lineno})
             child_fn = None
         elif cls is ast.Lambda:
             child_fn, child_depth = None, 0
-        elif cls is ast.Import:
-            imports += _imported(node)
-        elif cls is ast.ImportFrom:
-            imports += _imported(node)
+        elif cls in _IMPORTS:
+            base, level = getattr(node, "module", None), getattr(node, "level", None)
+            imports += [{"module": base or "" if level is not None else a.name, "name": a.name if level is not None else None, "alias": a.asname,
+                         "level": level or 0, "nth": nth, "line": node.lineno} for nth, a in enumerate(node.names)]
         elif cls is ast.Call:
             name = _dotted(node.func)
             if name:
@@ -135,7 +145,7 @@ def _extract(tree: ast.AST) -> tuple[int, list, list, list, list]:
                     elif xc is _CONST or xc in _CTX:
                         count += 1
                     elif isinstance(x, _AST):
-                        push((x, child_fn, child_depth))
+                        push((x, child_fn, child_depth, place))
             elif v is not None:
                 vc = v.__class__
                 if vc is _NAME:
@@ -143,7 +153,7 @@ def _extract(tree: ast.AST) -> tuple[int, list, list, list, list]:
                 elif vc is _CONST or vc in _CTX:
                     count += 1
                 elif isinstance(v, _AST):
-                    push((v, child_fn, child_depth))
+                    push((v, child_fn, child_depth, place))
     calls.sort(key=lambda c: (c["line"], c["name"]))
     return count, functions, classes, imports, calls
 
@@ -176,18 +186,6 @@ def is_valid_python(source: str | None) -> bool:
         return False
 
 
-def _methods(node: ast.ClassDef) -> list[str]:
-    """Names of the plain functions directly in a class body."""
-    return [part.name for part in filter(lambda part: type(part) is ast.FunctionDef, node.body)]
-
-
-def _imported(node: ast.Import | ast.ImportFrom) -> list[str]:
-    """Modules one import statement names; a relative import of no module names the empty string."""
-    if isinstance(node, ast.ImportFrom):
-        return [node.module or ""]
-    return [alias.name for alias in node.names]
-
-
 MEMO_BYTES = 32 << 20  # source text whose facts a worker remembers; changes cost only
 
 
@@ -236,17 +234,14 @@ def parse_files(files: DataFrame, carry: list[str] | None = None, content_col: s
                 partitions: int | None = None) -> DataFrame:
     """``file_facts``: one row per file with the ``carry`` columns plus the parsed facts.
 
-    ``content`` goes into the Python worker but not out of it. If the input has fewer
-    partitions than the cluster has cores (one big unsplittable file, T10) it is hash
-    partitioned on the carried keys first; a real corpus scan is already split by the reader.
+    ``content`` goes into the Python worker but not out of it. A small input (see
+    ``sources.tables.few_splits``; one unsplittable file, T10) is hash partitioned on the
+    carried keys first; a real corpus scan is already split by the reader.
     """
     carry = list(carry or ["repo_id", "path"])
-    spark = files.sparkSession
     # partitions=0: the caller has already partitioned the input
-    if partitions is None and not files.isStreaming:
-        target = spark.sparkContext.defaultParallelism
-        if files.rdd.getNumPartitions() < target:
-            partitions = target
+    if partitions is None and few_splits(files):
+        partitions = files.sparkSession.sparkContext.defaultParallelism
     src = files.select(*carry, content_col)
     if partitions:
         src = src.repartition(partitions, *[c for c in carry if c in ("repo_id", "path")] or carry)
@@ -277,15 +272,24 @@ def explode_functions(facts: DataFrame, include_async: bool = False) -> DataFram
     df = facts.select("repo_id", "path", F.explode("functions").alias("f"))
     if not include_async:
         df = df.filter(~F.col("f.is_async"))
-    return df.select("repo_id", "path", "f.*")
+    return df.select("repo_id", "path", "f.*").drop("owner")
 
 
 def explode_classes(facts: DataFrame) -> DataFrame:
-    return facts.select("repo_id", "path", F.explode("classes").alias("c")).select("repo_id", "path", "c.*")
+    """C2 table: classes with the names of the plain functions directly in their bodies."""
+    rows = facts.select("repo_id", "path", "functions", F.posexplode("classes").alias("_place", "c"))
+    own = F.filter("functions", lambda f: (f["owner"] == F.col("_place")) & ~f["is_async"])
+    return rows.select("repo_id", "path", "c.*", F.transform(own, lambda f: f["name"]).alias("methods"))
+
+
+def explode_import_names(facts: DataFrame) -> DataFrame:
+    """Every imported name: (repo_id, path, module, name, alias, level, nth, line)."""
+    return facts.select("repo_id", "path", F.explode("imports").alias("i")).select("repo_id", "path", "i.*")
 
 
 def explode_imports(facts: DataFrame) -> DataFrame:
-    return facts.select("repo_id", "path", F.explode("imports").alias("module"))
+    """C3 table: the modules of ``import`` statements, the module of each ``from`` statement once."""
+    return explode_import_names(facts).where(F.col("name").isNull() | (F.col("nth") == 0)).select("repo_id", "path", "module")
 
 
 def explode_calls(facts: DataFrame) -> DataFrame:

@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def few_splits(df: DataFrame) -> bool:
+    """Is ``df`` too small for its reader to give every core a split? Told from the planner's size estimate: no job runs."""
+    if df.isStreaming:
+        return False
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = df._jdf.sparkSession().sessionState().conf().filesMaxPartitionBytes()
+    return size < spark.sparkContext.defaultParallelism * split
+
+
 def balanced(df: DataFrame, *keys: str) -> DataFrame:
     """Spread rows over the cores when the scan gives fewer partitions than there are cores.
 
@@ -19,11 +25,7 @@ def balanced(df: DataFrame, *keys: str) -> DataFrame:
     narrow input rows on ``keys`` lets the per-row work after it (generation, hashing, regexes,
     parsing) use every core. A large scan is already split by the reader and is left alone.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores * 2, *keys)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 2, *keys) if few_splits(df) else df
 
 
 def load_balanced(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:

@@ -1,7 +1,11 @@
 """The per-file parser (pure Python part) and its Spark wrapper."""
 
 from revline.operators import facts as C
-from revline.operators.facts import is_valid_python, parse_source
+from revline.operators.detectors import file_facts
+from revline.operators.facts import explode_classes, explode_imports, is_valid_python, parse_source
+from revline.operators.rules import DEFAULT_RULES
+from revline.plans.review import review
+from revline.sources.config import effective_config
 
 from conftest import files_df
 
@@ -68,11 +72,34 @@ def test_decorators_and_classes_and_imports():
            "@staticmethod\n@x.y(1)\ndef f():\n    pass\n"
            "class K:\n    def m(self):\n        pass\n    async def n(self):\n        pass\n")
     r = parse_source(src)
-    assert r["imports"] == ["os", "sys", "a.b", ""]
+    names = [(i["module"], i["name"], i["alias"], i["level"], i["nth"], i["line"]) for i in r["imports"]]
+    assert names == [("os", None, None, 0, 0, 1), ("sys", None, "system", 0, 1, 1), ("a.b", "c", None, 0, 0, 2), ("", "d", None, 1, 0, 3)]
     f = [x for x in r["functions"] if x["name"] == "f"][0]
     assert f["decorators"] == ["staticmethod", "x.y(1)"]
     k = r["classes"][0]
-    assert k["name"] == "K" and k["methods"] == ["m"]
+    assert k["name"] == "K" and [(x["name"], x["owner"]) for x in r["functions"]] == [("f", None), ("m", 0), ("n", 0)]
+
+
+def test_methods_and_modules_from_their_records(spark):
+    src = ("import os, sys\nfrom a import b, c\nclass A:\n    def m(self):\n        def inner():\n            pass\n    if 1:\n        def hidden(self):\n"
+           "            pass\n    class B:\n        def k(self):\n            pass\n    def n(self):\n        pass\ndef free():\n    pass\n")
+    facts = file_facts(files_df(spark, [("r", "a.py", src), ("r", "bad.py", "def f(:")]))
+    assert {r["name"]: r["methods"] for r in explode_classes(facts).collect()} == {"A": ["m", "n"], "B": ["k"]}
+    assert [r["module"] for r in explode_imports(facts).collect()] == ["os", "sys", "a"]
+
+
+def test_building_a_review_runs_no_job(spark):
+    files = files_df(spark, [("r", "a.py", "x = 1\n"), ("r", "b.java", "eval(1)")])
+    changed = files.select("repo_id", "path").distinct()
+    config = effective_config(spark.createDataFrame([("r", None)], "repo_id string, config_json string"), "root")
+    sc = spark.sparkContext
+    sc.setJobGroup("build", "build")
+    try:
+        r = review(files, scope="diff", changed=changed, config=config, security_rules=DEFAULT_RULES, persist=False)
+        assert not sc.statusTracker().getJobIdsForGroup("build")
+        assert r.findings.count() > 0
+    finally:
+        sc._jsc.clearJobGroup()
 
 
 def test_syntax_error_message_and_other_errors():
