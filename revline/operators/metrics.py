@@ -42,15 +42,35 @@ def latency_profile(runs: DataFrame, op: str = "operation", value: str = "value"
         .withColumn("mean_cents", F.expr("total_cents div n"))
 
 
+RANGES = 64  # ranges an operation's values are cut to
+
+
 def latency_quantiles(runs: DataFrame, op: str = "operation", value: str = "value",
                       quantiles=(0.5, 0.95, 0.99)) -> DataFrame:
     """Exact quantiles per operation: the smallest value that at least that share of runs does not exceed.
 
-    Runs are counted by (operation, value) first; the running share is taken over distinct values.
+    A mergeable sketch of each operation gives bounds that cut its values to about equal ranges; runs are counted
+    by range; only the range that holds a quantile is looked into, value by value. So no task sees more than a
+    range of an operation, however many runs or distinct values it has; the bounds decide cost, not results.
     """
-    counts = runs.filter(F.col(value).isNotNull()).groupBy(op, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(op).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    share = F.sum("_n").over(upto) / F.sum("_n").over(Window.partitionBy(op))
-    ranked = counts.withColumn("_share", share)
-    return ranked.groupBy(op).agg(*[F.min(F.when(F.col("_share") >= x, F.col(value))).alias(f"p{int(round(x * 100))}")
-                                    for x in quantiles])
+    known = runs.where(F.col(value).isNotNull()).select(F.col(op).alias("_op"), F.col(value).cast("double").alias("_v"))
+    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    sketch = known.groupBy("_op").agg(F.kll_sketch_agg_double("_v").alias("_k"))
+    bounds = sketch.select(F.col("_op").alias("_o"), F.array_distinct(F.kll_sketch_get_quantile_double("_k", shares)).alias("_bounds"))
+    # the range of a value: the bounds below it (bounds are sorted)
+    ranged = known.join(bounds, F.col("_op").eqNullSafe(F.col("_o"))) \
+        .select("_op", "_v", F.size(F.filter("_bounds", lambda b: b < F.col("_v"))).alias("_r"))
+    values = ranged.groupBy("_op", "_r", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = values.groupBy("_op", "_r").agg(F.sum("_n").alias("_n"))
+    upto = Window.partitionBy("_op").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
+    totals = sizes.select(F.col("_op").alias("_o"), F.col("_r").alias("_s"), (F.sum("_n").over(upto) - F.col("_n")).alias("_before"),
+                          F.sum("_n").over(upto).alias("_upto"), F.sum("_n").over(Window.partitionBy("_op")).alias("_total"))
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(quantiles)]))
+    holding = totals.withColumn("_q", asked).where((F.col("_upto") / F.col("_total") >= F.col("_q.q"))
+                                                   & ((F.col("_before") / F.col("_total") < F.col("_q.q")) | (F.col("_before") == 0)))
+    inside = values.join(holding, F.col("_op").eqNullSafe(F.col("_o")) & (F.col("_r") == F.col("_s")))
+    within = Window.partitionBy("_op", "_r", "_q").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    share = (F.col("_before") + F.sum("_n").over(within)) / F.col("_total")
+    found = inside.withColumn("_share", share).where(F.col("_share") >= F.col("_q.q"))
+    return found.groupBy(F.col("_op").alias(op)).agg(*[F.min(F.when(F.col("_q.i") == i, F.col("_v"))).alias(f"p{int(round(x * 100))}")
+                                                       for i, x in enumerate(quantiles)])

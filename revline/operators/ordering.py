@@ -1,9 +1,10 @@
 """Per-group positions (``row_number`` semantics) that stay parallel when one group is huge.
 
-A group is cut into chunks along its leading order columns. Rows are numbered inside (group, chunk), and the
-sizes of a group's earlier chunks are added, so the rows of one large group are spread over its chunks and only
-one row for each chunk ever meets by group. The plan is lazy, the same at every size, and treats a null group
-or order value as a value of its own.
+A group is cut into chunks along its leading order columns. A chunk of more than ``CHUNK_ROWS`` rows is cut further,
+by a finer order column and by the leading characters of the last one (an id), as many as its size asks for. Rows are
+numbered inside (group, chunk), and the sizes of a group's earlier chunks are added, so the rows of one large group
+are spread evenly and only one row for each chunk ever meets by group. The plan is lazy and treats a null group or
+order value as a value of its own.
 """
 
 from __future__ import annotations
@@ -18,21 +19,45 @@ def _cols(order) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def positions(df: DataFrame, group: str, order: list, pos_col: str = "pos", chunk: list | None = None) -> DataFrame:
+CHUNK_ROWS = 4096
+
+
+def _same(keys: list[str], suffix: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}{suffix}")) for k in keys])
+
+
+def chunks(df: DataFrame, group: str, order: list, chunk: list | None = None, finer: list | None = None) -> tuple[DataFrame, list[str]]:
+    """``df`` with the columns that tell the chunk of a row, and their names (the group first); see ``positions``."""
+    parts = _cols(chunk if chunk is not None else order[:1])
+    keys = [group, *[f"__chunk{i}" for i in range(len(parts))]]
+    cut = df.select("*", *[c.alias(k) for c, k in zip(parts, keys[1:])])
+    if not finer:
+        return cut, keys
+    step, name = _cols(finer)
+    # one hexadecimal digit of an id cuts to 16 parts
+    digits = F.ceil(F.log(F.col("__n") / CHUNK_ROWS) / F.log(F.lit(16.0))).cast("int")
+    large = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > CHUNK_ROWS) \
+        .select(*[F.col(k).alias(f"{k}__l") for k in keys], digits.alias("__digits"))
+    further = F.col("__digits").isNotNull()
+    cut = cut.join(large, _same(keys, "__l"), "left").select(
+        *cut.columns, F.when(further, step).alias("__step"), F.when(further, F.substring(name, F.lit(1), F.col("__digits"))).alias("__name"))
+    return cut, [*keys, "__step", "__name"]
+
+
+def positions(df: DataFrame, group: str, order: list, pos_col: str = "pos", chunk: list | None = None,
+              finer: list | None = None) -> DataFrame:
     """Add ``pos_col`` = 1-based position of each row inside its ``group`` by ``order``.
 
     ``order`` should be a total order (end it with a unique key) for reproducible positions. ``chunk``: columns
     that never decrease along ``order`` (leading order columns, or coarser forms of them); default: the first.
+    ``finer``: the order columns that cut a large chunk: the next one whole, then prefixes of a string column.
     """
-    parts = _cols(chunk if chunk is not None else order[:1])
-    keys = [group, *[f"__chunk{i}" for i in range(len(parts))]]
-    cut = df.select("*", *[c.alias(k) for c, k in zip(parts, keys[1:])])
+    cut, keys = chunks(df, group, order, chunk, finer)
     numbered = cut.withColumn("__row", F.row_number().over(Window.partitionBy(*keys).orderBy(*_cols(order))))
     sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     upto = Window.partitionBy(group).orderBy(*keys[1:])
     before = sizes.select(*[F.col(k).alias(f"{k}__b") for k in keys], (F.sum("__n").over(upto) - F.col("__n")).alias("__before"))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}__b")) for k in keys])
-    return numbered.join(before, same).select(*df.columns, (F.col("__before") + F.col("__row")).cast("long").alias(pos_col))
+    return numbered.join(before, _same(keys, "__b")).select(*df.columns, (F.col("__before") + F.col("__row")).cast("long").alias(pos_col))
 
 
 def group_sizes(df: DataFrame, group: str, name: str = "group_size") -> DataFrame:

@@ -45,7 +45,7 @@ def prioritize(findings: DataFrame, mode: str = "rank", pos_col: str = "priority
     """The position of each finding in its repo's prioritised list."""
     order = PRIORITY_ORDER if mode == "rank" else ALPHA_ORDER
     chunk = [*order[:2], F.floor(F.col("seq") / SEQ_CHUNK)]
-    return positions(with_rank(findings), "repo_id", order, pos_col, chunk).drop("_rank")
+    return positions(with_rank(findings), "repo_id", order, pos_col, chunk, ["seq", "id"]).drop("_rank")
 
 
 def repo_scores(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:

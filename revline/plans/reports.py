@@ -70,7 +70,8 @@ def json_lines(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame
 
 def bootstrap_lines(findings: DataFrame) -> DataFrame:
     """the bootstrap script's report, findings in insertion order (stage, then seq)."""
-    items = positions(findings, "repo_id", ["stage_order", "seq", "id"], "pos", ["stage_order", F.floor(F.col("seq") / 1024)]).select(
+    items = positions(findings, "repo_id", ["stage_order", "seq", "id"], "pos", ["stage_order", F.floor(F.col("seq") / 1024)],
+                      ["seq", "id"]).select(
         "repo_id", "pos", F.format_string(BOOT_ITEM, F.col("title"), F.upper("severity"), F.col("file"),
                                           F.col("description")).alias("text"))
     header = findings.select("repo_id").distinct().select(
