@@ -703,3 +703,13 @@ def stream_daily_counts(spark, sf_dir):
     """Findings per repository, severity and day by event time: repeats dropped, days given out behind the watermark."""
     events = GI.stream_file_table(spark, sf_dir, load(spark, sf_dir, "events").schema, "events.parquet")
     return GL.run_append(spark, GL.daily_counts(gen.gen_event_stream(events), "1 day"), "daily")
+
+
+# ---- D10 through calls ---------------------------------------------------------------------------------------
+from revline.operators import callgraph as CG  # noqa: E402
+
+
+@query("n_plus_one_calls")
+def n_plus_one_calls(spark, sf_dir):
+    """Loops that reach a query through calls, across files of a repository and through recursion."""
+    return CG.loop_queries(D.file_facts(gen.gen_call_files(load_balanced(spark, sf_dir, "part", "p_partkey"))))

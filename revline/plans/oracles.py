@@ -878,3 +878,19 @@ SELECT CAST(ts AS DATE) AS day, CAST(user_id AS VARCHAR) AS repo_id,
 FROM events
 WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT date_trunc('second', max(ts)) - INTERVAL 1 DAY FROM events)
 GROUP BY ALL"""
+
+# ---- D10 through calls -----------------------------------------------------------------------------------------
+_WORD = "translate(CAST({} AS VARCHAR), '0123456789', 'abcdefghij')"
+ORACLES["n_plus_one_calls"] = f"""WITH RECURSIVE p AS (SELECT p_partkey AS k, p_size % 5 AS d FROM part),
+f AS (SELECT k, d, unnest(range(0, d + 1)) AS j FROM p),
+e AS (
+  SELECT k, j, k AS to_k, j + 1 AS to_j FROM f WHERE j < d
+  UNION ALL SELECT f.k, f.j, p.k, 0 FROM f JOIN p ON p.k = f.k + 50 WHERE j = f.d AND f.k % 3 = 1
+  UNION ALL SELECT k, j, k, 0 FROM f WHERE j = d AND k % 3 = 2),
+r(k, j, n) AS (
+  SELECT k, j, 0 FROM f WHERE j = d AND k % 3 = 0
+  UNION SELECT e.k, e.j, r.n + 1 FROM r JOIN e ON e.to_k = r.k AND e.to_j = r.j WHERE r.n < 40),
+best AS (SELECT k, j, min(n) AS n FROM r GROUP BY k, j)
+SELECT CAST(e.k % 50 AS VARCHAR) AS repo_id, 'db/c' || CAST(e.k AS VARCHAR) || '.py' AS path, 3 AS line,
+       'fn_' || {_WORD.format('to_k')} || '_' || CAST(to_j AS VARCHAR) AS call, CAST(n + 1 AS INTEGER) AS calls
+FROM e JOIN best b ON b.k = to_k AND b.j = to_j WHERE e.j = 0"""

@@ -1,6 +1,7 @@
 """A1, A2: a corpus of source files from folders, or from a table.
 
-Zero-byte files are skipped by Spark's file sources (T5); a table input has no such gap.
+Spark's own file sources skip zero-byte files (T5) and list on the driver; ``scan_tree`` reads a folder tree through a
+data source of ours, which does neither. A table input has no such gap either.
 """
 
 from __future__ import annotations
@@ -30,6 +31,22 @@ def scan_corpus(spark: SparkSession, root: str, glob: str = "*.py", repo_id: str
     return df
 
 
+def scan_tree(spark: SparkSession, root: str, suffixes=(".py",), repo_id: str | None = None, errors: str = "strict",
+              depth: int = 1) -> DataFrame:
+    """Every file under ``root`` with one of the suffixes, empty ones too → (repo_id, path, content, error).
+
+    ``root`` must be a folder that every executor sees. Paths are relative to it and use ``/``. Undecodable files are
+    as in ``scan_corpus``; unreadable ones have null content and an error. See ``sources.tree`` for ``depth``.
+    """
+    from revline.sources import tree
+    spark.dataSource.register(tree.TreeSource)
+    raw = spark.read.format(tree.TreeSource.name()).option("root", root).option("suffixes", "\n".join(suffixes)).option("depth", str(depth)).load()
+    text = decode_utf8_strict("content") if errors == "strict" else decode_utf8_ignore("content")
+    return raw.select(
+        F.lit(repo_id if repo_id is not None else root).alias("repo_id"), "path", normalize_newlines(text).alias("content"),
+        F.coalesce("error", F.when(F.col("content").isNotNull() & text.isNull(), F.lit("invalid UTF-8"))).alias("error"))
+
+
 def _escape(s: str) -> str:
     import re
     return re.escape(s)

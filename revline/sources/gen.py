@@ -449,3 +449,16 @@ def gen_event_stream(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("repo_id"),
                          _map_col(EVENT_SEVERITY, F.col("event_type")).alias("severity"), F.timestamp_seconds(at).alias("ts"),
                          F.explode(twice).alias("_n")).drop("_n")
+
+
+def gen_call_files(part: DataFrame, repos: int = 50) -> DataFrame:
+    """A chain of p_size % 5 + 1 functions a file: the first loops over the second (or over a query), the last, by
+    p_partkey % 3, makes a query, calls the first of the file 50 keys on, or calls its own first function."""
+    k, d = F.col("p_partkey"), F.col("p_size") % 5
+    name = lambda key, j: F.concat(F.lit("fn_"), _key_word(key), F.lit("_"), j.cast("string"))
+    last = F.when(k % 3 == 0, F.lit("db.execute(r)")).when(k % 3 == 1, F.concat(name(k + repos, F.lit(0)), F.lit("(db, r)"))) \
+        .otherwise(F.concat(name(k, F.lit(0)), F.lit("(db, r)")))
+    step = lambda j: F.when(j < d, F.concat(name(k, j + 1), F.lit("(db, r)"))).otherwise(last)
+    chain = F.array_join(F.transform(F.sequence(F.lit(0), d), lambda j: F.concat(
+        F.lit("def "), name(k, j), F.lit("(db, r):\n"), F.when(j == 0, F.lit("    for x in r:\n    ")).otherwise(F.lit("")), F.lit("    "), step(j))), NL)
+    return part.select((k % repos).cast("string").alias("repo_id"), F.concat(F.lit("db/c"), k.cast("string"), F.lit(".py")).alias("path"), chain.alias("content"))
