@@ -111,5 +111,5 @@ def written_places(docs: DataFrame, parts: int, names: tuple[str, str] = ("posit
     files = rows.groupBy(c["path"]).agg(F.count("*").alias("n")) \
         .select(c["path"], (F.sum("n").over(upto) - F.col("n")).alias(c["before"]), F.sum("n").over(Window.partitionBy()).alias(c["total"]))
     position = F.col(c["before"]) + F.col(c["index"])
-    return rows.join(F.broadcast(files), c["path"]).select(
+    return rows.join(files, c["path"]).select(
         *docs.columns, position.alias(names[0]), F.floor(position * parts / F.col(c["total"])).cast("int").alias(names[1]))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from revline.llm import bpe, crf_langid, hard_negatives, periodic_runs, quartile_digest, queries, token_counts
+from revline.llm import bpe, crf_langid, hard_negatives, periodic_runs, quartile_digest, queries, simhash, token_counts
 from test_operators import BPE_PATH, DOCS, ODD, RANK_PATH, best_count, empty, odd_docs, sample_texts
 
 
@@ -245,3 +245,34 @@ def test_result_names_never_clash(spark):
         rows = out.collect()
         assert len({c.lower() for c in out.columns}) == len(out.columns), name
         assert name == "bpe_encode_decode" and len(rows) == n or out.columns == docs.columns and rows
+
+
+# ---- large SimHash groups -------------------------------------------------------------------------
+
+def test_large_groups_lose_no_link(spark, monkeypatch):
+    rng, mask = random.Random(7), (1 << 64) - 1
+    base = [rng.getrandbits(64) for _ in range(3)]
+    fps = set(base)
+    for b in base:  # many near each other: they share the keys of many tables
+        for _ in range(250):
+            x = b
+            for bit in rng.sample(range(64), rng.randint(1, 5)):
+                x ^= 1 << bit
+            fps.add(x)
+    fps = sorted(f - (1 << 63) for f in fps)
+
+    def parts(pairs):
+        root = {f: f for f in fps}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return {f: find(f) for f in fps}
+    want = parts((a, b) for i, a in enumerate(fps) for b in fps[i + 1:] if ((a ^ b) & mask).bit_count() <= 3)
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for size in (4096, 5):
+        monkeypatch.setattr(simhash, "LARGE_GROUP", size)
+        assert parts(simhash.links(df).collect()) == want
