@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from revline.functions.ids import finding_id
 from revline.functions.text import normalize_newlines, split_lines
 from revline.operators.facts import FACT_FIELDS, parse_files
+from revline.operators.languages import known_files
 from revline.schema import FINDING_COLUMNS, STAGE_ORDER
 
 # --- fixed values: smell thresholds (strict >), magic numbers and messages -------------------
@@ -207,6 +208,14 @@ def review_findings(files: DataFrame, detectors=None, partitions: int | None = N
     return detect(base, detectors)
 
 
+def magic_lines(files: DataFrame) -> DataFrame:
+    """D4 on the lines of files in other known languages than Python, which are not parsed."""
+    other = known_files(files).where(~F.col("path").endswith(".py"))
+    lines = other.select("repo_id", "path", F.posexplode(split_lines(normalize_newlines("content"))).alias("_pos", "_line")) \
+        .where(F.col("_line").rlike(MAGIC_REGEX))
+    return to_findings(lines, F.array(_f(F.col("_pos") + 1, description=MAGIC_MESSAGE, **_smell(SMELL_TITLES["magic_number"]))))
+
+
 def n_plus_one(facts: DataFrame, verbs=None) -> DataFrame:
     """Calls to a query verb inside a loop → one performance finding per call."""
     verbs = list(verbs or QUERY_VERBS)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from revline.functions.text import SECRET_PATTERNS, mask_secrets, normalize_newlines, split_lines
 from revline.operators.advisories import hits as advisory_hits
 from revline.operators.detectors import complete_findings
-from revline.operators.rule_tables import scan_rule_table, violations
+from revline.operators.lexer import placed
+from revline.operators.rule_tables import rule_table, scan_rule_table, violations
 from revline.schema import STAGE_ORDER
 
 # Rule set used by the registered queries (ours; the reference's scanner is a stub).
@@ -114,10 +115,18 @@ def _file_key(files: DataFrame) -> DataFrame:
     return files.withColumn("_key", F.struct("repo_id", "path"))
 
 
-def rule_findings(files: DataFrame, rules=None) -> DataFrame:
-    """Rule matches of ``files(repo_id, path, content)`` as security findings; ``rules`` a list or a table."""
+def rule_findings(files: DataFrame, rules=None, places=None) -> DataFrame:
+    """Rule matches of ``files(repo_id, path, content)`` as security findings; ``rules`` a list or a table.
+
+    ``places``: keep matches that start there only (of code, comment and string; see ``operators.lexer``).
+    """
     scan = scan_rule_table if isinstance(rules, DataFrame) else scan_rules
     hits = scan(_file_key(files), rules, key="_key", text="content")
+    if places is not None:
+        table = rules if isinstance(rules, DataFrame) else rule_table(files.sparkSession, rules or DEFAULT_RULES)
+        where = placed(hits.select("_key.repo_id", "_key.path", "line_no", "rule_id", "severity", "cwe_id", "title"), files,
+                       table.select("rule_id", "regex").distinct())
+        hits = where.where(F.col("place").isin(list(places))).withColumn("_key", F.struct("repo_id", "path"))
     return _staged(hits.select("_key.repo_id", F.col("_key.path").alias("file"), F.col("line_no").alias("line"), "severity", "title",
                                F.format_string("%s (%s)", "title", "rule_id").alias("description"), "cwe_id"), "security")
 

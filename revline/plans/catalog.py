@@ -713,3 +713,16 @@ from revline.operators import callgraph as CG  # noqa: E402
 def n_plus_one_calls(spark, sf_dir):
     """Loops that reach a query through calls, across files of a repository and through recursion."""
     return CG.loop_queries(D.file_facts(gen.gen_call_files(load_balanced(spark, sf_dir, "part", "p_partkey"))))
+
+
+# ---- B10: where rules match ------------------------------------------------------------------------------------
+from revline.operators import lexer as LX  # noqa: E402
+
+
+@query("rule_places")
+def rule_places(spark, sf_dir):
+    """Matches of eval in Python, Java and TypeScript files, told as code, comment or string."""
+    files = gen.gen_place_files(load_balanced(spark, sf_dir, "part", "p_partkey"))
+    keyed = files.withColumn("_key", F.struct("repo_id", "path"))
+    hits = R.scan_rules(keyed, [r for r in R.DEFAULT_RULES if r["rule_id"] == "eval-call"], key="_key", text="content")
+    return LX.placed(hits.select("_key.repo_id", "_key.path", "line_no", "rule_id"), files, RB.rule_table(spark, R.DEFAULT_RULES))

@@ -894,3 +894,14 @@ best AS (SELECT k, j, min(n) AS n FROM r GROUP BY k, j)
 SELECT CAST(e.k % 50 AS VARCHAR) AS repo_id, 'db/c' || CAST(e.k AS VARCHAR) || '.py' AS path, 3 AS line,
        'fn_' || {_WORD.format('to_k')} || '_' || CAST(to_j AS VARCHAR) AS call, CAST(n + 1 AS INTEGER) AS calls
 FROM e JOIN best b ON b.k = to_k AND b.j = to_j WHERE e.j = 0"""
+
+# ---- B10: where rules match --------------------------------------------------------------------------------------
+ORACLES["rule_places"] = """
+WITH p AS (
+  SELECT CAST(p_partkey % 50 AS VARCHAR) AS repo_id, p_partkey % 3 AS l, p_size % 4 AS s,
+         'x/l' || CAST(p_partkey AS VARCHAR) || CASE p_partkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.java' ELSE '.ts' END AS path FROM part),
+m(lang, line_no, place, more) AS (VALUES
+  (0, 2, 'comment', 0), (0, 3, 'string', 0), (0, 4, 'code', 0), (0, 6, 'string', 0), (0, 10, 'code', 1),
+  (1, 2, 'comment', 0), (1, 3, 'string', 0), (1, 4, 'code', 0), (1, 6, 'comment', 0), (1, 10, 'code', 1),
+  (2, 2, 'comment', 0), (2, 3, 'string', 0), (2, 4, 'code', 0), (2, 6, 'comment', 0), (2, 8, 'string', 0), (2, 9, 'code', 0), (2, 10, 'code', 1))
+SELECT repo_id, path, line_no, 'eval-call' AS rule_id, place FROM p JOIN m ON m.lang = l AND (more = 0 OR s = 0)"""

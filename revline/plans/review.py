@@ -61,7 +61,8 @@ def review(files: DataFrame, *, repos: DataFrame | None = None, config: DataFram
            responses: DataFrame | None = None, policies: DataFrame | None = None,
            security_rules=None, policy_rules=None, requirements: DataFrame | None = None,
            advisories: DataFrame | None = None, approvals: DataFrame | None = None,
-           analyzers: list[str] | None = None, detectors=None, persist: bool = True) -> Review:
+           rule_places=None, magic_lines: bool = False, analyzers: list[str] | None = None, detectors=None,
+           persist: bool = True) -> Review:
     """Review ``files(repo_id, path, content)``.
 
     ``config``: effective per-repo config (``sources.config.effective_config``) — applies the
@@ -72,6 +73,8 @@ def review(files: DataFrame, *, repos: DataFrame | None = None, config: DataFram
 
     ``security_rules`` and ``policy_rules`` (lists as in ``operators.rules``, or tables as in
     ``operators.rule_tables``) scan the lines and texts of files in every known language; ``requirements(repo_id, path, name, version)`` with ``advisories`` adds vulnerable dependencies.
+    ``rule_places`` (of code, comment, string) keeps security matches that start there; ``magic_lines`` looks for magic
+    numbers in the lines of known languages other than Python.
     Registered analyzers (the named ones, all if None) run over files of their extensions, Python or not.
     ``approvals(issue_id)`` keeps only approved fixes. Fixes that do not parse are rows of ``errors``.
     """
@@ -104,10 +107,12 @@ def review(files: DataFrame, *, repos: DataFrame | None = None, config: DataFram
         stages.append(REP.complexity_report_findings(blocks))
         errors.append(blocks.filter(F.col("error").isNotNull()).select("repo_id", "path", "error"))
     if security_rules is not None:
-        stages.append(R.rule_findings(lined, security_rules))
+        stages.append(R.rule_findings(lined, security_rules, rule_places))
     if requirements is not None and advisories is not None:
         stages.append(R.advisory_findings(requirements, advisories))
         errors.append(AD.errors(requirements, advisories).select("repo_id", F.col("item").alias("path"), "error"))
+    if magic_lines:
+        stages.append(D.magic_lines(lined))
     if policy_rules is not None:
         stages.append(R.policy_rule_findings(lined, policy_rules))
     if (own := run_analyzers(every, analyzers)) is not None:

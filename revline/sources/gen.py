@@ -462,3 +462,21 @@ def gen_call_files(part: DataFrame, repos: int = 50) -> DataFrame:
     chain = F.array_join(F.transform(F.sequence(F.lit(0), d), lambda j: F.concat(
         F.lit("def "), name(k, j), F.lit("(db, r):\n"), F.when(j == 0, F.lit("    for x in r:\n    ")).otherwise(F.lit("")), F.lit("    "), step(j))), NL)
     return part.select((k % repos).cast("string").alias("repo_id"), F.concat(F.lit("db/c"), k.cast("string"), F.lit(".py")).alias("path"), chain.alias("content"))
+
+
+def gen_place_files(part: DataFrame, repos: int = 50) -> DataFrame:
+    """One .py, .java or .ts file per part row (p_partkey % 3) with calls of eval in comments, strings and code.
+
+    Line 2 a comment, 3 a string, 4 code; line 6 inside a text block (.py) or a block comment; .ts: 8 in a template
+    string, 9 in its hole; p_size % 4 = 0: one more in code on line 10, after a string with an escaped quote.
+    """
+    k = F.col("p_partkey")
+    last = F.when(F.col("p_size") % 4 == 0, F.lit('\nt = "a\\"b" + eval(7)')).otherwise(F.lit(""))
+    word = _key_word(k)
+    py = F.concat(F.lit("w = '"), word, F.lit("'\n# eval(1) \"\nx = \"eval(2) # not\"\ny = eval(3)\n'''\neval(4)\n'''\nz = 1\nu = 2"), last)
+    java = F.concat(F.lit('w = "'), word, F.lit("\";\n// eval(1) \"\nx = \"eval(2) // not\";\ny = eval(3);\n/* open\neval(4) ' */\nz = '\"';\nu = 1;\nv = 2;"), last)
+    ts = F.concat(F.lit("w = '"), word, F.lit("';\n// eval(1) `\nx = 'eval(2) // not';\ny = eval(3);\n/* open\neval(4) ` */\nz = `a\n"
+                                              "eval(5) ${ {b: `\n`} && eval(6)}`;"), last)
+    return part.select((k % repos).cast("string").alias("repo_id"),
+                       F.concat(F.lit("x/l"), k.cast("string"), F.when(k % 3 == 0, ".py").when(k % 3 == 1, ".java").otherwise(".ts")).alias("path"),
+                       F.when(k % 3 == 0, py).when(k % 3 == 1, java).otherwise(ts).alias("content"))
