@@ -726,3 +726,13 @@ def rule_places(spark, sf_dir):
     keyed = files.withColumn("_key", F.struct("repo_id", "path"))
     hits = R.scan_rules(keyed, [r for r in R.DEFAULT_RULES if r["rule_id"] == "eval-call"], key="_key", text="content")
     return LX.placed(hits.select("_key.repo_id", "_key.path", "line_no", "rule_id"), files, RB.rule_table(spark, R.DEFAULT_RULES))
+
+
+# ---- A6: YAML files in a table -----------------------------------------------------------------------------------
+@query("config_from_yaml")
+def config_from_yaml(spark, sf_dir):
+    """Each repository's YAML file over the defaults; one that cannot be read has the defaults and an error."""
+    read = CFG.configs_from_yaml(gen.gen_yaml_configs(load_balanced(spark, sf_dir, "customer", "c_custkey")))
+    c = CFG.effective_config(read).join(read.select("repo_id", F.col("error").isNotNull().alias("failed")), "repo_id")
+    return c.select("repo_id", "failed", "severity_threshold", F.array_join("enabled_checks", ",").alias("enabled_checks"),
+                    F.col("auto_fix.enabled").alias("auto_fix_enabled"), F.col("auto_fix.safe_only").alias("auto_fix_safe_only"))

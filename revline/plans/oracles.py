@@ -905,3 +905,14 @@ m(lang, line_no, place, more) AS (VALUES
   (1, 2, 'comment', 0), (1, 3, 'string', 0), (1, 4, 'code', 0), (1, 6, 'comment', 0), (1, 10, 'code', 1),
   (2, 2, 'comment', 0), (2, 3, 'string', 0), (2, 4, 'code', 0), (2, 6, 'comment', 0), (2, 8, 'string', 0), (2, 9, 'code', 0), (2, 10, 'code', 1))
 SELECT repo_id, path, line_no, 'eval-call' AS rule_id, place FROM p JOIN m ON m.lang = l AND (more = 0 OR s = 0)"""
+
+# ---- A6: YAML files in a table -------------------------------------------------------------------------------------
+ORACLES["config_from_yaml"] = f"""WITH {_CFG},
+none AS (
+  SELECT any_value(array_to_string(enabled_checks, ',')) AS enabled_checks FROM cfg WHERE CAST(repo_id AS BIGINT) % 3 = 0)
+SELECT cfg.repo_id, CAST(repo_id AS BIGINT) % 10 = 7 AS failed,
+       CASE WHEN CAST(repo_id AS BIGINT) % 10 = 7 THEN 'medium' ELSE severity_threshold END AS severity_threshold,
+       CASE WHEN CAST(repo_id AS BIGINT) % 10 = 7 THEN none.enabled_checks ELSE array_to_string(cfg.enabled_checks, ',') END AS enabled_checks,
+       CASE WHEN CAST(repo_id AS BIGINT) % 10 = 7 THEN TRUE ELSE auto_fix_enabled END AS auto_fix_enabled,
+       CASE WHEN CAST(repo_id AS BIGINT) % 10 = 7 THEN TRUE ELSE auto_fix_safe_only END AS auto_fix_safe_only
+FROM cfg, none"""

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- fixed values: the two default configurations -------------------------------------------
 DEFAULTS_ROOT = {
@@ -80,3 +82,38 @@ def parse_yaml_config(text: str, variant: str = "root") -> dict:
             raise
         return {}
     return data or {}
+
+
+def _yaml_document(text: str | None) -> tuple[str | None, str | None]:
+    """(JSON of the document, error) of one YAML text; an empty document is an empty mapping."""
+    import yaml  # optional
+    if text is None:
+        return None, None
+    try:
+        data = yaml.safe_load(text)
+    except (yaml.YAMLError, ValueError, RecursionError) as e:
+        return None, f"Invalid YAML: {str(e).splitlines()[0] if str(e) else type(e).__name__}"
+    if data is None:
+        return "{}", None
+    if not isinstance(data, dict):
+        return None, "Invalid YAML: not a mapping"
+    return json.dumps({str(k): v for k, v in data.items()}, default=str), None
+
+
+@F.pandas_udf(T.StructType([T.StructField("config_json", T.StringType()), T.StructField("error", T.StringType())]))
+def _yaml_udf(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_yaml_document(t) for t in text], columns=["config_json", "error"])
+
+
+def configs_from_yaml(texts: DataFrame, text_col: str = "config_yaml") -> DataFrame:
+    """(repo_id, config_json, error) of a table of YAML files, one for each repository, parsed on the executors.
+
+    The result goes into ``effective_config``: a file that cannot be read has a null document, so the defaults hold,
+    and an error. A null text is no file: defaults, no error.
+    """
+    return texts.select("repo_id", _yaml_udf(F.col(text_col)).alias("c")).select("repo_id", "c.config_json", "c.error")
+
+
+def yaml_errors(configs: DataFrame) -> DataFrame:
+    """(repo_id, path, error) of the files that could not be read, as rows for the errors of a review."""
+    return configs.where("error is not null").select("repo_id", F.lit(None).cast("string").alias("path"), "error")

@@ -480,3 +480,11 @@ def gen_place_files(part: DataFrame, repos: int = 50) -> DataFrame:
     return part.select((k % repos).cast("string").alias("repo_id"),
                        F.concat(F.lit("x/l"), k.cast("string"), F.when(k % 3 == 0, ".py").when(k % 3 == 1, ".java").otherwise(".ts")).alias("path"),
                        F.when(k % 3 == 0, py).when(k % 3 == 1, java).otherwise(ts).alias("content"))
+
+
+def gen_yaml_configs(customer: DataFrame) -> DataFrame:
+    """The documents of ``gen_repo_configs`` as YAML files (block style for thresholds), every tenth one broken."""
+    k = F.col("repo_id").cast("long")
+    block = F.regexp_replace("config_json", r'^\{"severity_threshold": "(\w+)", "auto_fix": \{"enabled": (\w+)\}\}$',
+                             "# own settings\nseverity_threshold: $1\nauto_fix:\n  enabled: $2\n")
+    return gen_repo_configs(customer).select("repo_id", F.when(k % 10 == 7, F.lit("a: [1")).otherwise(block).alias("config_yaml"))

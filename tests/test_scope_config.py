@@ -95,3 +95,16 @@ def test_yaml_parse():
     assert CFG.parse_yaml_config("a: [1") == {}
     with pytest.raises(yaml.YAMLError):
         CFG.parse_yaml_config("a: [1", variant="src")
+
+
+def test_yaml_files_in_a_table(spark):
+    pytest.importorskip("yaml")
+    texts = {"a": "severity_threshold: high\nauto_fix:\n  enabled: no\nskip_categories: [style, 2]\n", "b": "a: [1", "c": "", "d": None, "e": "- x\n- y",
+             "f": "# only a comment", "g": "when: 2024-01-01\npersona: mentor\n1: one"}
+    read = CFG.configs_from_yaml(spark.createDataFrame(list(texts.items()), "repo_id string, config_yaml string"))
+    assert {r.repo_id for r in CFG.yaml_errors(read).collect()} == {"b", "e"}
+    got = {r.repo_id: r for r in CFG.effective_config(read).collect()}
+    assert got["a"].severity_threshold == "high" and got["a"].auto_fix.enabled is False and got["a"].auto_fix.safe_only is None
+    assert got["a"].skip_categories == ["style", "2"] and got["g"].persona == "mentor"
+    for repo in "bcdef":
+        assert got[repo].severity_threshold == "medium" and got[repo].auto_fix.safe_only is True
