@@ -32,7 +32,7 @@ from revline.session import materialize
 SEED = 42
 FIELDS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]  # offset and width of the bit fields
 PIVOTS = [xxhash.xxh64_intdigest(b"pivot %d" % i) - (1 << 63) for i in range(16)]
-LARGE_GROUP = 4096  # fingerprints of one table key that are searched together; more are dealt by further bits
+LARGE_GROUP = 4096  # members of one table key that are searched together; more are cut by further bits
 BLOCK = 255  # rows whose bits sum without leaving a byte
 
 
@@ -90,6 +90,28 @@ def _group_edges(fp: np.ndarray, table: np.ndarray, max_bits: int) -> list[tuple
     return out
 
 
+def _large_group_edges(fp: np.ndarray, table: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges that connect the close members of a large group, without comparing all with all.
+
+    The bits in which members differ are cut in six parts: two members within three bits agree in three parts at least,
+    so every choice of three parts gives groups to search, and none of the links is lost."""
+    free = int(np.bitwise_or.reduce(fp ^ fp[0]))
+    bits = [b for b in range(64) if free >> b & 1]
+    if len(fp) <= LARGE_GROUP or len(bits) <= 12:  # so few bits tell 4,096 members apart at most
+        return _group_edges(fp, table, max_bits)
+    parts = [sum(1 << int(b) for b in part) for part in np.array_split(bits, 6)]
+    out = []
+    for three in combinations(parts, 3):
+        key = fp & np.uint64(sum(three))
+        order = np.argsort(key, kind="stable")
+        start = np.flatnonzero(np.diff(key[order], prepend=~key[order[0]]))
+        for s, n in zip(start, np.diff(np.append(start, len(key)))):
+            if n > 1:
+                at = order[s:s + n]
+                out += _large_group_edges(fp[at], table[at], max_bits)
+    return out
+
+
 def _edges(max_bits: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -104,7 +126,7 @@ def _edges(max_bits: int):
         two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= max_bits]
         out = [(fp[two], fp[two + 1])]
         for s, n in zip(start[size > 2], size[size > 2]):
-            out += _group_edges(fp[s:s + n], table[s:s + n], max_bits)
+            out += _large_group_edges(fp[s:s + n], table[s:s + n], max_bits)
         a, b = (np.concatenate([x[i] for x in out]).view(np.int64) for i in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
@@ -129,7 +151,7 @@ def links(fps: DataFrame, col: str = "fp", max_bits: int = 3) -> DataFrame:
     """(a, b): edges between distinct fingerprints that connect all that are within ``max_bits`` (at most 3)."""
     if not 0 <= max_bits <= 3:
         raise ValueError("the six bit fields cover up to three differing bits")
-    fps, fp = fps.select(F.col(col).alias("fp")).distinct(), F.col("fp")
+    fp = F.col(col)
     coordinate = [F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("long") for p in PIVOTS]
     packed = []
     for half in (coordinate[:8], coordinate[8:]):
@@ -144,24 +166,9 @@ def links(fps: DataFrame, col: str = "fp", max_bits: int = 3) -> DataFrame:
         for i in three:
             x = F.shiftleft(x, FIELDS[i][1]).bitwiseOR(field[i])
         keys.append(x)
-    # spread before the tables make 20 rows of each
-    own = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    rows = own.select("fp", packed[0].alias("p1"), packed[1].alias("p2"), F.posexplode(F.array(*keys)).alias("table", "key"))
-    large = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LARGE_GROUP).select("key", F.lit(True).alias("large"))
-    told = rows.join(large, "key", "left")
-    # The members of a large group differ in the other three fields only: their bits in six parts, of which three are equal.
-    # A key of both levels is a hash; two groups that share one are searched together, which loses nothing.
-    other = F.when(F.lit(False), F.array(*[F.lit(0).cast("long")] * 6))
-    for t, three in enumerate(combinations(range(6), 3)):
-        halves = []
-        for i in set(range(6)) - set(three):
-            o, w = FIELDS[i]
-            halves += [(o, w // 2), (o + w // 2, w - w // 2)]
-        other = other.when(F.col("table") == t, F.array(*[F.shiftrightunsigned(fp, o).bitwiseAND(F.lit((1 << w) - 1)) for o, w in halves]))
-    finer = [F.xxhash64("key", F.lit(t), *[F.col("part")[i] for i in three]) for t, three in enumerate(combinations(range(6), 3))]
-    split = told.where("large").withColumn("part", other).select(F.explode(F.array(*finer)).alias("key"), "fp", "p1", "p2")
-    dealt = told.where("large is null").select("key", "fp", "p1", "p2").unionByName(split) \
-        .repartition("key").sortWithinPartitions("key", "fp")
+    rows = fps.select(col).distinct().select(F.col(col).alias("fp"), packed[0].alias("p1"), packed[1].alias("p2"),
+                                             F.explode(F.array(*keys)).alias("key"))
+    dealt = rows.select("key", "fp", "p1", "p2").repartition("key").sortWithinPartitions("key", "fp")
     return dealt.mapInArrow(_edges(max_bits), "a long, b long")
 
 

@@ -273,6 +273,10 @@ def test_large_groups_lose_no_link(spark, monkeypatch):
         return {f: find(f) for f in fps}
     want = parts((a, b) for i, a in enumerate(fps) for b in fps[i + 1:] if ((a ^ b) & mask).bit_count() <= 3)
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    for size in (4096, 5):
-        monkeypatch.setattr(simhash, "LARGE_GROUP", size)
-        assert parts(simhash.links(df).collect()) == want
+    assert parts(simhash.links(df).collect()) == want
+    # cut by further bits: in this process, so that the smaller bound holds
+    monkeypatch.setattr(simhash, "LARGE_GROUP", 5)
+    bits = np.array(fps, np.int64).view(np.uint64)
+    pivots = np.bitwise_count(bits[:, None] ^ np.array(simhash.PIVOTS, np.int64).view(np.uint64)[None]).astype(np.int16)
+    edges = simhash._large_group_edges(bits, pivots, 3)
+    assert parts((int(a), int(b)) for x, y in edges for a, b in zip(x.view(np.int64), y.view(np.int64))) == want
