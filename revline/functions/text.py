@@ -45,11 +45,6 @@ def mask_secrets(c) -> Column:
     return out
 
 
-def truncate(c, n: int, suffix: str | None = None) -> Column:
-    out = F.substring(_col(c), 1, n)
-    return F.concat(out, F.lit(suffix)) if suffix is not None else out
-
-
 def decode_utf8_strict(b) -> Column:
     """Bytes to text; invalid UTF-8 gives null (the caller turns that into an error row)."""
     s = _col(b).cast("string")
