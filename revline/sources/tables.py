@@ -30,3 +30,8 @@ def balanced(df: DataFrame, *keys: str) -> DataFrame:
 
 def load_balanced(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
     return balanced(load(spark, sf_dir, name), *keys)
+
+
+def spread_stream(df: DataFrame, *keys: str) -> DataFrame:
+    """``balanced`` for a stream, whose batches have no size to tell beforehand: their narrow rows are always spread."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 2, *keys)

@@ -6,7 +6,9 @@ a severity more or fewer. A batch adds these changes up for each repository into
 replayed batch replaces its own rows; every ``COMPACT`` batches the changes so far are folded into a snapshot. An
 answer reads the last snapshot and the changes since, never the pushes.
 
-State is one small row for each file (RocksDB, under the shared checkpoint folder). A file whose latest push has no
+State is a small entry for each file (RocksDB, under the shared checkpoint folder). Files are dealt by a hash to
+``BUCKETS`` keys and the entries of a bucket are held together, so a batch makes at most that many calls, however many
+files it brings; a push rewrites the entries of its bucket. A file whose latest push has no
 findings is forgotten ``hold_ms`` after that push, by a timeout; an older push that arrives later still than that
 counts as new.
 
@@ -18,6 +20,7 @@ repository whose files are all clean keeps its row (score 100); a null repositor
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections import Counter
 
@@ -33,6 +36,7 @@ from revline.schema import SEVERITIES
 from revline.session import scratch_path
 
 COMPACT = 16
+BUCKETS = 16_384  # keys the files are dealt to
 HOLD_MS = 24 * 3600 * 1000
 CHANGE = "repo_id string, severity string, delta long"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -40,32 +44,41 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def latest_push(hold_ms: int):
-    """For ``applyInPandasWithState``: holds the latest push of a file, emits the change of its severity counts."""
+    """For ``applyInPandasWithState``: holds the latest push of each file of a bucket, emits the changes of their severity counts."""
     def f(key, rows, state):
-        if state.hasTimedOut:
+        best = {}
+        for pdf in () if state.hasTimedOut else rows:
+            for file, repo, version, push, found in zip(pdf["file"], pdf["repo_id"], pdf["version"], pdf["push"], pdf["severities"]):
+                if file not in best or (version, push) > best[file][:2]:
+                    best[file] = (int(version), push, repo, found)
+        # file: version, severity counts, and for a clean file the time from which it is forgotten
+        held = json.loads(state.get[0]) if state.exists else {}
+        now_ms = int(time.time() * 1000)
+        held = {file: entry for file, entry in held.items() if file in best or entry[2] is None or entry[2] > now_ms}
+        change = Counter()
+        for file, (version, _, repo, found) in best.items():
+            known = file in held
+            last, before, _ = held.get(file, (version, {}, None))
+            if last > version:
+                if not before:
+                    held[file][2] = now_ms + hold_ms
+                continue
+            now = dict(Counter(found))
+            held[file] = [version, now, None if now else now_ms + hold_ms]
+            for s in {*now, *before}:
+                if now.get(s, 0) != before.get(s, 0):
+                    change[repo, s] += now.get(s, 0) - before.get(s, 0)
+            if not known:
+                change[repo, None] += 0  # the repository exists
+        if held:
+            state.update((json.dumps(held),))
+            until = [entry[2] for entry in held.values() if entry[2] is not None]
+            if until:
+                state.setTimeoutDuration(max(1, min(until) - now_ms))
+        elif state.exists:
             state.remove()
-            return
-        best = None
-        for pdf in rows:
-            for repo, version, push, found in zip(pdf["repo_id"], pdf["version"], pdf["push"], pdf["severities"]):
-                if best is None or (version, push) > best[:2]:
-                    best = (int(version), push, repo, found)
-        version, _, repo, found = best
-        known = state.exists
-        held, before = state.get if known else (version, "{}")
-        if held > version:
-            if before == "{}":
-                state.setTimeoutDuration(hold_ms)
-            return
-        before, now = json.loads(before), dict(Counter(found))
-        state.update((version, json.dumps(now)))
-        if not now:
-            state.setTimeoutDuration(hold_ms)
-        change = [(repo, s, now.get(s, 0) - before.get(s, 0)) for s in sorted({*now, *before}) if now.get(s, 0) != before.get(s, 0)]
-        if not known:
-            change.append((repo, None, 0))  # the repository exists
         if change:
-            yield pd.DataFrame(change, columns=["repo_id", "severity", "delta"])
+            yield pd.DataFrame([(*k, n) for k, n in change.items()], columns=["repo_id", "severity", "delta"])
     return f
 
 
@@ -81,8 +94,8 @@ def changes(files: DataFrame, version: str | None = None, detectors=None, hold_m
     rows = reviewed.select(told.alias("p"), F.transform(D.findings_array(names), lambda f: f["severity"]).alias("severities"))
     rows = rows.select(F.to_json(F.struct("p.repo_id", "p.path")).alias("file"), "p.repo_id", F.coalesce("p.version", F.lit(0)).alias("version"),
                        F.col("p.push").alias("push"), "severities")
-    return rows.groupBy("file").applyInPandasWithState(
-        latest_push(hold_ms), CHANGE, "version long, counts string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("file"), F.lit(BUCKETS))).groupBy("bucket").applyInPandasWithState(
+        latest_push(hold_ms), CHANGE, "files string", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 class LiveReview:
