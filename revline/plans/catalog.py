@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from revline.operators import detectors as D
 from revline.operators import synthesis as S
 from revline.sources import gen
-from revline.sources.tables import load, load_balanced
+from revline.sources.tables import load, load_balanced, spread_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -484,7 +484,7 @@ def stream_progress(spark, sf_dir):
 def stream_scores(spark, sf_dir):
     """Files arrive as a stream; parse and detectors per micro-batch, scores over the latest push of each file."""
     schema = load(spark, sf_dir, "part").schema
-    files = gen.gen_source_files(GI.stream_file_table(spark, sf_dir, schema, "part.parquet"))
+    files = gen.gen_source_files(spread_stream(GI.stream_file_table(spark, sf_dir, schema, "part.parquet"), "p_partkey"))
     return GI.run_reviews(spark, files, "scores")
 
 
@@ -692,10 +692,11 @@ from revline.streaming import live as GL  # noqa: E402
 def stream_severity_counts(spark, sf_dir):
     """E7 over three micro-batches of pushes: files emptied or rewritten take back their earlier findings."""
     folder = scratch_path(spark, f"pushes-{GI.uuid.uuid4().hex[:8]}")
+    live = GL.LiveReview(spark, "severities")
     for push in gen.gen_pushes(load_balanced(spark, sf_dir, "part", "p_partkey")):
-        push.coalesce(1).write.mode("append").parquet(folder)  # one file a push, so one micro-batch
-    stream = GI.stream_file_table(spark, folder, "repo_id string, path string, content string, version long", max_files_per_trigger=1)
-    return GL.LiveReview(spark, "severities").run(stream, "version").severity_counts()
+        push.write.mode("append").parquet(folder)  # as many files as tasks; the stream goes on with them as one micro-batch
+        live.run(GI.stream_file_table(spark, folder, "repo_id string, path string, content string, version long"), "version")
+    return live.severity_counts()
 
 
 @query("stream_daily_counts")

@@ -1,13 +1,16 @@
 """Running answers over pushes equal the batch review of the final files; daily counts drop repeats and late rows."""
 
+import json
 import os
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from revline.operators import detectors as D
 from revline.operators import synthesis as S
 from revline.streaming import incremental as GI
 from revline.streaming import live
+from conftest import SF_SMALL
 
 SCHEMA = "repo_id string, path string, content string, version long"
 BAD, GOOD, BROKEN = "import os\nos.system('x')\n", '"""d"""\nx = 1\n', "def f(:\nimport os\nos.system('y')\n"
@@ -75,3 +78,54 @@ def test_daily_counts_drop_repeats_and_late_rows(spark, tmpdir_path):
     rows = {(str(r.day), r.severity): r.n for r in got}
     # 1 counts once; 5 comes when the watermark stands at day 2; day 3 (4) is given out behind day 5, day 6 not yet
     assert rows == {("1970-01-01", "high"): 2, ("1970-01-02", "low"): 1, ("1970-01-03", "low"): 1, ("1970-01-04", "high"): 1}
+
+
+class _State:
+    """What ``latest_push`` asks of a group's state."""
+
+    def __init__(self, value=None, timed_out=False):
+        self.value, self.hasTimedOut, self.timeout = value, timed_out, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_files_of_a_bucket_share_a_call():
+    pdf = lambda *rows: pd.DataFrame(rows, columns=["file", "repo_id", "version", "push", "severities"])
+    state, call = _State(), live.latest_push(60_000)
+    out = lambda *rows: sorted((tuple(r) for d in call((1,), iter([pdf(*rows)]), state) for r in d.values.tolist()), key=str)
+    assert out(("a", "r", 1, "x", ["high", "low"]), ("b", "r", 1, "x", ["low"]), ("c", "s", 1, "x", [])) == \
+        [("r", "high", 1), ("r", "low", 2), ("r", None, 0), ("s", None, 0)]
+    assert 0 < state.timeout <= 60_000  # c is clean
+    # b is older than what is held, a has one finding less
+    assert out(("a", "r", 2, "x", ["low"]), ("b", "r", 0, "x", [])) == [("r", "high", -1)]
+    gone = _State(state.value, timed_out=True)
+    assert not list(live.latest_push(0)((1,), iter(()), gone)) and gone.exists  # a and b have findings
+    late = _State((json.dumps({"c": [1, {}, 1], "a": [2, {"low": 1}, None]}),), timed_out=True)
+    assert not list(call((1,), iter(()), late)) and list(json.loads(late.value[0])) == ["a"]
+
+
+def test_stream_queries_spread_their_rows(spark, tmpdir_path, monkeypatch):
+    """A table in one file, and pushes written for a stream, are reviewed by more than one task."""
+    from revline.plans import catalog
+    tasks = []
+    file_facts = D.file_facts
+    monkeypatch.setattr(D, "file_facts", lambda files: tasks.append(files) or file_facts(files))
+    folders = []
+    reader = GI.stream_file_table
+    monkeypatch.setattr(GI, "stream_file_table", lambda spark, folder, *a, **k: folders.append((folder, k)) or reader(spark, folder, *a, **k))
+    catalog.QUERIES["stream_scores"](spark, SF_SMALL)
+    assert "RepartitionByExpression" in tasks[0]._jdf.queryExecution().logical().toString()
+    folders.clear()
+    catalog.QUERIES["stream_severity_counts"](spark, SF_SMALL)
+    assert len(folders) == 3 and all(not k for _, k in folders)  # a run of the stream for each push
+    assert sum(f.endswith(".parquet") for f in os.listdir(folders[0][0].removeprefix("file:"))) > 3
