@@ -134,3 +134,18 @@ def test_parse_files_spark(spark):
     assert "content" not in facts.columns
     errs = C.parse_errors(facts).collect()
     assert [e["path"] for e in errs] == ["b.py"]
+
+
+def test_memo_is_bounded_by_what_its_facts_take(monkeypatch):
+    import tracemalloc
+
+    from revline.operators import facts as C
+    monkeypatch.setattr(C, "MEMO_BYTES", 1 << 20)
+    memo = C._Memo()
+    tracemalloc.start()
+    for i in range(6000):  # short texts, whose facts are many times as large
+        memo(f"def f{i}(a, b):\n    for x in a:\n        b.execute(x)\n")
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 4 << 20 and memo.facts
+    assert memo("def f5999(a, b):\n    for x in a:\n        b.execute(x)\n")["calls"][0]["name"] == "b.execute"
