@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from revline.functions.text import normalize_newlines, split_lines
 from revline.operators.languages import with_language
+from revline.operators.rule_tables import HELD_ROWS
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("kind", T.StringType())]))
 
@@ -76,13 +77,18 @@ def spans_udf(text: pd.Series, language: pd.Series) -> pd.Series:
 
 def placed(hits: DataFrame, files: DataFrame, rules: DataFrame) -> DataFrame:
     """``hits(repo_id, path, line_no, rule_id, ...)`` of ``files`` with ``place``: code, comment or string, where the rule's
-    first match on the line starts. ``rules(rule_id, regex)`` names each rule once."""
+    first match on the line starts. ``rules(rule_id, regex)`` names each rule once.
+
+    Files meet their hits by a shuffle: texts and their lines are never copied to every task, whatever size the planner
+    guesses for a text made by an expression. Rules, which may share one id among most hits, are, up to ``HELD_ROWS``."""
+    named = rules.select("rule_id", "regex")
+    held = named.count() <= HELD_ROWS
     touched = hits.select(F.col("repo_id").alias("_r"), F.col("path").alias("_p")).distinct()
     own = F.col("repo_id").eqNullSafe(F.col("_r")) & (F.col("path") == F.col("_p"))
-    read = with_language(files.join(touched, own, "left_semi"))
+    read = with_language(files.join(touched.hint("merge"), own, "left_semi"))
     text = normalize_newlines("content")
     told = read.select(F.col("repo_id").alias("_r"), F.col("path").alias("_p"), split_lines(text).alias("_lines"), spans_udf(text, "language").alias("_spans"))
-    at = hits.join(rules.select("rule_id", "regex"), "rule_id").join(told, own)
+    at = hits.join(F.broadcast(named) if held else named.hint("merge"), "rule_id").join(told.hint("merge"), own)
     before = F.aggregate(F.slice("_lines", F.lit(1), F.col("line_no") - 1), F.lit(0), lambda s, x: s + F.length(x) + 1)
     offset = before + F.greatest(F.regexp_instr(F.element_at("_lines", F.col("line_no")), F.col("regex")), F.lit(1)) - 1
     hit = F.filter("_spans", lambda s: (s["start"] <= F.col("_at")) & (F.col("_at") < s["stop"]))

@@ -35,3 +35,10 @@ def test_review_keeps_rules_to_places(spark):
         return {(x.file, x.line) for x in rows.where("title in ('Use of eval', 'Magic Number')").collect()}
     assert found(rule_places=["code"]) == {("A.java", 3), ("c.py", 2)}
     assert found(rule_places=["comment", "string"], magic_lines=True) == {("A.java", 1), ("A.java", 2), ("A.java", 4), ("b.ts", 2), ("c.py", 1), ("c.py", 3)}
+
+
+def test_texts_are_not_copied_to_every_task(spark):
+    """However small a table seems to the planner, its texts meet their hits by a shuffle."""
+    from revline.plans import catalog
+    plan = catalog.QUERIES["rule_places"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and plan.count("BroadcastHashJoin") == 1  # the rules
