@@ -105,3 +105,19 @@ def test_odd_graphs(spark):
     side = spark.createDataFrame([("r", "a", None, 0, 5), ("r", "b", "a", 0, 2), ("r", "b", "c", 1, 2), ("r", "c", "b", 0, 1)], COMMITS)
     with pytest.raises(ValueError, match="cycle"):
         history.ordered(side, "seq")
+
+
+def test_a_long_line_is_resolved_inside_batches(spark, monkeypatch):
+    """Rounds of joins run over a commit for each batch; commits in no order have the same lines."""
+    from revline.operators import history
+    rounds = []
+    write = history.materialize
+    monkeypatch.setattr(history, "materialize", lambda df, name: rounds.append(name) or write(df, name))
+    n = 3000
+    name = lambda i: f"c{i * 7919 % 10007}"
+    rows = [("r", name(i), name(i - 1) if i else None, 0, i) for i in range(n)]
+    commits = spark.createDataFrame(rows, "repo_id string, commit string, parent string, parent_no int, seq long")
+    want = {name(i): (name(0), i) for i in range(n)}
+    assert {r.commit: (r.line, r.pos) for r in history.lines(commits, "seq").collect()} == want
+    assert rounds.count("lines") <= 6  # 12 binary digits
+    assert {r.commit: (r.line, r.pos) for r in history.lines(commits).collect()} == want
