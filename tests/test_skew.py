@@ -36,6 +36,17 @@ def test_positions_of_a_hot_repository(spark, monkeypatch):
     assert max(task) < 2 * sorted(task)[len(task) // 2]
 
 
+def test_small_repositories_are_one_chunk_and_tell_their_size(spark, monkeypatch):
+    found = S.with_rank(hot_findings(spark, 600))
+    chunk = [*S.PRIORITY_ORDER[:2], F.floor(F.col("seq") / S.SEQ_CHUNK)]
+    cut, keys = ordering.chunks(found, "repo_id", S.PRIORITY_ORDER, chunk, ["seq", "id"])
+    assert cut.groupBy(*keys).count().count() == found.select("repo_id").distinct().count()
+    monkeypatch.setattr(ordering, "CHUNK_ROWS", 50)  # the hot one is cut, the others are not
+    got = ordering.positions(found, "repo_id", S.PRIORITY_ORDER, "pos", chunk, ["seq", "id"], "n").collect()
+    want = {r.repo_id: r["count"] for r in found.groupBy("repo_id").count().collect()}
+    assert all(r.n == want[r.repo_id] for r in got) and sorted(r.pos for r in got if r.repo_id == "hot") == list(range(1, want["hot"] + 1))
+
+
 def test_null_repositories_and_ids_keep_their_places(spark, monkeypatch):
     monkeypatch.setattr(ordering, "CHUNK_ROWS", 2)
     df = spark.createDataFrame([(None, 1, "b"), (None, 1, None), (None, 1, "a"), (None, 1, "ab"), ("x", None, "a"), ("x", 0, "a")], "g string, s int, id string")
