@@ -28,6 +28,15 @@ def balanced(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 2, *keys) if few_splits(df) else df
 
 
+PART_BYTES = 1 << 20  # of a table file, for each part of rows that grow many times in their task
+
+
+def parts(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
+    """Even parts for a table read from files: two for each core, more for a larger table, so that no part grows with it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(df.sparkSession.sparkContext.defaultParallelism * 2, -(-size // part_bytes))
+
+
 def load_balanced(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
     return balanced(load(spark, sf_dir, name), *keys)
 

@@ -66,3 +66,13 @@ def test_filters_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,250000.0)]" in plan
     rules = _plan(QUERIES["config_effective"](spark, SF_SMALL))
     assert "ReadSchema: struct<c_custkey:bigint,c_acctbal:double,c_mktsegment:string>" in rules
+
+
+def test_texts_that_meet_policies_are_dealt_by_the_size_of_the_table(spark, monkeypatch):
+    from revline.plans import catalog
+    from revline.sources import tables
+    docs = tables.load(spark, SF_SMALL, "documents")
+    assert tables.parts(docs, 1000) > 100 and tables.parts(docs, 1 << 40) == spark.sparkContext.defaultParallelism * 2
+    monkeypatch.setattr(catalog, "parts", lambda df: 37)
+    plan = _plan(catalog.QUERIES["policy_topk"](spark, SF_SMALL))
+    assert plan.count("Exchange hashpartitioning") == 1 and ", 37), REPARTITION_BY_NUM" in plan  # pairs are counted inside the parts
