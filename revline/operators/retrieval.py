@@ -59,14 +59,23 @@ def _score(weights, size):
     return F.floor(SCALE * weights.cast("double") / size)
 
 
-def topk(docs: DataFrame, index: Index, k: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, rank, policy key, score) of the k best policies of each text."""
+def topk(docs: DataFrame, index: Index, k: int = 3, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
+    """(key, rank, policy key, score) of the k best policies of each text.
+
+    ``parts``: the texts, and what is written of them, are dealt by key into so many parts. With a small index all further
+    steps stay inside them, so more parts for more texts keep a task's memory.
+    """
     pkey = index.key
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(parts, key) if parts else df
+
+    docs = dealt(docs)
     own = terms(docs.where(F.col(key).isNotNull()), key, text).distinct().join(index.terms, "term")
     up = Window.partitionBy(key).orderBy("bound", "term")
     down = Window.partitionBy(key).orderBy(F.desc("bound"), F.desc("term"))
-    own = materialize(own.select(key, "term", "w", "bound", "code", F.sum("bound").over(up).alias("_upto"),
-                                 F.row_number().over(down).alias("_nth")), "doc-terms")
+    own = dealt(materialize(own.select(key, "term", "w", "bound", "code", F.sum("bound").over(up).alias("_upto"),
+                                       F.row_number().over(down).alias("_nth")), "doc-terms"))
     size = index.policies.select(pkey, "size")
 
     def partial(part: DataFrame) -> DataFrame:
@@ -84,8 +93,8 @@ def topk(docs: DataFrame, index: Index, k: int = 3, key: str = "doc_id", text: s
     first = partial(own.where(F.col("_nth") <= FIRST)).join(size, pkey).select(key, pkey, _score(F.col("_w"), F.col("size")).alias("_s"))
     first = first.withColumn("_n", F.row_number().over(nth)).where(F.col("_n") <= k).select(key, pkey)
     floor = scored(first.join(codes, key)).groupBy(key).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("_floor"))
-    asked = materialize(own.join(floor, key, "left").withColumn("_floor", F.coalesce("_floor", F.lit(0)))
-                        .select(key, "term", "_floor", "code", (F.col("_upto") >= F.col("_floor")).alias("_fetch"), "bound"), "doc-asked")
+    asked = dealt(materialize(own.join(floor, key, "left").withColumn("_floor", F.coalesce("_floor", F.lit(0)))
+                              .select(key, "term", "_floor", "code", (F.col("_upto") >= F.col("_floor")).alias("_fetch"), "bound"), "doc-asked"))
     spared = asked.groupBy(key).agg(F.max("_floor").alias("_floor"), F.sum(F.when(~F.col("_fetch"), F.col("bound")).otherwise(0)).alias("_rest"),
                                     F.collect_list("code").alias("_codes"))
     found = partial(asked.where("_fetch")).join(size, pkey).join(spared, key) \

@@ -643,7 +643,8 @@ from revline.operators import retrieval as RT  # noqa: E402
 def policy_weighted_topk(spark, sf_dir):
     """The three policies that fit each document best, by weighted terms through a pruned inverted index."""
     index = RT.build_index(load(spark, sf_dir, "benchmark"))
-    return RT.topk(load_balanced(spark, sf_dir, "documents", "doc_id"), index, k=3)
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return RT.topk(docs, index, k=3, parts=parts(docs))
 
 
 # ---- D8, D16 with rules in a table -------------------------------------------------------------------

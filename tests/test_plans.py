@@ -76,3 +76,5 @@ def test_texts_that_meet_policies_are_dealt_by_the_size_of_the_table(spark, monk
     monkeypatch.setattr(catalog, "parts", lambda df: 37)
     plan = _plan(catalog.QUERIES["policy_topk"](spark, SF_SMALL))
     assert plan.count("Exchange hashpartitioning") == 1 and ", 37), REPARTITION_BY_NUM" in plan  # pairs are counted inside the parts
+    plan = _plan(catalog.QUERIES["policy_weighted_topk"](spark, SF_SMALL))
+    assert plan.count("Exchange hashpartitioning") == plan.count(", 37), REPARTITION_BY_NUM") > 0

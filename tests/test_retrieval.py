@@ -73,3 +73,10 @@ def test_frequent_terms_are_joined_to_few_documents(spark, monkeypatch):
     fetched = asked.where(F.col("_fetch") & (F.col("term") == common.term)).count()
     print("postings joined", n.part, "of", n.full, "; most frequent term fetched for", fetched, "of", common["count"])
     assert n.part < 0.6 * n.full and fetched < 0.5 * common["count"]
+
+
+def test_dealt_texts_find_the_same_policies(spark):
+    policies = [(i, " ".join(f"w{j}" for j in range(i % 7, 40, i % 5 + 1))) for i in range(30)]
+    docs = [(i, " ".join(f"w{j}" for j in range(i % 11, 50, i % 3 + 1))) for i in range(60)] + [(None, "w1"), (3, "w7"), (60, None)]
+    d, index = frames(spark, docs, policies)
+    assert {tuple(r) for r in retrieval.topk(d, index, 3, parts=5).collect()} == plain(docs, policies, 3)
